@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,19 +33,40 @@ from pyspark.sql import functions as F
 from tideline.llm.common import cut_parts, id_back, id_col, out_batch, slices, text_col
 
 MIN_CHARS, MIN_DOCS = 20, 3
-SPACE = " \t\n\x0b\x0c\r"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SPACE = b" \t\n\x0b\x0c\r"
 
 EDGE = pa.schema([("part", pa.int32()), ("first", pa.binary()), ("first_docs", pa.int64()), ("first_from", pa.int64()), ("first_to", pa.int64()), ("last", pa.binary()), ("last_docs", pa.int64()), ("last_from", pa.int64()), ("last_to", pa.int64())])
 DROP = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("pos", pa.int32())])
 
 
+def key_of(line: bytes, min_chars: int) -> bytes | None:
+    """The hash of a UTF-8 line's key; None if the key is too short."""
+    key = line.strip(SPACE).lower()  # bytes.lower() lower-cases A-Z alone
+    if len(key) < min_chars or not key.isascii() and len(key.decode("utf-8", "replace")) < min_chars:
+        return None
+    return xxhash.xxh3_128_digest(key)
+
+
+def _line_keys(min_chars: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 256):
+            keys, rows, at = [], [], []
+            for n, t in enumerate(b.column("text").cast(pa.binary()).to_pylist()):
+                for pos, line in enumerate(t.split(b"\n")):
+                    if len(line) >= min_chars and (k := key_of(line, min_chars)):
+                        keys.append(k)
+                        rows.append(n)
+                        at.append(pos)
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), b.column("id").take(take), b.column("th").take(take), pa.array(at, pa.int32())], names=["key", "id", "th", "pos"])
+
+    return run
+
+
 def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(key binary(16), id, th, pos) of every line that counts; th tells apart rows of one doc_id."""
-    text = text_col()
-    lines = docs.select(id_col().alias("id"), F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
-    key = F.translate(F.btrim("line", F.lit(SPACE)), UPPER, LOWER)
-    return lines.withColumn("key", key).where(F.char_length("key") >= min_chars).select(F.unhex(F.md5("key")).alias("key"), "id", "th", "pos")
+    rows = docs.select(id_col().alias("id"), text_col().alias("text")).withColumn("th", F.xxhash64("text"))
+    return rows.mapInArrow(_line_keys(min_chars), "key binary, id long, th long, pos int")
 
 
 def _columns(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
