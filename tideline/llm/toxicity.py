@@ -1,10 +1,11 @@
 """Toxicity: a convolutional text classifier in numpy.
 
-Words are hashed twice into two small tables whose rows, side by side, make the
-word's embedding; so two words rarely share an embedding though the tables are small.
+A word's embedding is the rows, side by side, of three small hashed tables: of the whole
+word, of its first four and of its first six characters.  So two words rarely share an
+embedding though the tables are small, and forms of one stem share most of it.
 Filters of several widths run over the words, each is max-pooled over the whole text,
 and a logistic layer weighs the pooled values.  Before training, one coordinate of
-either table starts at the smoothed log-odds of the bucket's words in the training
+each table starts at the smoothed log-odds of the bucket's words in the training
 labels; the rest starts at random.  Adam trains all of it.
 
 The score is calibrated on held-back training rows: the cut that separates best gets
@@ -38,16 +39,17 @@ from pyspark.sql import functions as F
 
 from tideline.llm.common import slices, text_col
 
-BUCKETS, HALF = 1 << 15, 4
+BUCKETS, PART = 1 << 15, 4
+STEMS = (None, 4, 6)
 WIDTHS, FILTERS = (1, 2, 3), 8
 CHUNK = 1 << 15
-CACHE = 300_000
+CACHE = 200_000
 CUT = 0.7
 WORD = re.compile(r"[^\W_]+")
 
 
 class Hasher:
-    """Words to pairs of buckets, cached."""
+    """Words to a bucket of each table, packed into one number; cached."""
 
     def __init__(self):
         self.seen: dict[str, int] = {}
@@ -61,18 +63,18 @@ class Hasher:
                 seen.clear()
             for w in words:
                 if w not in seen:
-                    seen[w] = zlib.crc32(w.encode("utf-8", "replace"))
+                    seen[w] = sum((zlib.crc32(w[:n].encode("utf-8", "replace")) % BUCKETS) << (15 * k) for k, n in enumerate(STEMS))
             ids = [seen[w] for w in words]
         return np.array(ids, dtype=np.int64).reshape(-1)
 
 
-def _two(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return ids & (BUCKETS - 1), (ids >> 15) & (BUCKETS - 1)
+def _buckets(ids: np.ndarray) -> list[np.ndarray]:
+    return [(ids >> (15 * k)) & (BUCKETS - 1) for k in range(len(STEMS))]
 
 
 @dataclass
 class Model:
-    tables: np.ndarray  # 2, BUCKETS, widths in all, FILTERS: tables with filters folded in
+    tables: np.ndarray  # tables, BUCKETS, widths in all, FILTERS: tables with filters folded in
     bias: np.ndarray  # widths, FILTERS
     weights: np.ndarray
     offset: float
@@ -86,8 +88,7 @@ class Model:
         reach = max(WIDTHS) - 1
         for at in range(0, len(ids), CHUNK):
             part = ids[max(0, at - reach) : at + CHUNK]
-            a, b = _two(part)
-            x = self.tables[0][a] + self.tables[1][b]  # words, taps, filters
+            x = sum(t[b] for t, b in zip(self.tables, _buckets(part), strict=True))  # words, taps, filters
             tap = 0
             for n, w in enumerate(WIDTHS):
                 if len(part) >= w:
@@ -106,7 +107,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def train(texts: list[str], labels: list[int], langs: list[str | None], epochs: int = 6, seed: int = 7) -> Model | None:
+def train(texts: list[str], labels: list[int], langs: list[str | None], epochs: int = 3, seed: int = 7) -> Model | None:
     """Fit on these rows; every fifth of either label is held back to calibrate the cut and the thresholds."""
     y = np.array(labels, dtype=np.int64)
     if not len(y) or y.min() == y.max():
@@ -120,17 +121,17 @@ def train(texts: list[str], labels: list[int], langs: list[str | None], epochs:
     held = np.flatnonzero(rank % 5 == 4) if not few else np.arange(len(y))
     fit = np.flatnonzero(rank % 5 != 4) if not few else np.arange(len(y))
 
-    tables = rng.normal(0, 0.1, (2, BUCKETS, HALF)).astype(np.float32)
+    tables = rng.normal(0, 0.1, (len(STEMS), BUCKETS, PART)).astype(np.float32)
     positive = (y[fit] == 1).sum()
-    for n in range(2):
+    for n in range(len(STEMS)):
         seen = np.zeros((2, BUCKETS))
         for d in fit:
-            seen[y[d]][np.unique(_two(docs[d])[n])] += 1
+            seen[y[d]][np.unique(_buckets(docs[d])[n])] += 1
         odds = np.log((seen[1] + 1) / (positive + 20)) - np.log((seen[0] + 1) / (len(fit) - positive + 20))
         tables[n, :, 0] = np.clip(np.where(seen[1] > 1, odds, np.minimum(odds, 0)), -2, 4)
     taps = sum(WIDTHS)
-    filters = rng.normal(0, 0.2, (taps, 2 * HALF, FILTERS)).astype(np.float32)
-    filters[0, [0, HALF], 0] = 0.5
+    filters = rng.normal(0, 0.2, (taps, len(STEMS) * PART, FILTERS)).astype(np.float32)
+    filters[0, ::PART, 0] = 1 / len(STEMS)
     p = {"e": tables, "f": filters, "b": np.zeros((len(WIDTHS), FILTERS), np.float32), "w": rng.normal(0, 0.1, len(WIDTHS) * FILTERS).astype(np.float32), "o": np.zeros(1, np.float32)}
     p["w"][0], p["o"][0] = 2.0, -3.0
     mean = {k: np.zeros_like(v) for k, v in p.items()}
@@ -155,7 +156,7 @@ def train(texts: list[str], labels: list[int], langs: list[str | None], epochs:
                 mean["e"][n, r] = 0.9 * mean["e"][n, r] + 0.1 * v
                 square["e"][n, r] = 0.999 * square["e"][n, r] + 0.001 * v * v
                 p["e"][n, r] -= rate * fix * mean["e"][n, r] / (np.sqrt(square["e"][n, r]) + 1e-7)
-    folded = np.stack([np.einsum("bh,thf->btf", p["e"][n], p["f"][:, n * HALF : (n + 1) * HALF]) for n in range(2)])
+    folded = np.stack([np.einsum("bh,thf->btf", p["e"][n], p["f"][:, n * PART : (n + 1) * PART]) for n in range(len(STEMS))])
     model = Model(folded.astype(np.float32), p["b"], p["w"], float(p["o"][0]))
     z = np.array([model.logit(docs[d]) for d in held])
     model.shift = best_cut(z, y[held])
@@ -183,8 +184,8 @@ def best_cut(z: np.ndarray, y: np.ndarray) -> float:
 
 def _backward(p: dict, ids: np.ndarray, label: int, weight: float, g: dict, rows: dict) -> None:
     """Adds one text's gradients; a maximum passes its gradient to the words under it alone."""
-    a, b = _two(ids)
-    x = np.concatenate([p["e"][0][a], p["e"][1][b]], axis=1)
+    buckets = _buckets(ids)
+    x = np.concatenate([t[b] for t, b in zip(p["e"], buckets, strict=True)], axis=1)
     pooled, where, tap = np.zeros((len(WIDTHS), FILTERS), np.float32), np.full((len(WIDTHS), FILTERS), -1), 0
     for n, w in enumerate(WIDTHS):
         if len(ids) >= w:
@@ -210,7 +211,8 @@ def _backward(p: dict, ids: np.ndarray, label: int, weight: float, g: dict, rows
             g["f"][tap + j][:, live] += x[at].T * back[n, live]
             dx = p["f"][tap + j][:, live].T * back[n, live][:, None]
             for i, v in zip(at, dx, strict=True):
-                for t, r, part in ((0, a[i], v[:HALF]), (1, b[i], v[HALF:])):
+                for t, own in enumerate(buckets):
+                    r, part = own[i], v[t * PART : (t + 1) * PART]
                     rows[t, r] = rows[t, r] + part if (t, r) in rows else part
         tap += w
 
