@@ -85,7 +85,7 @@ class TextModel:
         total = np.zeros(len(self.langs))
         for at in range(0, len(t), 1 << 16):
             total += self.logs[t[at : at + (1 << 16)]].sum(axis=0, dtype=np.float64)
-        return total * (TEMPER / (TEMPER + len(t)) if len(t) else 0.0)
+        return total / 3 * (TEMPER / (TEMPER + len(t)) if len(t) else 0.0)  # a byte is in three trigrams
 
 
 def fit_texts(rows: list[tuple[str, str]]) -> TextModel:
