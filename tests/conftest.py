@@ -7,7 +7,7 @@ import pytest
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 # Python workers find the package and the tests' own functions there.
-os.environ["PYTHONPATH"] = os.pathsep.join([str(ROOT), str(ROOT / "tests"), os.environ.get("PYTHONPATH", "")])
+os.environ["PYTHONPATH"] = os.pathsep.join([str(ROOT), str(ROOT / "tests"), str(ROOT / "tests" / "llm"), os.environ.get("PYTHONPATH", "")])
 
 from tideline.session import session  # noqa: E402
 
