@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from tideline.llm.common import cut, id_back, id_col, out_batch, slices, text_col
 
 LENGTH, GRAM = 400, 64
-BLOCK, OVER = 1 << 20, 8 << 20
+BLOCK, OVER = 1 << 20, 2 << 20
 SCAN = 1 << 19
 
 _rng = np.random.default_rng(20240501)
@@ -208,46 +208,27 @@ def block_spans(rows: list[tuple[int, int, int, bool, bytes]], length: int) -> l
     return out
 
 
-SPANS = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("over", pa.binary()), ("twice", pa.bool_())])
+SPANS = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
 
-def _sort_blocks(length: int, block: int, over: int):
-    """Contexts ordered by anchor -> spans; contexts of anchors over the bound come back as they are."""
+def _sort_blocks(length: int, block: int):
+    """Contexts ordered by anchor -> spans."""
 
     def spans(rows):
         found = block_spans(rows, length)
         columns = list(zip(*found, strict=True)) if found else [[]] * 4
-        return out_batch(SPANS, id=columns[0], th=columns[1], a=columns[2], b=columns[3], over=[None] * len(found), twice=[None] * len(found))
-
-    def back(rows):
-        return out_batch(SPANS, id=[r[0] for r in rows], th=[r[1] for r in rows], a=[r[2] for r in rows], b=[None] * len(rows), over=[r[4] for r in rows], twice=[r[3] for r in rows])
+        return out_batch(SPANS, **dict(zip(SPANS.names, columns, strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, group, group_size, wide = None, [], 0, False
-        held, size = [], 0
+        g, held, size = None, [], 0
         for b in slices(batches, 1024):
             for r in zip(*(b.column(c).to_pylist() for c in ("g", "id", "th", "p0", "twice", "raw")), strict=True):
-                if r[0] != g:
-                    if group and not wide:
-                        held += group
-                        size += group_size
-                    elif group:
-                        yield back(group)
-                    if size >= block:
-                        yield spans(held)
-                        held, size = [], 0
-                    g, group, group_size, wide = r[0], [], 0, False
-                group.append(r[1:])
-                group_size += len(r[5])
-                if group_size > over:
-                    wide = True
-                    yield back(group)
-                    group, group_size = [], over  # the next ones of this anchor go back at once
-                    group_size = over
-        if group and wide:
-            yield back(group)
-        elif group:
-            held += group
+                if r[0] != g and size >= block:
+                    yield spans(held)
+                    held, size = [], 0
+                g = r[0]
+                held.append(r[1:])
+                size += len(r[5])
         if held:
             yield spans(held)
 
@@ -258,10 +239,10 @@ def _window_hashes(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 256):
             for r in b.to_pylist():
-                raw = r["over"]
+                raw = r["raw"]
                 d = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[s : s + length]) for s in range(len(raw) - length + 1)), dtype=np.int64).reshape(-1, 2)
                 n = len(d)
-                yield pa.RecordBatch.from_arrays([pa.array([r["id"]] * n, pa.int64()), pa.array([r["th"]] * n, pa.int64()), pa.array(np.arange(r["a"], r["a"] + n)), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.array([r["twice"]] * n, pa.bool_())], names=["id", "th", "p", "w1", "w2", "twice"])
+                yield pa.RecordBatch.from_arrays([pa.array([r["id"]] * n, pa.int64()), pa.array([r["th"]] * n, pa.int64()), pa.array(np.arange(r["p0"], r["p0"] + n)), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.array([r["twice"]] * n, pa.bool_())], names=["id", "th", "p", "w1", "w2", "twice"])
 
     return run
 
@@ -272,27 +253,27 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
     long_ = rows.where(F.octet_length("text") >= length)
     occ = cut(long_.select("id", "th", "text").mapInArrow(_scan(length, gram), "id long, th long, p0 long, n_win int, g long, c1 long, c2 long"), "contexts")
     classes = cut(occ.groupBy("g", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "p0", "n_win")).alias("rep")), "context-classes")
-    shared = classes.groupBy("g").agg(F.count("*").alias("d"), F.min("n").alias("least")).where("d > 1 AND least = 1").select("g")
-    wanted = classes.join(shared, "g", "left_semi").select("rep.*", "g", (F.col("n") > 1).alias("twice"))
-    wanted = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("p0", "n_win", "g", "twice")).alias("want"))
+    size = F.sum(F.col("rep.n_win") + F.lit(length - 1))
+    shared = classes.groupBy("g").agg(F.count("*").alias("d"), F.min("n").alias("least"), (size > over).alias("wide")).where("d > 1 AND least = 1").select("g", "wide")
+    wanted = classes.join(shared, "g").select("rep.*", "g", "wide", (F.col("n") > 1).alias("twice"))
+    wanted = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("p0", "n_win", "g", "twice", "wide")).alias("want"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 64):
-            out = {c: [] for c in ("g", "id", "th", "p0", "twice", "raw")}
+            out = {c: [] for c in ("g", "id", "th", "p0", "twice", "wide", "raw")}
             for i, th, t, want in zip(b.column("id").to_pylist(), b.column("th").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("want").to_pylist(), strict=True):
                 for w in want:
-                    for c, v in zip(out, (w["g"], i, th, w["p0"], w["twice"], t[w["p0"] : w["p0"] + w["n_win"] - 1 + length]), strict=True):
+                    for c, v in zip(out, (w["g"], i, th, w["p0"], w["twice"], w["wide"], t[w["p0"] : w["p0"] + w["n_win"] - 1 + length]), strict=True):
                         out[c].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[c], t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=list(out))
+            yield pa.RecordBatch.from_arrays([pa.array(out[c], t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()), strict=True)], names=list(out))
 
-    parts = long_.join(wanted, ["id", "th"]).select("id", "th", "text", "want").mapInArrow(fetch, "g long, id long, th long, p0 long, twice boolean, raw binary")
-    found = cut(parts.repartition("g").sortWithinPartitions("g").mapInArrow(_sort_blocks(length, block, over), "id long, th long, a long, b long, over binary, twice boolean"), "spans")
-    sorted_ = found.where(F.col("b").isNotNull()).select("id", "th", "a", "b")
+    parts = cut(long_.join(wanted, ["id", "th"]).select("id", "th", "text", "want").mapInArrow(fetch, "g long, id long, th long, p0 long, twice boolean, wide boolean, raw binary"), "context-texts")
+    sorted_ = parts.where("NOT wide").repartition("g").sortWithinPartitions("g").mapInArrow(_sort_blocks(length, block), "id long, th long, a long, b long")
     twice = occ.join(classes.where("n > 1").select("g", "c1", "c2"), ["g", "c1", "c2"]).select("id", "th", F.col("p0").alias("a"), (F.col("p0") + F.col("n_win") - 1 + length).alias("b"))
     spans = sorted_.unionByName(twice)
-    wide = found.where(F.col("b").isNull())
+    wide = parts.where("wide")
     if not wide.isEmpty():
-        windows = cut(wide.select("id", "th", "a", "over", "twice").mapInArrow(_window_hashes(length), "id long, th long, p long, w1 long, w2 long, twice boolean"), "windows")
+        windows = cut(wide.select("id", "th", "p0", "twice", "raw").mapInArrow(_window_hashes(length), "id long, th long, p long, w1 long, w2 long, twice boolean"), "windows")
         again = windows.groupBy("w1", "w2").agg(F.count("*").alias("k")).where("k > 1").select("w1", "w2")
         hit = windows.where("NOT twice").join(again, ["w1", "w2"]).select("id", "th", F.col("p").alias("a"), (F.col("p") + length).alias("b"))
         spans = spans.unionByName(hit)
