@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Stands for a null doc_id inside operators: smaller than any real id.
@@ -73,6 +73,19 @@ def text_col(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def smallest_hashes(rows: DataFrame, by: str, k: int) -> DataFrame:
+    """Of each value of ``by`` the ``k`` rows (doc_id, by) of smallest hash of doc_id; adds that hash, r.
+
+    Counts come first and a hash bound keeps about 2 k rows a value, so that ranking
+    handles rows in proportion to k and not to the number of tasks.
+    """
+    hashed = rows.withColumn("r", F.pmod(F.xxhash64("doc_id"), F.lit(2**53)))
+    counts = rows.groupBy(F.col(by).alias("__by")).agg(F.count("*").alias("__n"))
+    near = hashed.join(counts, F.col(by) == F.col("__by")).where(F.col("r") <= F.lit(float(2**53)) * (2.0 * k + 100) / F.col("__n"))
+    ranked = near.withColumn("__rank", F.row_number().over(Window.partitionBy(by).orderBy("r", "doc_id")))
+    return ranked.where(F.col("__rank") <= k).drop("__by", "__n", "__rank")
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches small, so that Python objects of few rows exist at a time."""
     for b in batches:

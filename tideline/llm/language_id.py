@@ -31,10 +31,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import cut, slices, text_col
+from tideline.llm.common import cut, slices, smallest_hashes, text_col
 
 BUCKETS = 1 << 15
 SMOOTH = 0.5
@@ -99,9 +99,8 @@ def fit_texts(rows: list[tuple[str, str]]) -> TextModel:
 
 def fit(docs: DataFrame, per_language: int = 500, max_chars: int = 50_000) -> TextModel:
     """docs (doc_id, text, lang)."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.char_length(text_col()) <= max_chars)).select("doc_id", F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("r"))
-    first = Window.partitionBy("lang").orderBy("r", "doc_id")  # a rank filter: Spark keeps the first rows of each task before the shuffle
-    picked = known.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language).select(F.col("doc_id").alias("id"), F.col("lang").alias("l")).distinct()
+    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.char_length(text_col()) <= max_chars)).select("doc_id", F.col("lang").cast("string").alias("lang"))
+    picked = smallest_hashes(known, "lang", per_language).select(F.col("doc_id").alias("id"), F.col("lang").alias("l")).distinct()
     rows = docs.join(picked, (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("l"))).select("l", "doc_id", text_col().alias("text")).collect()
     rows.sort(key=lambda r: (r.l, r.doc_id, r.text))
     return fit_texts([(r.l, r.text) for r in rows])

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import slices, text_col
+from tideline.llm.common import slices, smallest_hashes, text_col
 
 BUCKETS, PART = 1 << 15, 4
 STEMS = (None, 4, 6)
@@ -224,13 +224,12 @@ def is_held_out(doc_id):
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 2500, max_chars: int = 100_000, seed: int = 7) -> Model | None:
     """docs (doc_id, text, lang), labels (doc_id, toxic): a model of the sampled labels."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.least(F.greatest(F.max("toxic"), F.lit(0)), F.lit(1)).cast("int").alias("y"))
     short = docs.where(F.char_length(text_col()) <= max_chars).select(F.col("doc_id").alias("id"), text_col().alias("text"), F.col("lang").cast("string").alias("lang"))
-    sample = [known.where(F.col("y") == y).select("doc_id", "y", F.xxhash64("doc_id").alias("r")).orderBy("r", "doc_id").limit(max_rows) for y in (0, 1)]
-    picked = F.broadcast(sample[0].unionByName(sample[1]))  # 2 * max_rows rows of three numbers
+    picked = F.broadcast(smallest_hashes(known, "y", max_rows))  # 2 * max_rows rows of three numbers
     rows = short.join(picked, F.col("id") == F.col("doc_id")).select("y", "text", "lang", "r", "id").collect()
     rows.sort(key=lambda r: (r.r, r.id, r.text))
-    return train([r.text for r in rows], [min(1, max(0, r.y)) for r in rows], [r.lang for r in rows], seed=seed)
+    return train([r.text for r in rows], [r.y for r in rows], [r.lang for r in rows], seed=seed)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
