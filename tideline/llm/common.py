@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 #: Stands for a null doc_id inside operators: smaller than any real id.
 NULL_ID = -(2**63)
 
+#: Values of a sampling column up to which their counts are broadcast.
+BROADCAST_VALUES = 10_000
+
 _roots: dict[str, str] = {}
 
 
@@ -81,7 +84,8 @@ def smallest_hashes(rows: DataFrame, by: str, k: int) -> DataFrame:
     """
     hashed = rows.withColumn("r", F.pmod(F.xxhash64("doc_id"), F.lit(2**53)))
     counts = rows.groupBy(F.col(by).alias("__by")).agg(F.count("*").alias("__n"))
-    near = hashed.join(counts, F.col(by) == F.col("__by")).where(F.col("r") <= F.lit(float(2**53)) * (2.0 * k + 100) / F.col("__n"))
+    counts = counts.sparkSession.createDataFrame(few, counts.schema) if len(few := counts.head(BROADCAST_VALUES + 1)) <= BROADCAST_VALUES else counts
+    near = hashed.join(F.broadcast(counts) if len(few) <= BROADCAST_VALUES else counts, F.col(by) == F.col("__by")).where(F.col("r") <= F.lit(float(2**53)) * (2.0 * k + 100) / F.col("__n"))
     ranked = near.withColumn("__rank", F.row_number().over(Window.partitionBy(by).orderBy("r", "doc_id")))
     return ranked.where(F.col("__rank") <= k).drop("__by", "__n", "__rank")
 
