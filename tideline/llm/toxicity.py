@@ -42,8 +42,8 @@ from tideline.llm.common import slices, smallest_hashes, text_col
 BUCKETS, PART = 1 << 15, 4
 STEMS = (None, 4, 6)
 WIDTHS, FILTERS = (1, 2, 3), 8
-CHUNK = 1 << 15
-CACHE = 200_000
+CHUNK = 1 << 13
+CACHE = 100_000
 CUT = 0.7
 WORD = re.compile(r"[^\W_]+")
 
