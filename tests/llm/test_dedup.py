@@ -159,6 +159,12 @@ def test_components_of_paths_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_a_null_text_repeats_an_empty_one(spark):
+    rows = [(1, None), (1, ""), (1, "x"), (1, "x"), (2, "x"), (None, "y"), (None, "y"), (0, "")]
+    left = exact_dedup.drop_exact_duplicates(frame(spark, rows).withColumn("sha", F.lit(0)))
+    assert sorted((str(i), t or "") for i, t in rows_of(left)) == [("1", ""), ("2", "x"), ("None", "y")]
+
+
 # lines
 
 def lines_reference(rows, min_chars=20, min_docs=3):

@@ -240,6 +240,15 @@ def test_pipeline_against_brute_force(spark, sf):
 def test_stages_keep_the_columns(spark, sf):
     import corpus_pipeline
 
-    wide = docs(spark, sf).limit(30).withColumns({"score": F.lit("x"), "__note": F.lit(1)})
+    clashing = ("id", "__id", "sha", "text_sha256", "found", "docs", "row", "score", "kept", "component_id", "l", "a.b")
+    wide = docs(spark, sf).limit(30).withColumns({c: F.lit(c) for c in clashing})
+    wide = wide.unionByName(wide)  # rows that repeat
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, wide, sf).columns == wide.columns
+        left = stage(spark, wide, sf)
+        assert left.columns == wide.columns and left.where("`a.b` <> 'a.b'").isEmpty()
+
+
+def test_other_columns_may_have_any_name(spark, sf):
+    wide = docs(spark, sf).withColumns({"id": F.lit(0), "l": F.lit("x"), "r": F.lit("y")})
+    plain, other = language_id.fit(docs(spark, sf), 5), language_id.fit(wide, 5)
+    assert plain.langs == other.langs and np.array_equal(plain.logs, other.logs)

@@ -76,6 +76,17 @@ def text_col(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def matching(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` that are ("left_semi") or aren't ("left_anti") among found (id, and sha: text's SHA-256, if there).
+
+    Columns of ``docs`` may have any names.
+    """
+    on = id_col("docs.doc_id") == F.col("found.id")
+    if "sha" in found.columns:
+        on &= F.sha2(text_col("docs.text"), 256) == F.col("found.sha")
+    return docs.alias("docs").join(found.alias("found"), on, how)
+
+
 def smallest_hashes(rows: DataFrame, by: str, k: int) -> DataFrame:
     """Of each value of ``by`` the ``k`` rows (doc_id, by) of smallest hash of doc_id; adds that hash, r.
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import slices, text_col
+from tideline.llm.common import id_col, matching, slices, text_col
 
 THRESHOLD, OVERLAP, GRAM = 0.5, 0.6, 5
 K1, B = 1.2, 0.75
@@ -215,5 +215,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, o
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
     """``docs`` without the documents that hold a test item, columns as they were."""
-    bad = leaks(docs, benchmark, **parameters).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    bad = leaks(docs, benchmark, **parameters).select(id_col().alias("id")).distinct()
+    return matching(docs, bad, "left_anti")

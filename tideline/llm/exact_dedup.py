@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import NULL_ID, cut, id_back, id_col, out_batch, slices, text_col
+from tideline.llm.common import cut, id_back, id_col, matching, out_batch, slices, text_col
 
 PAGE_BYTES = 32 << 20
 MAX_PAGES = 1 << 16
@@ -209,13 +209,13 @@ def _ddl(schema: pa.Schema) -> str:
 def drop_exact_duplicates(docs: DataFrame, page_bytes: int = PAGE_BYTES) -> DataFrame:
     """``docs`` without all but one row of equal texts, columns as they were."""
     found = exact_dedup(docs, page_bytes)
-    ids = cut(found.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id"), "kept", "text_sha256"), "exact-kept")
-    keep = ids.where("kept").select("__id", "text_sha256").distinct()
-    if ids.groupBy("__id").count().where("count > 1").isEmpty():
-        return docs.join(keep.select("__id"), id_col() == F.col("__id"), "left_semi")
-    again = ids.groupBy("__id", "text_sha256").count().where("count > 1").select("__id", "text_sha256")
-    on = (id_col() == F.col("__id")) & (F.sha2(text_col(), 256) == F.col("text_sha256"))
-    kept = docs.join(keep, on, "left_semi")
-    once = kept.join(again, on, "left_anti")
-    twice = kept.join(again, on, "left_semi")
-    return once.unionByName(twice.dropDuplicates([c for c in ("doc_id", "text") if c in docs.columns]))
+    ids = cut(found.select(id_col().alias("id"), "kept", F.col("text_sha256").alias("sha")), "exact-kept")
+    keep = ids.where("kept").select("id", "sha").distinct()
+    if ids.groupBy("id").count().where("count > 1").isEmpty():
+        return matching(docs, keep.select("id"), "left_semi")
+    again = ids.groupBy("id", "sha").count().where("count > 1").select("id", "sha")
+    kept = matching(docs, keep, "left_semi")
+    once, twice = matching(kept, again, "left_anti"), matching(kept, again, "left_semi")
+    # Rows that share id and text: any one of them, with a null text as good as an empty one.
+    whole = twice.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), id_col().alias("id"), F.sha2(text_col(), 256).alias("sha"))
+    return once.unionByName(whole.dropDuplicates(["id", "sha"]).select("row.*"))

@@ -101,7 +101,8 @@ def fit(docs: DataFrame, per_language: int = 500, max_chars: int = 50_000) -> Te
     """docs (doc_id, text, lang)."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.char_length(text_col()) <= max_chars)).select("doc_id", F.col("lang").cast("string").alias("lang"))
     picked = smallest_hashes(known, "lang", per_language).select(F.col("doc_id").alias("id"), F.col("lang").alias("l")).distinct()
-    rows = docs.join(picked, (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("l"))).select("l", "doc_id", text_col().alias("text")).collect()
+    texts = docs.select("doc_id", "lang", text_col().alias("text"))
+    rows = texts.join(picked, (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("l"))).select("l", "doc_id", "text").collect()
     rows.sort(key=lambda r: (r.l, r.doc_id, r.text))
     return fit_texts([(r.l, r.text) for r in rows])
 

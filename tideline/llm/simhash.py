@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import NULL_ID, cut, id_back, id_col, out_batch, slices, text_col
+from tideline.llm.common import cut, id_back, id_col, matching, out_batch, slices, text_col
 from tideline.llm.components import components
 
 SHINGLE, BITS_APART = 4, 4
@@ -237,5 +237,5 @@ def simhash_components(docs: DataFrame, apart: int = BITS_APART, list_rows: int
 
 def drop_near_duplicates(docs: DataFrame, apart: int = BITS_APART) -> DataFrame:
     """``docs`` with one document (the smallest doc_id) of each component, columns as they were."""
-    keep = simhash_components(docs, apart).select(F.coalesce("component_id", F.lit(NULL_ID)).alias("__id")).distinct()
-    return docs.join(keep, id_col() == F.col("__id"), "left_semi")
+    keep = simhash_components(docs, apart).select(id_col("component_id").alias("id")).distinct()
+    return matching(docs, keep, "left_semi")
