@@ -18,6 +18,9 @@ NULL_ID = -(2**63)
 #: Values of a sampling column up to which their counts are broadcast.
 BROADCAST_VALUES = 10_000
 
+#: Values of a key joined by broadcast: those with at least 1/HOT_KEYS of the rows and HOT_LEAST rows.
+HOT_KEYS, HOT_LEAST = 500, 64
+
 _roots: dict[str, str] = {}
 
 
@@ -87,6 +90,18 @@ def matching(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
     return docs.alias("docs").join(found.alias("found"), on, how)
 
 
+def join_one(rows: DataFrame, key: str, lookup: DataFrame, total: int | None = None) -> DataFrame:
+    """Inner join of ``rows`` with ``lookup``, which has one row a value of ``key``, without a hot task.
+
+    Values that more than 1/HOT_KEYS of ``rows`` hold, so at most HOT_KEYS of them, are
+    broadcast; the others are shuffled.  ``rows`` is read several times: a written table.
+    """
+    least = max(HOT_LEAST, -(-(rows.count() if total is None else total) // HOT_KEYS))
+    hot = F.broadcast(rows.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") >= least).select(key))
+    by_value = rows.join(F.broadcast(lookup.join(hot, key, "left_semi")), key)
+    return by_value.unionByName(rows.join(hot, key, "left_anti").join(lookup, key))
+
+
 def smallest_hashes(rows: DataFrame, by: str, k: int) -> DataFrame:
     """Of each value of ``by`` the ``k`` rows (doc_id, by) of smallest hash of doc_id; adds that hash, r.
 

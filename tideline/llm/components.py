@@ -1,7 +1,7 @@
 """Connected components of a link table, by alternating large-star and small-star steps.
 
 Every step is two grouped minimums and joins; each round is written to the shared
-folder.  Links and labels never come to the driver, only their count and checksum.
+folder.  The joins don't gather the links of one node in one task.  Links and labels never come to the driver, only their count and checksum.
 """
 
 from __future__ import annotations
@@ -9,20 +9,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import cut
+from tideline.llm.common import cut, join_one
 
 
-def _large(e: DataFrame) -> DataFrame:
+def _large(e: DataFrame, total: int) -> DataFrame:
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    return join_one(both.where("b > a"), "a", least, total).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small(e: DataFrame) -> DataFrame:
+def _small(e: DataFrame, total: int) -> DataFrame:
     down = e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-    joined = down.join(least, F.col("a") == F.col("u"))
-    return joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
+    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    joined = join_one(down, "a", least, total)
+    return joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -34,7 +34,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if mark[0] == 0 or mark == seen:
             break
         seen = mark
-        edges = cut(_small(_large(edges)), "links")
+        edges = cut(_small(cut(_large(edges, mark[0]), "links-large"), mark[0]), "links")
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))

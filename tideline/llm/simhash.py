@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import cut, id_back, id_col, matching, out_batch, slices, text_col
+from tideline.llm.common import cut, id_back, id_col, join_one, matching, out_batch, slices, text_col
 from tideline.llm.components import components
 
 SHINGLE, BITS_APART = 4, 4
@@ -224,14 +224,14 @@ def simhash_components(docs: DataFrame, apart: int = BITS_APART, list_rows: int
     """One row per row of ``docs`` (doc_id, text): doc_id, fingerprint, component_id (smallest doc_id reached)."""
     prints = cut(fingerprints(docs), "fingerprints")
     classes = cut(prints.groupBy("fp").agg(F.min("id").alias("least")), "classes")
-    found = links(classes, apart, list_rows)
+    found = cut(links(classes, apart, list_rows), "simhash-found")
     a, b = classes.select(F.col("fp").alias("x"), F.col("least").alias("a")), classes.select(F.col("fp").alias("y"), F.col("least").alias("b"))
     # Rows that repeat a doc_id with other texts are one node: each fingerprint of an id links to the id's first.
     same = prints.groupBy("id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y").select("id")
     again = prints.join(same, "id", "left_semi").join(classes, "fp").select(F.col("id").alias("a"), F.col("least").alias("b"))
-    nodes = components(found.join(a, "x").join(b, "y").select("a", "b").unionByName(again))
-    labels = classes.join(nodes, F.col("least") == F.col("node"), "left").select(F.col("fp").alias("f"), F.coalesce("component", "least").alias("component"))
-    out = prints.join(labels, F.col("fp") == F.col("f"))
+    nodes = components(cut(join_one(found, "x", a), "simhash-near").transform(lambda near: join_one(near, "y", b)).select("a", "b").unionByName(again))
+    labels = classes.join(nodes, F.col("least") == F.col("node"), "left").select("fp", F.coalesce("component", "least").alias("component"))
+    out = join_one(prints, "fp", cut(labels, "simhash-labels"))
     return out.select(id_back("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), id_back("component").alias("component_id"))
 
 
