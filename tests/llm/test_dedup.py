@@ -9,6 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tideline.llm import exact_dedup, line_dedup, simhash, suffix_dedup
+from tideline.llm.common import join_one
 from tideline.llm.components import components
 
 SCHEMA = "doc_id long, text string"
@@ -152,13 +153,22 @@ def test_simhash_edge_rows(spark):
     assert simhash.fingerprint(b"a b c d e " * 200_000) == simhash.fingerprint(b"a b c d e " * 200_000) != 0
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_components_of_paths_and_stars(spark, few):
     links = [(n, n + 1) for n in range(0, 40)] + [(100, n) for n in range(101, 140)] + [(200, 200)]
-    got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
+    got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long"), few=few).collect()))
     assert all(got[n] == 0 for n in range(1, 41)) and all(got[n] == 100 for n in range(101, 140))
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_join_with_a_hot_key(spark, few):
+    rows = spark.createDataFrame([(n if n % 3 else 1, n) for n in range(600)] + [(-1, 0), (None, 0)], "k long, n long")
+    lookup = spark.createDataFrame([(n, 2 * n) for n in range(700)] + [(None, 0)], "k long, m long")
+    got = sorted(map(tuple, join_one(rows, "k", lookup, 602, few).select("k", "n", "m").collect()))
+    assert got == sorted((k, n, 2 * k) for k, n in ((n if n % 3 else 1, n) for n in range(600)))
+
+
 def test_a_null_text_repeats_an_empty_one(spark):
     rows = [(1, None), (1, ""), (1, "x"), (1, "x"), (2, "x"), (None, "y"), (None, "y"), (0, "")]
     left = exact_dedup.drop_exact_duplicates(frame(spark, rows).withColumn("sha", F.lit(0)))

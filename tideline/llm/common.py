@@ -21,6 +21,12 @@ BROADCAST_VALUES = 10_000
 #: Values of a key joined by broadcast: those with at least 1/HOT_KEYS of the rows and HOT_LEAST rows.
 HOT_KEYS, HOT_LEAST = 500, 64
 
+#: Rows up to which a join with one row a key broadcasts all its keys.
+FEW_ROWS = 10_000
+
+#: Rows a file, and least number of files, of tables whose number of rows is known when they are written.
+FILE_ROWS, LEAST_FILES = 1 << 18, 8
+
 _roots: dict[str, str] = {}
 
 
@@ -53,10 +59,15 @@ def _delete(spark: SparkSession, path: str) -> None:
         return
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
+def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    ``rows``: about how many rows there are, where known; few rows make few files.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(max(LEAST_FILES, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -90,13 +101,16 @@ def matching(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
     return docs.alias("docs").join(found.alias("found"), on, how)
 
 
-def join_one(rows: DataFrame, key: str, lookup: DataFrame, total: int | None = None) -> DataFrame:
-    """Inner join of ``rows`` with ``lookup``, which has one row a value of ``key``, without a hot task.
+def join_one(rows: DataFrame, key: str, lookup: DataFrame, total: int, few: int = FEW_ROWS) -> DataFrame:
+    """Inner join of ``rows``, ``total`` in number, with ``lookup``, which has one row a value of ``key``, without a hot task.
 
-    Values that more than 1/HOT_KEYS of ``rows`` hold, so at most HOT_KEYS of them, are
-    broadcast; the others are shuffled.  ``rows`` is read several times: a written table.
+    Up to ``few`` rows, the values that they hold are broadcast.  Beyond that, values that
+    more than 1/HOT_KEYS of ``rows`` hold, so at most HOT_KEYS of them, are broadcast and
+    the others are shuffled.  ``rows`` is read several times: a written table.
     """
-    least = max(HOT_LEAST, -(-(rows.count() if total is None else total) // HOT_KEYS))
+    if total <= few:
+        return rows.join(F.broadcast(lookup.join(F.broadcast(rows.select(key).distinct()), key, "left_semi")), key)
+    least = max(HOT_LEAST, -(-total // HOT_KEYS))
     hot = F.broadcast(rows.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") >= least).select(key))
     by_value = rows.join(F.broadcast(lookup.join(hot, key, "left_semi")), key)
     return by_value.unionByName(rows.join(hot, key, "left_anti").join(lookup, key))

@@ -205,7 +205,7 @@ def _block_pairs(apart: int):
 
 
 def links(distinct: DataFrame, apart: int = BITS_APART, list_rows: int = LIST_ROWS) -> DataFrame:
-    """distinct (fp long) -> (x, y): links that join all fingerprints at most ``apart`` (0 to 4) bits apart."""
+    """distinct (fp long) -> (x, y): links that join all fingerprints at most ``apart`` (0 to 4) bits apart; a written table."""
     posts = distinct.select("fp").mapInArrow(_posts, "key long, fp long")
     found = posts.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_lists(apart, list_rows), "x long, y long, key long")
     found = cut(found, "simhash-links")
@@ -217,21 +217,23 @@ def links(distinct: DataFrame, apart: int = BITS_APART, list_rows: int = LIST_RO
     blocks = blocks.withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("n").cast("long")).cast("int"))
     dealt = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"), "fp")
     pairs = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(_block_pairs(apart), "x long, y long")
-    return out.unionByName(pairs)
+    return cut(out.unionByName(pairs), "simhash-found")
 
 
 def simhash_components(docs: DataFrame, apart: int = BITS_APART, list_rows: int = LIST_ROWS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, fingerprint, component_id (smallest doc_id reached)."""
     prints = cut(fingerprints(docs), "fingerprints")
     classes = cut(prints.groupBy("fp").agg(F.min("id").alias("least")), "classes")
-    found = cut(links(classes, apart, list_rows), "simhash-found")
+    found = links(classes, apart, list_rows)
+    n_rows, n_classes, n_found = prints.count(), classes.count(), found.count()
     a, b = classes.select(F.col("fp").alias("x"), F.col("least").alias("a")), classes.select(F.col("fp").alias("y"), F.col("least").alias("b"))
     # Rows that repeat a doc_id with other texts are one node: each fingerprint of an id links to the id's first.
     same = prints.groupBy("id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y").select("id")
     again = prints.join(same, "id", "left_semi").join(classes, "fp").select(F.col("id").alias("a"), F.col("least").alias("b"))
-    nodes = components(cut(join_one(found, "x", a), "simhash-near").transform(lambda near: join_one(near, "y", b)).select("a", "b").unionByName(again))
+    near = cut(join_one(found, "x", a, n_found), "simhash-near", n_found)
+    nodes = components(join_one(near, "y", b, n_found).select("a", "b").unionByName(again))
     labels = classes.join(nodes, F.col("least") == F.col("node"), "left").select("fp", F.coalesce("component", "least").alias("component"))
-    out = join_one(prints, "fp", cut(labels, "simhash-labels"))
+    out = join_one(prints, "fp", cut(labels, "simhash-labels", n_classes), n_rows)
     return out.select(id_back("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), id_back("component").alias("component_id"))
 
 
