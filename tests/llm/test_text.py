@@ -128,6 +128,14 @@ def test_toxicity_on_held_out_rows(spark):
     assert clean.predicted.mean() < 0.03 and got[got.toxic == 1].predicted.mean() > 0.7
 
 
+def test_repeated_ids_train_once(spark, monkeypatch):
+    df = spark.createDataFrame([(1, t, "en") for t in "cabc"] + [(2, None, None), (2, "x", "de"), (3, "y", "de")], "doc_id long, text string, lang string")
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels, langs, seed: sorted(zip(texts, labels, langs, strict=True)))
+    assert toxicity.fit(df, spark.createDataFrame([(1, 1), (1, 0), (2, 0)], "doc_id long, toxic int")) == [("", 0, None), ("a", 1, "en")]
+    monkeypatch.setattr(language_id, "fit_texts", sorted)
+    assert language_id.fit(df) == [("de", "x"), ("de", "y"), ("en", "a")]
+
+
 def test_toxicity_reads_the_text_alone(spark):
     model = toxicity.train(["you idiot", "fine day", "idiot again", "good words"] * 10, [1, 0, 1, 0] * 10, ["en"] * 40)
     df = spark.createDataFrame([(1, "what an idiot", "en"), (None, None, None), (1, "", "xx"), (2, "fine " * 100_000 + "idiot", "de")], "doc_id long, text string, lang string").withColumn("score", F.lit(9))

@@ -18,7 +18,8 @@ The text model is fitted on a bounded sample of labelled texts: of each language
 
 Defined results: null html is empty, a null url has no host.  A page without text has an
 even likelihood, so the other evidence decides.  Rows that repeat a page_id are pages
-each; null page_ids come back null.  Languages with null label don't train.  Without
+each; null page_ids come back null.  Texts without a language don't train; of rows that repeat a doc_id
+and language the smallest text does.  Without
 labelled text all pages are ``und``.  Other columns are not read.  Empty table: no rows.
 """
 
@@ -102,7 +103,7 @@ def fit(docs: DataFrame, per_language: int = 500, max_chars: int = 50_000) -> Te
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.char_length(text_col()) <= max_chars)).select("doc_id", F.col("lang").cast("string").alias("lang"))
     picked = smallest_hashes(known, "lang", per_language).select(F.col("doc_id").alias("id"), F.col("lang").alias("l")).distinct()
     texts = docs.select("doc_id", "lang", text_col().alias("text"))
-    rows = texts.join(picked, (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("l"))).select("l", "doc_id", "text").collect()
+    rows = texts.join(picked, (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("l"))).groupBy("l", "doc_id").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r.l, r.doc_id, r.text))
     return fit_texts([(r.l, r.text) for r in rows])
 

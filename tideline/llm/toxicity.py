@@ -22,7 +22,7 @@ Defined results: null text equals empty text; a text without words has the model
 score of nothing found.  Rows with a null label or doc_id don't train; a doc_id
 labelled twice counts as toxic if any of its labels says so.  Without any label of
 either kind, all scores are 0.  Null or unseen languages use the general threshold.
-Rows that repeat a doc_id are scored each.  Other columns are not read.
+Rows that repeat a doc_id are scored each; the smallest of their texts trains.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -227,7 +227,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 2500, max_chars: int
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.least(F.greatest(F.max("toxic"), F.lit(0)), F.lit(1)).cast("int").alias("y"))
     short = docs.where(F.char_length(text_col()) <= max_chars).select(F.col("doc_id").alias("id"), text_col().alias("text"), F.col("lang").cast("string").alias("lang"))
     picked = F.broadcast(smallest_hashes(known, "y", max_rows))  # 2 * max_rows rows of three numbers
-    rows = short.join(picked, F.col("id") == F.col("doc_id")).select("y", "text", "lang", "r", "id").collect()
+    # One text a doc_id, the smallest: rows that repeat an id don't add to what the driver gets.
+    rows = short.join(picked, F.col("id") == F.col("doc_id")).groupBy("id", "y", "r").agg(F.min(F.struct("text", "lang")).alias("t")).select("y", "t.text", "t.lang", "r", "id").collect()
     rows.sort(key=lambda r: (r.r, r.id, r.text))
     return train([r.text for r in rows], [r.y for r in rows], [r.lang for r in rows], seed=seed)
 
