@@ -66,6 +66,19 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded binary")
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, limit: int = LIMIT) -> DataFrame:
+    """(doc_id, text) -> (doc_id, ids, decoded binary): ``decode_documents`` of ``encode_documents`` in one pass and one worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoding(path, pattern)
+        for b in slices(batches, 256):
+            ids = [encode(t, enc, limit) for t in b.column("text").to_pylist()]
+            raw = pa.array(map(enc.decode_bytes, ids), pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), raw], names=["doc_id", "ids", "decoded"])
+
+    return docs.select("doc_id", text_col().alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded binary")
+
+
 def digests(decoded: DataFrame) -> DataFrame:
     """(doc_id, ids, decoded) -> doc_id, n_tokens, ids_sha256, decoded_sha256."""
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")

@@ -131,10 +131,16 @@ def smallest_hashes(rows: DataFrame, by: str, k: int) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches small, so that Python objects of few rows exist at a time."""
+    """Cut Arrow batches small, so that Python objects of few rows exist at a time.
+
+    After the last one, freed memory goes back: workers wait for later tasks with it.
+    """
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+        del b
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
 
 
 def longs(column: pa.Array) -> np.ndarray:
