@@ -56,8 +56,18 @@ def node_index(text: Column, partitions: int, nodes: int) -> Column:
 
 
 def key_hash(text: Column) -> Column:
-    """31 * h + byte, absolute value; meant for keys short enough for 63 bits (12 bytes)."""
-    return F.abs(F.aggregate(_bytes(text), F.lit(0).cast("bigint"), lambda h, b: h * 31 + b))
+    """31 * h + byte, wrapping in signed 64 bits, absolute value; -2**63 has none and stays.  Two 32-bit limbs, as in ``partition_of``."""
+
+    def step(h: Column, b: Column) -> Column:
+        lo = h["lo"] * 31 + b
+        return F.struct(lo.bitwiseAND(MASK).alias("lo"), (h["hi"] * 31 + F.shiftrightunsigned(lo, 32)).bitwiseAND(MASK).alias("hi"))
+
+    def signed(h: Column) -> Column:
+        v = F.when(h["hi"] >= 2**31, h["hi"] - 2**32).otherwise(h["hi"]) * 2**32 + h["lo"]
+        return F.when(v > -(2**63), F.abs(v)).otherwise(v)
+
+    zero = F.lit(0).cast("bigint")
+    return F.aggregate(_bytes(text), F.struct(zero.alias("lo"), zero.alias("hi")), step, signed)
 
 
 def backoff_ms(attempt: Column, base_ms: int = BASE_MS, max_ms: int = MAX_MS, jitter: bool = False, seed: int | None = None) -> Column:

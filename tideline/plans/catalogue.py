@@ -99,6 +99,13 @@ def hash_key_31(spark, sf_dir):
     return keys.select("k", S.key_hash(F.col("k")).alias("hash"))
 
 
+@query("SELECT k, CASE WHEN u < 9223372036854775808::HUGEINT THEN u ELSE 18446744073709551616::HUGEINT - u END::BIGINT AS hash FROM (SELECT k, list_reduce(list_prepend(0::HUGEINT, list_transform(string_split(k, ''), lambda x: ascii(x)::HUGEINT)), lambda a, b: (a * 31 + b) % 18446744073709551616::HUGEINT) AS u FROM (SELECT concat(subscriber_id, ':', sequence) AS k FROM d))")
+def hash_key_31_all(spark, sf_dir):
+    """As ``hash_key_31``, for every delivery and the reference's key."""
+    keys = T.deliveries(spark, sf_dir).select(F.concat("subscriber_id", F.lit(":"), "sequence").alias("k"))
+    return keys.select("k", S.key_hash(F.col("k")).alias("hash"))
+
+
 @query("SELECT p::INTEGER AS partition FROM range(256) t(p) WHERE p % 3 = 1", state=False)
 def partitions_for_node(spark, sf_dir):
     return assign.partitions_for_node(spark, 256, 3, 1)
