@@ -25,3 +25,11 @@ def test_every_delivery_has_its_key_hash(spark, sf):
     rows = catalogue.queries()["hash_key_31_all"](spark, sf).collect()
     assert len(rows) == spark.read.parquet(f"{sf}/events.parquet").count() == len({r.k for r in rows})
     assert all(r["hash"] == go_hash(r.k) for r in rows)
+
+
+def test_every_event_goes_to_its_nodes(spark, sf):
+    rows = catalogue.queries()["fanout_by_node_all"](spark, sf).collect()
+    ids = {f"evt-{r.event_id}" for r in spark.read.parquet(f"{sf}/events.parquet").select("event_id").collect()}
+    nations = spark.read.parquet(f"{sf}/nation.parquet").count()
+    assert {r.event_id for r in rows} == ids
+    assert sum(len(r.subscribers.split(",")) for r in rows) == len(ids) * nations

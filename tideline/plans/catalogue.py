@@ -444,13 +444,23 @@ def dispatch_owner_filter(spark, sf_dir):
     return ownership.local_subscribers(enqueue.fan_out(e, _nations(spark, sf_dir)), T.owners(spark), "go1").select("event_id", "subscriber_id")
 
 
-@query("SELECT concat('evt-', event_id) AS event_id, concat('go', " + HASH256.format("concat('nat-', n_nationkey)") + " % 2) AS owner_node, string_agg(concat('nat-', n_nationkey), ',' ORDER BY concat('nat-', n_nationkey)) AS subscribers FROM events, nation WHERE event_id % 10 = 0 GROUP BY 1, 2", state=False)
-def fanout_by_node(spark, sf_dir):
-    e = T.events(spark, sf_dir).where("event_id % 10 = 0").select(F.concat(F.lit("evt-"), "event_id").alias("event_id"))
+def _fanout_by_node(spark, sf_dir, events: DataFrame) -> DataFrame:
+    e = events.select(F.concat(F.lit("evt-"), "event_id").alias("event_id"))
     out = ownership.by_node(enqueue.fan_out(e, _nations(spark, sf_dir)), T.owners(spark))
     return out.withColumn("subscribers", F.array_join("subscribers", ","))
 
 
+@query("SELECT concat('evt-', event_id) AS event_id, concat('go', " + HASH256.format("concat('nat-', n_nationkey)") + " % 2) AS owner_node, string_agg(concat('nat-', n_nationkey), ',' ORDER BY concat('nat-', n_nationkey)) AS subscribers FROM events, nation WHERE event_id % 10 = 0 GROUP BY 1, 2", state=False)
+def fanout_by_node(spark, sf_dir):
+    return _fanout_by_node(spark, sf_dir, T.events(spark, sf_dir).where("event_id % 10 = 0"))
+
+
+@query("SELECT concat('evt-', event_id) AS event_id, concat('go', " + HASH256.format("concat('nat-', n_nationkey)") + " % 2) AS owner_node, string_agg(concat('nat-', n_nationkey), ',' ORDER BY concat('nat-', n_nationkey)) AS subscribers FROM events, nation GROUP BY 1, 2", state=False)
+def fanout_by_node_all(spark, sf_dir):
+    """As ``fanout_by_node``, for every event."""
+    return _fanout_by_node(spark, sf_dir, T.events(spark, sf_dir))
+
+
 _RECEIPTS = ", r AS (SELECT subscriber_id AS sub, sequence AS seq, created_at + (number % 17) * INTERVAL 1 HOUR AS arrived FROM d WHERE status = 'delivered'), l AS (SELECT *, lag(seq) OVER (PARTITION BY sub ORDER BY arrived, seq) AS before FROM r)"
 
 
