@@ -33,3 +33,11 @@ def test_every_event_goes_to_its_nodes(spark, sf):
     nations = spark.read.parquet(f"{sf}/nation.parquet").count()
     assert {r.event_id for r in rows} == ids
     assert sum(len(r.subscribers.split(",")) for r in rows) == len(ids) * nations
+
+
+def test_every_event_is_filtered_by_owner(spark, sf):
+    rows = catalogue.queries()["dispatch_owner_filter_all"](spark, sf).collect()
+    ids = {f"evt-{r.event_id}" for r in spark.read.parquet(f"{sf}/events.parquet").select("event_id").collect()}
+    local = {r.subscriber_id for r in rows}
+    assert {r.event_id for r in rows} == ids
+    assert len(rows) == len(set(rows)) == len(ids) * len(local)

@@ -438,10 +438,20 @@ def orphan_deliveries(spark, sf_dir):
     return claim.orphans(T.deliveries(spark, sf_dir), T.owners(spark).where("partition < 200")).select("id", "partition")
 
 
+def _dispatch_owner_filter(spark, sf_dir, events: DataFrame) -> DataFrame:
+    e = events.select(F.concat(F.lit("evt-"), "event_id").alias("event_id"))
+    return ownership.local_subscribers(enqueue.fan_out(e, _nations(spark, sf_dir)), T.owners(spark), "go1").select("event_id", "subscriber_id")
+
+
 @query("SELECT concat('evt-', event_id) AS event_id, concat('nat-', n_nationkey) AS subscriber_id FROM events, nation WHERE event_id % 10 = 0 AND " + HASH256.format("concat('nat-', n_nationkey)") + " % 2 = 1", state=False)
 def dispatch_owner_filter(spark, sf_dir):
-    e = T.events(spark, sf_dir).where("event_id % 10 = 0").select(F.concat(F.lit("evt-"), "event_id").alias("event_id"))
-    return ownership.local_subscribers(enqueue.fan_out(e, _nations(spark, sf_dir)), T.owners(spark), "go1").select("event_id", "subscriber_id")
+    return _dispatch_owner_filter(spark, sf_dir, T.events(spark, sf_dir).where("event_id % 10 = 0"))
+
+
+@query("SELECT concat('evt-', event_id) AS event_id, concat('nat-', n_nationkey) AS subscriber_id FROM events, nation WHERE " + HASH256.format("concat('nat-', n_nationkey)") + " % 2 = 1", state=False)
+def dispatch_owner_filter_all(spark, sf_dir):
+    """As ``dispatch_owner_filter``, for every event."""
+    return _dispatch_owner_filter(spark, sf_dir, T.events(spark, sf_dir))
 
 
 def _fanout_by_node(spark, sf_dir, events: DataFrame) -> DataFrame:
