@@ -41,3 +41,8 @@ def test_every_event_is_filtered_by_owner(spark, sf):
     local = {r.subscriber_id for r in rows}
     assert {r.event_id for r in rows} == ids
     assert len(rows) == len(set(rows)) == len(ids) * len(local)
+
+
+def test_every_event_is_enqueued(spark, sf):
+    rows = catalogue.queries()["enqueue_batch_all"](spark, sf).collect()
+    assert sorted(r.id for r in rows) == sorted(f"new-{r.event_id}" for r in spark.read.parquet(f"{sf}/events.parquet").select("event_id").collect())

@@ -559,9 +559,21 @@ c AS (SELECT user_id, count(*) AS used FROM events GROUP BY user_id)
 SELECT concat('new-', event_id) AS id, concat('sub-', user_id) AS subscriber_id, used + nth AS sequence, CASE WHEN user_id % 7 = 0 THEN 'retained' ELSE 'pending' END AS status FROM n JOIN c USING (user_id)
 """)
 def enqueue_batch(spark, sf_dir):
+    return _enqueue_batch(spark, sf_dir, T.events(spark, sf_dir).where("event_id % 5 = 0"))
+
+
+@query("""
+, n AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth, count(*) OVER (PARTITION BY user_id) AS used FROM events)
+SELECT concat('new-', event_id) AS id, concat('sub-', user_id) AS subscriber_id, used + nth AS sequence, CASE WHEN user_id % 7 = 0 THEN 'retained' ELSE 'pending' END AS status FROM n
+""")
+def enqueue_batch_all(spark, sf_dir):
+    """As ``enqueue_batch``, with every event in the batch."""
+    return _enqueue_batch(spark, sf_dir, T.events(spark, sf_dir))
+
+
+def _enqueue_batch(spark, sf_dir, events: DataFrame) -> DataFrame:
     st = T.state(spark, sf_dir)
-    e = T.events(spark, sf_dir).where("event_id % 5 = 0")
-    rows = e.select(F.concat(F.lit("new-"), "event_id").alias("id"), F.concat(F.lit("evt-"), "event_id").alias("event_id"), "event_type", F.col("props").alias("payload"), F.concat(F.lit("sub-"), "user_id").alias("subscriber_id"), F.concat(F.lit("https://example.test/hook/"), "user_id").alias("url"), "ts")
+    rows = events.select(F.concat(F.lit("new-"), "event_id").alias("id"), F.concat(F.lit("evt-"), "event_id").alias("event_id"), "event_type", F.col("props").alias("payload"), F.concat(F.lit("sub-"), "user_id").alias("subscriber_id"), F.concat(F.lit("https://example.test/hook/"), "user_id").alias("url"), "ts")
     rows = rows.withColumn("partition", S.partition_of(F.col("subscriber_id")))
     after = enqueue.enqueue(replace(st), rows, T.now(), [F.col("ts"), F.col("event_id")], max_age_s=0, max_count=0)
     return after.deliveries.where("id LIKE 'new-%'").select("id", "subscriber_id", "sequence", "status")
