@@ -46,3 +46,19 @@ def test_every_event_is_filtered_by_owner(spark, sf):
 def test_every_event_is_enqueued(spark, sf):
     rows = catalogue.queries()["enqueue_batch_all"](spark, sf).collect()
     assert sorted(r.id for r in rows) == sorted(f"new-{r.event_id}" for r in spark.read.parquet(f"{sf}/events.parquet").select("event_id").collect())
+
+
+def test_every_suspended_subscriber_resumes(spark, sf):
+    q = catalogue.queries()
+    asleep = {r.subscriber_id for r in q["is_suspended"](spark, sf).where("suspended").collect()}
+    assert {r.subscriber_id for r in q["resume_gap_all"](spark, sf).collect()} == asleep | {"sub-unknown"}
+    assert q["resume_replay_all"](spark, sf).where("status = 'retained'").isEmpty()
+
+
+def test_every_delivered_row_rejects_its_command(spark, sf):
+    got = {r.id for r in catalogue.queries()["mark_rejected_all"](spark, sf).where("rejected = 'not_in_flight'").collect()}
+    n = spark.read.parquet(f"{sf}/events.parquet").count()
+    by_status = {r.id: r.status for r in catalogue.queries()["mark_delivered"](spark, sf).collect()}
+    # A right stamp also ends as delivered: it was in flight and isn't rejected.
+    assert len(by_status) == n and got <= {i for i, s in by_status.items() if s == "delivered"}
+    assert len(got) == catalogue.queries()["inversions_ordered"](spark, sf).first().receipts

@@ -235,15 +235,15 @@ def claim_fifo(spark, sf_dir):
     return claim.claim_fifo(T.deliveries(spark, sf_dir), "worker-0", 1, T.now()).select(*_CLAIM_COLUMNS)
 
 
-def _commands(d: DataFrame) -> DataFrame:
-    """For every third row in flight the right stamp; next to it a wrong owner, generation, id, and a row not in flight."""
+def _commands(d: DataFrame, done: str = "status = 'delivered' AND sequence % 50 = 0") -> DataFrame:
+    """For every third row in flight the right stamp; next to it a wrong owner, generation, id, and rows not in flight, chosen by ``done``."""
     flying = d.where("status = 'in_flight'")
     right = flying.where("sequence % 3 = 0").select("id", "owner", "generation")
     wrong = flying.where("sequence % 3 = 1").select("id", F.lit("worker-x").alias("owner"), "generation")
     old = flying.where("sequence % 3 = 2").select("id", "owner", F.lit(9).cast("bigint").alias("generation"))
-    done = d.where("status = 'delivered' AND sequence % 50 = 0").select("id", F.lit("worker-0").alias("owner"), F.lit(1).cast("bigint").alias("generation"))
+    delivered = d.where(done).select("id", F.lit("worker-0").alias("owner"), F.lit(1).cast("bigint").alias("generation"))
     none = d.where("sequence = 1").select(F.concat(F.lit("no-"), "id").alias("id"), F.lit("worker-0").alias("owner"), F.lit(1).cast("bigint").alias("generation"))
-    return right.unionByName(wrong).unionByName(old).unionByName(done).unionByName(none)
+    return right.unionByName(wrong).unionByName(old).unionByName(delivered).unionByName(none)
 
 
 _MARKED = "id, status, attempt, next_attempt_at, owner, generation, claimed_at"
@@ -282,6 +282,15 @@ def mark_rejected(spark, sf_dir):
     return transitions.rejected(d, _commands(d)).select("id", "rejected")
 
 
+@query("""SELECT id, 'stale_stamp' AS rejected FROM d WHERE status = 'in_flight' AND sequence % 3 <> 0
+UNION ALL SELECT id, 'not_in_flight' FROM d WHERE status = 'delivered'
+UNION ALL SELECT concat('no-', id), 'unknown' FROM d WHERE sequence = 1""")
+def mark_rejected_all(spark, sf_dir):
+    """As ``mark_rejected``, with a command for every delivered row."""
+    d = T.deliveries(spark, sf_dir)
+    return transitions.rejected(d, _commands(d, "status = 'delivered'")).select("id", "rejected")
+
+
 @query("""
 , hit AS (SELECT DISTINCT subscriber_id FROM d WHERE status = 'in_flight' AND sequence % 3 = 0),
 a AS (SELECT d.*, CASE WHEN d.status = 'in_flight' AND d.sequence % 3 = 0 THEN 'dead_lettered' WHEN hit.subscriber_id IS NOT NULL AND d.status = 'pending' THEN 'retained' ELSE d.status END AS new_status, hit.subscriber_id IS NOT NULL AS touched FROM d LEFT JOIN hit USING (subscriber_id)),
@@ -349,6 +358,26 @@ def resume_replay(spark, sf_dir):
     return transitions.resume(st, who, T.now(), _AGE_S, _COUNT)[0].deliveries.select("id", "status", "attempt", "next_attempt_at")
 
 
+@query(_LOST + _GAP + """
+SELECT u.subscriber_id, g.n IS NOT NULL AS gap, coalesce(g.n, 0)::INTEGER AS dropped, CASE WHEN g.n IS NULL THEN '' ELSE concat(u.subscriber_id, ':dropped=', g.n, ':through_seq=', g.last, ':', CASE WHEN g.c > 0 THEN 'count' ELSE 'age' END) END AS marker
+FROM (SELECT DISTINCT subscriber_id FROM d WHERE suspended) u LEFT JOIN g ON g.subscriber_id = u.subscriber_id
+UNION ALL SELECT 'sub-unknown', false, 0, ''
+""")
+def resume_gap_all(spark, sf_dir):
+    """As ``resume_gap``, for every suspended subscriber."""
+    st = T.state(spark, sf_dir)
+    who = st.subscribers.where("suspended").select("subscriber_id").unionByName(spark.sql("SELECT 'sub-unknown' AS subscriber_id"))
+    return transitions.resume(st, who, T.now(), _AGE_S, _COUNT)[1]
+
+
+@query(_LOST + "SELECT id, CASE WHEN status = 'retained' THEN 'pending' ELSE status END AS status, attempt, CASE WHEN status = 'retained' THEN TIMESTAMP '2024-02-01' ELSE next_attempt_at END AS next_attempt_at FROM d WHERE id NOT IN (SELECT id FROM x)")
+def resume_replay_all(spark, sf_dir):
+    """As ``resume_replay``, for every suspended subscriber."""
+    st = T.state(spark, sf_dir)
+    who = st.subscribers.where("suspended").select("subscriber_id")
+    return transitions.resume(st, who, T.now(), _AGE_S, _COUNT)[0].deliveries.select("id", "status", "attempt", "next_attempt_at")
+
+
 _OLD = "status = 'in_flight' AND claimed_at < TIMESTAMP '2024-02-01' - INTERVAL 240 HOUR"
 
 
