@@ -1,7 +1,11 @@
 """The whole job: long keys, and every row of the inputs."""
 
+from types import SimpleNamespace
+
+import pytest
 from pyspark.sql import functions as F
 
+from tideline.engine import Config, Engine
 from tideline.functions import scalars as S
 from tideline.plans import catalogue
 
@@ -62,3 +66,18 @@ def test_every_delivered_row_rejects_its_command(spark, sf):
     # A right stamp also ends as delivered: it was in flight and isn't rejected.
     assert len(by_status) == n and got <= {i for i, s in by_status.items() if s == "delivered"}
     assert len(got) == catalogue.queries()["inversions_ordered"](spark, sf).first().receipts
+
+
+def test_drain_has_no_round_cap(spark):
+    steps = iter([1] * 1500 + [0])
+    state = SimpleNamespace(deliveries=spark.createDataFrame([], "status string"))
+    e = SimpleNamespace(step=lambda: next(steps), store=SimpleNamespace(read=lambda: state), config=Config())
+    assert Engine.drain(e, wait=lambda s: None) == 1500
+
+
+def test_drain_ends_at_its_deadline(spark):
+    state = SimpleNamespace(deliveries=spark.createDataFrame([("pending",)], "status string"))
+    e = SimpleNamespace(step=lambda: 0, store=SimpleNamespace(read=lambda: state), config=Config())
+    for limit in ({"rounds": 2}, {"deadline_s": 0.0}):
+        with pytest.raises(TimeoutError):
+            Engine.drain(e, wait=lambda s: None, **limit)

@@ -6,6 +6,7 @@ and a driver that starts again goes on from the last whole state.
 
 from __future__ import annotations
 
+import itertools
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
@@ -153,23 +154,27 @@ class Engine:
             for row in transitions.newly_suspended(state.subscribers, written.subscribers).toLocalIterator():
                 self.on_suspend(row.subscriber_id)
 
-    def drain(self, rounds: int = 1000, wait: Callable[[float], None] = time.sleep) -> int:
-        """Steps until nothing is pending or in flight; rows in backoff are waited for.  The number of attempts."""
-        total = 0
-        for _ in range(rounds):
+    def drain(self, rounds: int | None = None, wait: Callable[[float], None] = time.sleep, deadline_s: float | None = None) -> int:
+        """Steps until nothing is pending or in flight; rows in backoff are waited for.  The number of attempts.
+
+        Only ``rounds`` or ``deadline_s``, where given, end it earlier, by a TimeoutError.
+        """
+        total, began = 0, time.monotonic()
+        for done in itertools.count():
+            if (rounds is not None and done >= rounds) or (deadline_s is not None and time.monotonic() - began >= deadline_s):
+                raise TimeoutError(f"not drained in {done} rounds")
             n = self.step()
             total += n
             if not n:
                 if transitions.unfinished(self.store.read().deliveries).first().n == 0:
                     return total
                 wait(self.config.base_ms / 1000)
-        raise TimeoutError(f"not drained in {rounds} rounds")
 
-    def close(self, rounds: int = 1000) -> None:
+    def close(self, rounds: int | None = None, deadline_s: float | None = None) -> None:
         """New dispatches are refused; what is pending or in flight is drained."""
         self.closed = True
         if self.started:
-            self.drain(rounds)
+            self.drain(rounds, deadline_s=deadline_s)
 
     def resume(self, subscriber: str) -> Row:
         """Wakes a suspended subscriber; its gap."""
