@@ -244,9 +244,37 @@ def test_suffixes(spark, alphabet, limits):
     assert in_order((r.doc_id, r.n_bytes, [tuple(s) for s in r.spans], bytes(r.kept)) for r in got) == in_order(suffix_reference(rows, 24))
 
 
+@pytest.mark.parametrize("limits", [{}, {"block": 3000, "over": 5000}])
+def test_suffixes_of_documents(spark, limits):
+    """The operator's own 400 bytes, on a whole table."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = suffix_dedup.suffix_dedup(df, **limits).collect()
+    want = suffix_reference(rows_of(df), 400)
+    assert in_order((r.doc_id, r.n_bytes, [tuple(s) for s in r.spans], bytes(r.kept)) for r in got) == in_order(want)
+    assert sum(b - a for _, _, spans, _ in want for a, b in spans) > 400_000
+
+
+def test_a_passage_of_many_documents_is_cut_in_bands(spark):
+    rng = random.Random(9)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    rows = [(n, "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(0, 90))) + passage[n % 3 * 40 :] + "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(0, 90)))) for n in range(200)]
+    got = suffix_dedup.suffix_dedup(frame(spark, rows), 100, 16, over=2000).collect()
+    assert in_order((r.doc_id, r.n_bytes, [tuple(s) for s in r.spans], bytes(r.kept)) for r in got) == in_order(suffix_reference(rows, 100))
+
+
+def test_bands_keep_all_windows():
+    rng = random.Random(5)
+    for text in (rng.randbytes(3000), b"ab" * 900, bytes(rng.choice(b"ab") for _ in range(2000))):
+        for p0, n, aoff, g, _, _ in suffix_dedup.contexts(text, 100, 16):
+            raw = text[p0 : p0 + n + 99]
+            for width in (*suffix_dedup.WIDTHS, 7):
+                found = suffix_dedup.bands(raw, aoff, g, width, 100)
+                assert [x for a, k, *_ in found for x in range(a, a + k)] == list(range(n)) and all(k <= width and o == aoff - a for a, k, o, *_ in found)
+
+
 def test_suffix_scan_chunks_agree():
     text = random.Random(2).randbytes(9000)
-    windows = lambda scan: sorted((p, g) for p0, n, g, _, _ in suffix_dedup.contexts(text, 400, 64, scan) for p in range(p0, p0 + n))
+    windows = lambda scan: sorted((p, g) for p0, n, _, g, _, _ in suffix_dedup.contexts(text, 400, 64, scan) for p in range(p0, p0 + n))
     assert windows(1 << 19) == windows(1000) and len(windows(1000)) == 8601
 
 

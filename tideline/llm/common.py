@@ -116,6 +116,17 @@ def join_one(rows: DataFrame, key: str, lookup: DataFrame, total: int, few: int
     return by_value.unionByName(rows.join(hot, key, "left_anti").join(lookup, key))
 
 
+def join_flagged(rows: DataFrame, keys: list[str], lookup: DataFrame) -> DataFrame:
+    """Inner join of ``rows`` with ``lookup``, which has one row a key and marks the few hot keys in ``hot``.
+
+    Hot keys, at most HOT_KEYS of them, are broadcast; the others are shuffled.  Both are
+    read several times: written tables.
+    """
+    hot, others = F.broadcast(lookup.where("hot").drop("hot")), lookup.where("NOT hot").drop("hot")
+    cold = rows.join(F.broadcast(lookup.where("hot").select(*keys)), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(cold.join(others, keys))
+
+
 def smallest_hashes(rows: DataFrame, by: str, k: int) -> DataFrame:
     """Of each value of ``by`` the ``k`` rows (doc_id, by) of smallest hash of doc_id; adds that hash, r.
 

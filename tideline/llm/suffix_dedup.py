@@ -5,19 +5,21 @@ window that also starts anywhere else is removed, judged on the input.
 
 Windows are dealt out so that equal ones meet: a window's anchor is its k-gram with the
 least hash, which depends on the window's bytes alone.  Neighbouring windows with one
-anchor make a *context*.  Contexts are counted by their whole content first (grouped
-aggregation), so a passage that many documents share travels once.  A context seen twice
-is covered wholly.  The contexts left that share their anchor with others are sorted:
+anchor make a *context*.  Contexts of equal content are one class, and of a class two
+members at most travel, so a passage that many documents share isn't sorted once a copy.
+All that can hold equal windows is sorted, and the order alone decides what repeats:
 
 * two-stage suffix sorting: only suffixes smaller than their successors (type B) are
   sorted directly; the others (type A) are induced by scanning the buckets of first
   bytes in order, each suffix placing its predecessor;
 * adjacent common prefixes of the sorted windows then show which occur twice.
 
-Sorting runs in blocks of about ``BLOCK`` bytes that never split an anchor.  An anchor
-with more than ``OVER`` bytes of different contexts is not gathered in a task: its
-windows are counted by 128-bit hash in a grouped aggregation instead, exactly the same
-windows.
+What a class's members lose follows from the class.  Sorting runs in blocks of about
+``BLOCK`` bytes that never split an anchor.  An anchor with more than ``OVER`` bytes of
+different contexts would not fit a task: its contexts are cut into bands of windows by
+the anchor's place in them, and dealt anew by anchor, band and the bytes that all windows
+of a band hold (``WIDTHS``: ever narrower bands, the last of one window).  Equal windows
+have one anchor, one place and so one band, so they still meet.
 
 Defined results: null or empty text has no bytes and loses none.  A null doc_id comes
 back as null.  Rows that repeat a doc_id or a text are documents of their own, so equal
@@ -34,10 +36,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import cut, id_back, id_col, out_batch, slices, text_col
+from tideline.llm.common import HOT_KEYS, HOT_LEAST, cut, id_back, id_col, join_flagged, out_batch, slices, text_col
 
 LENGTH, GRAM = 400, 64
-BLOCK, OVER = 1 << 20, 2 << 20
+BLOCK, OVER = 1 << 18, 1 << 19
+#: Windows in a band, for anchors over OVER.
+WIDTHS = (48, 8, 1)
 SCAN = 1 << 19
 
 _rng = np.random.default_rng(20240501)
@@ -46,7 +50,9 @@ _base = np.uint64(0x9E3779B97F4A7C15)
 _inverse = np.uint64(pow(int(_base), -1, 2**64))
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-OCC = pa.schema([("p0", pa.int64()), ("n_win", pa.int32()), ("g", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64())])
+#: A context: its first window, windows, where its anchor starts in it, the key it is dealt by, and its content's hash.
+OCC = pa.schema([("p0", pa.int64()), ("n_win", pa.int32()), ("aoff", pa.int32()), ("g", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64())])
+OCC_DDL = "p0 long, n_win int, aoff int, g long, c1 long, c2 long"
 
 
 def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,8 +83,13 @@ def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.nd
     return (least & np.uint64((1 << 24) - 1)).astype(np.int64), h
 
 
-def contexts(text: bytes, length: int = LENGTH, gram: int = GRAM, scan: int = SCAN) -> list[tuple[int, int, int, int, int]]:
-    """(first window, windows, anchor hash, two halves of the content's hash) of each context."""
+def _halves(raw: bytes) -> tuple[int, int]:
+    d = xxhash.xxh3_128_digest(raw)
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
+def contexts(text: bytes, length: int = LENGTH, gram: int = GRAM, scan: int = SCAN) -> list[tuple[int, int, int, int, int, int]]:
+    """The contexts of a text, as OCC."""
     out = []
     for at in range(0, len(text) - length + 1, scan):
         raw = text[at : at + scan + length - 1]
@@ -86,9 +97,24 @@ def contexts(text: bytes, length: int = LENGTH, gram: int = GRAM, scan: int = SC
         starts = np.concatenate([[0], np.flatnonzero(where[1:] != where[:-1]) + 1])
         stops = np.concatenate([starts[1:], [len(where)]])
         grams = h[where[starts]].view(np.int64).tolist()
-        for s, e, g in zip(starts.tolist(), stops.tolist(), grams, strict=True):
-            d = xxhash.xxh3_128_digest(raw[s : e - 1 + length])
-            out.append((at + s, e - s, g, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
+        for s, e, a, g in zip(starts.tolist(), stops.tolist(), where[starts].tolist(), grams, strict=True):
+            out.append((at + s, e - s, a - s, g, *_halves(raw[s : e - 1 + length])))
+    return out
+
+
+def bands(raw: bytes, aoff: int, g: int, width: int, length: int) -> list[tuple[int, int, int, int, int, int]]:
+    """A context in bands of ``width`` places of the anchor: OCC, with p0 counted from the context's start.
+
+    All windows of a band hold the same bytes around the anchor, which enter the new key.
+    """
+    out = []
+    last = len(raw) - length  # the last window has the anchor at aoff - last
+    for band in range(aoff // width, (aoff - last) // width - 1, -1):
+        low, high = band * width, band * width + width - 1
+        x, y = aoff - min(aoff, high), aoff - max(aoff - last, low)
+        core = raw[aoff - low : max(0, aoff - high + length)]
+        key = xxhash.xxh3_64_intdigest(g.to_bytes(8, "little", signed=True) + band.to_bytes(8, "little") + core)
+        out.append((x, y - x + 1, aoff - x, key - (1 << 64) if key >> 63 else key, *_halves(raw[x : y + length])))
     return out
 
 
@@ -99,7 +125,7 @@ def _scan(length: int, gram: int):
             n = np.array([len(f) for f in found], dtype=np.int64)
             take = pa.array(np.repeat(np.arange(len(n)), n))
             flat = [x for f in found for x in f]
-            columns = list(zip(*flat, strict=True)) if flat else [[]] * 5
+            columns = list(zip(*flat, strict=True)) if flat else [[]] * len(OCC)
             yield pa.RecordBatch.from_arrays([b.column("id").take(take), b.column("th").take(take), *(pa.array(c, f.type) for c, f in zip(columns, OCC, strict=True))], names=["id", "th", *OCC.names])
 
     return run
@@ -193,91 +219,120 @@ def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def block_spans(rows: list[tuple[int, int, int, bool, bytes]], length: int) -> list[tuple[int, int, int, int]]:
-    """rows (id, th, p0, twice, bytes) of whole anchors -> covered (id, th, from, to) of rows not ``twice``."""
-    raw = b"".join(r[4] for r in rows)
-    text = np.frombuffer(raw, np.uint8)
-    sizes = np.array([len(r[4]) for r in rows], dtype=np.int64)
+def block_runs(raws: list[bytes], length: int) -> list[list[tuple[int, int]]]:
+    """Contexts of whole groups -> of each, the byte ranges covered by repeated windows."""
+    text = np.frombuffer(b"".join(raws), np.uint8)
+    sizes = np.array([len(r) for r in raws], dtype=np.int64)
     ends = np.cumsum(sizes)
     starts, counts = ends - sizes, sizes - length + 1
     marked = repeated(text, suffix_order(text, starts, counts, ends, length), length)
-    out = []
-    for (i, th, p0, twice, _), s, n in zip(rows, starts.tolist(), counts.tolist(), strict=True):
-        if not twice:
-            out += [(i, th, p0 + a, p0 + b - 1 + length) for a, b in _runs(marked[s : s + n])]
-    return out
+    return [[(a, b - 1 + length) for a, b in _runs(marked[s : s + n])] for s, n in zip(starts.tolist(), counts.tolist(), strict=True)]
 
 
-SPANS = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+SPAN = pa.struct([("a", pa.int64()), ("b", pa.int64())])
+FOUND = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("n", pa.int64()), ("spans", pa.list_(SPAN))])
+FOUND_DDL = "c1 long, c2 long, n long, spans array<struct<a: long, b: long>>"
 
 
 def _sort_blocks(length: int, block: int):
-    """Contexts ordered by anchor -> spans."""
+    """Members of classes, ordered by g -> FOUND of the first members that lose bytes."""
 
-    def spans(rows):
-        found = block_spans(rows, length)
-        columns = list(zip(*found, strict=True)) if found else [[]] * 4
-        return out_batch(SPANS, **dict(zip(SPANS.names, columns, strict=True)))
+    def found(rows):
+        kept = [(r, runs) for r, runs in zip(rows, block_runs([r[4] for r in rows], length), strict=True) if r[3] and runs]
+        return out_batch(FOUND, c1=[r[0] for r, _ in kept], c2=[r[1] for r, _ in kept], n=[r[2] for r, _ in kept], spans=[[{"a": a, "b": b} for a, b in runs] for _, runs in kept])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, held, size = None, [], 0
         for b in slices(batches, 1024):
-            for r in zip(*(b.column(c).to_pylist() for c in ("g", "id", "th", "p0", "twice", "raw")), strict=True):
+            for r in zip(*(b.column(c).to_pylist() for c in ("g", "c1", "c2", "n", "first", "raw")), strict=True):
                 if r[0] != g and size >= block:
-                    yield spans(held)
+                    yield found(held)
                     held, size = [], 0
                 g = r[0]
                 held.append(r[1:])
                 size += len(r[5])
         if held:
-            yield spans(held)
+            yield found(held)
 
     return run
 
 
-def _window_hashes(length: int):
+WANT = ("p0", "n_win", "aoff", "g", "c1", "c2", "n", "first")
+
+
+def _fetch(length: int):
+    """Texts with the contexts wanted of them -> a row a context, with its bytes."""
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 64):
+            for i, th, t, want in zip(b.column("id").to_pylist(), b.column("th").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("want").to_pylist(), strict=True):
+                for at in range(0, len(want), 4096):
+                    part = want[at : at + 4096]
+                    raw = [t[w["p0"] : w["p0"] + w["n_win"] - 1 + length] for w in part]
+                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(part), pa.int64()), pa.array([th] * len(part), pa.int64()), *(pa.array([w[c] for w in part], k) for c, k in zip(WANT, kinds, strict=True)), pa.array(raw, pa.binary())], names=["id", "th", *WANT, "raw"])
+
+    return run
+
+
+def _split(length: int, width: int):
+    """Contexts with their bytes -> their bands as contexts of their own; o1, o2, off: the class they are cut from, and where."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 256):
-            for r in b.to_pylist():
-                raw = r["raw"]
-                d = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[s : s + length]) for s in range(len(raw) - length + 1)), dtype=np.int64).reshape(-1, 2)
-                n = len(d)
-                yield pa.RecordBatch.from_arrays([pa.array([r["id"]] * n, pa.int64()), pa.array([r["th"]] * n, pa.int64()), pa.array(np.arange(r["p0"], r["p0"] + n)), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.array([r["twice"]] * n, pa.bool_())], names=["id", "th", "p", "w1", "w2", "twice"])
+            rows = b.to_pylist()
+            found = [bands(r["raw"], r["aoff"], r["g"], width, length) for r in rows]
+            flat = [(r["id"], r["th"], r["c1"], r["c2"], x[0], r["n"], r["p0"] + x[0], *x[1:]) for r, xs in zip(rows, found, strict=True) for x in xs]
+            columns = list(zip(*flat, strict=True)) if flat else [[]] * (6 + len(OCC))
+            long = pa.int64()
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (long, long, long, long, long, long, *OCC.types), strict=True)], names=["id", "th", "o1", "o2", "off", "n", *OCC.names])
 
     return run
 
 
+def _classes(occ: DataFrame) -> DataFrame:
+    """Contexts of equal content: how many, and the first and the last of them."""
+    at = F.struct("id", "th", "p0")
+    return occ.groupBy("g", "c1", "c2").agg(F.sum("n").alias("n"), F.min(at).alias("rep"), F.max(at).alias("other"), F.max("n_win").alias("n_win"), F.max("aoff").alias("aoff"))
+
+
+def _bytes_of(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """wanted (id, th, and WANT) with ``raw``; each text is read once however many of its contexts are wanted."""
+    by_text = wanted.groupBy("id", "th").agg(F.collect_list(F.struct(*WANT)).alias("want"))
+    kinds = "p0 long, n_win int, aoff int, g long, c1 long, c2 long, n long, first boolean"
+    return texts.join(by_text, ["id", "th"]).select("id", "th", "text", "want").mapInArrow(_fetch(length), f"id long, th long, {kinds}, raw binary")
+
+
+def covered(texts: DataFrame, occ: DataFrame, length: int, block: int, over: int, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
+    """occ (id, th, n, OCC ...; a written table) -> its rows that lose bytes, with spans, counted from p0."""
+    classes = cut(_classes(occ), "context-classes")
+    total, n_classes = classes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    size = F.sum((F.col("n_win") + F.lit(length - 1)) * F.when(F.col("n") > 1, 2).otherwise(1))
+    hot = F.count("*") >= max(HOT_LEAST, -(-n_classes // HOT_KEYS))
+    groups = cut(classes.groupBy("g").agg(F.sum("n").alias("members"), (size > over).alias("wide"), hot.alias("hot")).where("members > 1").drop("members"), "context-groups")
+    wanted = join_flagged(classes, ["g"], groups)
+    first = wanted.select("wide", "rep.*", "n_win", "aoff", "g", "c1", "c2", "n", F.lit(True).alias("first"))
+    second = wanted.where("n > 1").select("wide", "other.*", "n_win", "aoff", "g", "c1", "c2", "n", F.lit(False).alias("first"))
+    narrow = _bytes_of(texts, first.unionByName(second).where("NOT wide").drop("wide"), length).select("g", "c1", "c2", "n", "first", "raw")
+    found = narrow.repartition("g").sortWithinPartitions("g").mapInArrow(_sort_blocks(length, block), FOUND_DDL)
+    if widths and not groups.where("wide").isEmpty():
+        split = _bytes_of(texts, first.where("wide").drop("wide"), length).mapInArrow(_split(length, widths[0]), f"id long, th long, o1 long, o2 long, off long, n long, {OCC_DDL}")
+        split = cut(split, "bands")
+        parts = covered(texts, split, length, block, over, widths[1:])
+        moved = F.transform("spans", lambda s: F.struct((s["a"] + F.col("off")).alias("a"), (s["b"] + F.col("off")).alias("b")))
+        whole = parts.groupBy(F.col("o1").alias("c1"), F.col("o2").alias("c2")).agg(F.flatten(F.collect_list(moved)).alias("spans"))
+        found = found.unionByName(whole.join(classes.select("c1", "c2", "n"), ["c1", "c2"]).select(*FOUND.names))
+    lookup = cut(found.select("c1", "c2", "spans", (F.col("n") >= max(HOT_LEAST, -(-total // HOT_KEYS))).alias("hot")), "context-spans")
+    return join_flagged(occ, ["c1", "c2"], lookup)
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, over: int = OVER) -> DataFrame:
     """(id, th, a, b): byte ranges [a, b) covered by repeated windows; they overlap.  th is the text's hash."""
     rows = docs.select(id_col().alias("id"), text_col().alias("text")).withColumn("th", F.xxhash64("text"))
-    long_ = rows.where(F.octet_length("text") >= length)
-    occ = cut(long_.select("id", "th", "text").mapInArrow(_scan(length, gram), "id long, th long, p0 long, n_win int, g long, c1 long, c2 long"), "contexts")
-    classes = cut(occ.groupBy("g", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "p0", "n_win")).alias("rep")), "context-classes")
-    size = F.sum(F.col("rep.n_win") + F.lit(length - 1))
-    shared = classes.groupBy("g").agg(F.count("*").alias("d"), F.min("n").alias("least"), (size > over).alias("wide")).where("d > 1 AND least = 1").select("g", "wide")
-    wanted = classes.join(shared, "g").select("rep.*", "g", "wide", (F.col("n") > 1).alias("twice"))
-    wanted = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("p0", "n_win", "g", "twice", "wide")).alias("want"))
-
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 64):
-            out = {c: [] for c in ("g", "id", "th", "p0", "twice", "wide", "raw")}
-            for i, th, t, want in zip(b.column("id").to_pylist(), b.column("th").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("want").to_pylist(), strict=True):
-                for w in want:
-                    for c, v in zip(out, (w["g"], i, th, w["p0"], w["twice"], w["wide"], t[w["p0"] : w["p0"] + w["n_win"] - 1 + length]), strict=True):
-                        out[c].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[c], t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()), strict=True)], names=list(out))
-
-    parts = cut(long_.join(wanted, ["id", "th"]).select("id", "th", "text", "want").mapInArrow(fetch, "g long, id long, th long, p0 long, twice boolean, wide boolean, raw binary"), "context-texts")
-    sorted_ = parts.where("NOT wide").repartition("g").sortWithinPartitions("g").mapInArrow(_sort_blocks(length, block), "id long, th long, a long, b long")
-    twice = occ.join(classes.where("n > 1").select("g", "c1", "c2"), ["g", "c1", "c2"]).select("id", "th", F.col("p0").alias("a"), (F.col("p0") + F.col("n_win") - 1 + length).alias("b"))
-    spans = sorted_.unionByName(twice)
-    wide = parts.where("wide")
-    if not wide.isEmpty():
-        windows = cut(wide.select("id", "th", "p0", "twice", "raw").mapInArrow(_window_hashes(length), "id long, th long, p long, w1 long, w2 long, twice boolean"), "windows")
-        again = windows.groupBy("w1", "w2").agg(F.count("*").alias("k")).where("k > 1").select("w1", "w2")
-        hit = windows.where("NOT twice").join(again, ["w1", "w2"]).select("id", "th", F.col("p").alias("a"), (F.col("p") + length).alias("b"))
-        spans = spans.unionByName(hit)
-    return spans
+    texts = rows.where(F.octet_length("text") >= length).select("id", "th", "text")
+    occ = cut(texts.mapInArrow(_scan(length, gram), f"id long, th long, {OCC_DDL}"), "contexts").withColumn("n", F.lit(1).cast("long"))
+    lost = covered(texts, occ, length, block, over).select("id", "th", "p0", F.explode("spans").alias("s"))
+    return lost.select("id", "th", (F.col("p0") + F.col("s.a")).alias("a"), (F.col("p0") + F.col("s.b")).alias("b"))
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
