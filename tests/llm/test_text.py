@@ -1,15 +1,19 @@
 """Tokens, chat format, classifier, language ID, decontamination and the pipeline."""
 
 import hashlib
+import os
 import random
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tideline.llm import bpe, chat_format, decontaminate, language_id, pretokens, queries, token_counts, toxicity
+from tideline.llm.common import cut, free, shared_dir, slices
 
 PATTERN = public_tokenizers.PATTERN
 RANKS, JSON = public_tokenizers.path(queries.ENCODE_FILE), public_tokenizers.path(queries.COUNT_FILE)
@@ -20,6 +24,30 @@ def docs(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+# shared parts
+
+def test_slices_bound_rows_and_bytes():
+    texts = ["x" * n for n in (10, 3000, 1, 1, 5000, 0, 2)] + [None] * 9
+    batch = pa.RecordBatch.from_pydict({"id": list(range(16)), "text": texts})
+    got = list(slices(iter([batch]), 4, 3000))
+    assert [t for b in got for t in b.column("text").to_pylist()] == texts and [b.num_rows for b in got] == [1, 1, 2, 1, 4, 4, 3]
+
+
+def test_scratch_tables_can_be_freed(spark):
+    table = cut(spark.range(3), "scratch")
+    path = table._scratch.removeprefix("file://").removeprefix("file:")
+    assert table.count() == 3 and os.path.exists(path)
+    free(table)
+    assert not os.path.exists(path)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    conf = SimpleNamespace(get=lambda *_: None)
+    sc = SimpleNamespace(applicationId="other", master="spark://host:7077", getConf=lambda: conf)
+    with pytest.raises(ValueError):
+        shared_dir(SimpleNamespace(sparkContext=sc, conf=conf))
+
+
 # byte-level BPE
 
 def test_bpe_agrees_with_the_library(spark, sf):

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,21 +29,27 @@ FEW_ROWS = 10_000
 #: Rows a file, and least number of files, of tables whose number of rows is known when they are written.
 FILE_ROWS, LEAST_FILES = 1 << 18, 8
 
+#: Bytes of text that become Python objects at a time.
+SLICE_BYTES = 4 << 20
+
 _roots: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The application's own folder under ``spark.checkpoint.dir``.
 
-    The setting is read from the session.  Only where it is unset (tests on one
-    machine) a temporary folder is made and set.  The folder is deleted when the
-    driver's Python ends.
+    The setting is read from the session.  Only where it is unset and the master is local
+    (tests on one machine) a temporary folder is made and set; a cluster without the setting
+    is refused, as executors would write to disks of their own.  The folder is deleted when
+    the driver's Python ends; ``free`` deletes tables before that.
     """
     sc = spark.sparkContext
     app = sc.applicationId
     if app not in _roots:
         base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not re.match(r"local(\[|$)", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="tideline-")
         if sc._jsc.sc().getCheckpointDir().isEmpty():
             sc.setCheckpointDir(base)
@@ -69,7 +77,15 @@ def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     if rows is not None:
         df = df.coalesce(max(LEAST_FILES, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Deletes tables that ``cut`` wrote, once all that read them is written itself."""
+    for df in tables:
+        _delete(df.sparkSession, df._scratch)
 
 
 def cut_parts(df: DataFrame) -> DataFrame:
@@ -141,14 +157,23 @@ def smallest_hashes(rows: DataFrame, by: str, k: int) -> DataFrame:
     return ranked.where(F.col("__rank") <= k).drop("__by", "__n", "__rank")
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches small, so that Python objects of few rows exist at a time.
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches to few rows and, but for single longer rows, ``size`` bytes of text, so that Python objects of few rows exist at a time.
 
     After the last one, freed memory goes back: workers wait for later tasks with it.
     """
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        upto = np.zeros(b.num_rows, dtype=np.int64)
+        for c in b.columns:
+            if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
+                upto += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+        upto = np.cumsum(upto)
+        at = 0
+        while at < b.num_rows:
+            end = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size, side="right"))
+            end = min(b.num_rows, at + rows, max(at + 1, end))
+            yield b.slice(at, end - at)
+            at = end
         del b
     for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
         pool.release_unused()

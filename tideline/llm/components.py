@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import FEW_ROWS, cut, join_one
+from tideline.llm.common import FEW_ROWS, cut, free, join_one
 
 
 def _join(edges: DataFrame, least: DataFrame, total: int, few: int) -> DataFrame:
@@ -39,7 +39,9 @@ def components(links: DataFrame, rounds: int = 60, few: int = FEW_ROWS) -> DataF
         if mark[0] == 0 or mark == seen:
             break
         seen = mark
-        edges = cut(_small(cut(_large(edges, mark[0], few), "links-large", mark[0]), mark[0], few), "links", mark[0])
+        large = cut(_large(edges, mark[0], few), "links-large", mark[0])
+        before, edges = edges, cut(_small(large, mark[0], few), "links", mark[0])
+        free(before, large)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import HOT_KEYS, HOT_LEAST, cut, id_back, id_col, join_flagged, out_batch, slices, text_col
+from tideline.llm.common import HOT_KEYS, HOT_LEAST, cut, free, id_back, id_col, join_flagged, out_batch, slices, text_col
 
 LENGTH, GRAM = 400, 64
 BLOCK, OVER = 1 << 18, 1 << 19
@@ -315,14 +315,16 @@ def covered(texts: DataFrame, occ: DataFrame, length: int, block: int, over: int
     second = wanted.where("n > 1").select("wide", "other.*", "n_win", "aoff", "g", "c1", "c2", "n", F.lit(False).alias("first"))
     narrow = _bytes_of(texts, first.unionByName(second).where("NOT wide").drop("wide"), length).select("g", "c1", "c2", "n", "first", "raw")
     found = narrow.repartition("g").sortWithinPartitions("g").mapInArrow(_sort_blocks(length, block), FOUND_DDL)
+    split = None
     if widths and not groups.where("wide").isEmpty():
         split = _bytes_of(texts, first.where("wide").drop("wide"), length).mapInArrow(_split(length, widths[0]), f"id long, th long, o1 long, o2 long, off long, n long, {OCC_DDL}")
         split = cut(split, "bands")
-        parts = covered(texts, split, length, block, over, widths[1:])
+        parts = covered(texts, split, length, block, over, widths[1:])  # its rows come from split and a table of its own
         moved = F.transform("spans", lambda s: F.struct((s["a"] + F.col("off")).alias("a"), (s["b"] + F.col("off")).alias("b")))
         whole = parts.groupBy(F.col("o1").alias("c1"), F.col("o2").alias("c2")).agg(F.flatten(F.collect_list(moved)).alias("spans"))
         found = found.unionByName(whole.join(classes.select("c1", "c2", "n"), ["c1", "c2"]).select(*FOUND.names))
     lookup = cut(found.select("c1", "c2", "spans", (F.col("n") >= max(HOT_LEAST, -(-total // HOT_KEYS))).alias("hot")), "context-spans")
+    free(classes, groups, *[split] * (split is not None))
     return join_flagged(occ, ["c1", "c2"], lookup)
 
 
