@@ -265,7 +265,7 @@ def test_a_passage_of_many_documents_is_cut_in_bands(spark):
 def test_bands_keep_all_windows():
     rng = random.Random(5)
     for text in (rng.randbytes(3000), b"ab" * 900, bytes(rng.choice(b"ab") for _ in range(2000))):
-        for p0, n, aoff, g, _, _ in suffix_dedup.contexts(text, 100, 16):
+        for p0, n, aoff, g, _ in suffix_dedup.contexts(text, 100, 16):
             raw = text[p0 : p0 + n + 99]
             for width in (*suffix_dedup.WIDTHS, 7):
                 found = suffix_dedup.bands(raw, aoff, g, width, 100)
@@ -274,7 +274,7 @@ def test_bands_keep_all_windows():
 
 def test_suffix_scan_chunks_agree():
     text = random.Random(2).randbytes(9000)
-    windows = lambda scan: sorted((p, g) for p0, n, _, g, _, _ in suffix_dedup.contexts(text, 400, 64, scan) for p in range(p0, p0 + n))
+    windows = lambda scan: sorted((p, g) for p0, n, _, g, _ in suffix_dedup.contexts(text, 400, 64, scan) for p in range(p0, p0 + n))
     assert windows(1 << 19) == windows(1000) and len(windows(1000)) == 8601
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import tempfile
 import uuid
@@ -88,6 +89,12 @@ def free(*tables: DataFrame) -> None:
         _delete(df.sparkSession, df._scratch)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets the disk of finished queries' shuffles go: Spark deletes them when the driver's JVM collects its garbage, which a large heap may put off for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut_parts(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: like ``cut``, but partitions and their order stay as they are."""
     shared_dir(df.sparkSession)

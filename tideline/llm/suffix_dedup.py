@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import HOT_KEYS, HOT_LEAST, cut, free, id_back, id_col, join_flagged, out_batch, slices, text_col
+from tideline.llm.common import HOT_KEYS, HOT_LEAST, cut, free, free_shuffles, id_back, id_col, join_flagged, out_batch, slices, text_col
 
 LENGTH, GRAM = 400, 64
 BLOCK, OVER = 1 << 18, 1 << 19
@@ -50,9 +50,10 @@ _base = np.uint64(0x9E3779B97F4A7C15)
 _inverse = np.uint64(pow(int(_base), -1, 2**64))
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-#: A context: its first window, windows, where its anchor starts in it, the key it is dealt by, and its content's hash.
-OCC = pa.schema([("p0", pa.int64()), ("n_win", pa.int32()), ("aoff", pa.int32()), ("g", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64())])
-OCC_DDL = "p0 long, n_win int, aoff int, g long, c1 long, c2 long"
+#: A context: its first window, windows, where its anchor starts in it, the key it is dealt by (the anchor's hash), and its content's hash.
+#: Contents are told apart by both hashes, 128 bits.
+OCC = pa.schema([("p0", pa.int64()), ("n_win", pa.int32()), ("aoff", pa.int32()), ("g", pa.int64()), ("c", pa.int64())])
+OCC_DDL = "p0 long, n_win int, aoff int, g long, c long"
 
 
 def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,12 +84,11 @@ def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.nd
     return (least & np.uint64((1 << 24) - 1)).astype(np.int64), h
 
 
-def _halves(raw: bytes) -> tuple[int, int]:
-    d = xxhash.xxh3_128_digest(raw)
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+def _hash(raw: bytes) -> int:
+    return int.from_bytes(xxhash.xxh3_64_digest(raw), "little", signed=True)
 
 
-def contexts(text: bytes, length: int = LENGTH, gram: int = GRAM, scan: int = SCAN) -> list[tuple[int, int, int, int, int, int]]:
+def contexts(text: bytes, length: int = LENGTH, gram: int = GRAM, scan: int = SCAN) -> list[tuple[int, int, int, int, int]]:
     """The contexts of a text, as OCC."""
     out = []
     for at in range(0, len(text) - length + 1, scan):
@@ -98,11 +98,11 @@ def contexts(text: bytes, length: int = LENGTH, gram: int = GRAM, scan: int = SC
         stops = np.concatenate([starts[1:], [len(where)]])
         grams = h[where[starts]].view(np.int64).tolist()
         for s, e, a, g in zip(starts.tolist(), stops.tolist(), where[starts].tolist(), grams, strict=True):
-            out.append((at + s, e - s, a - s, g, *_halves(raw[s : e - 1 + length])))
+            out.append((at + s, e - s, a - s, g, _hash(raw[s : e - 1 + length])))
     return out
 
 
-def bands(raw: bytes, aoff: int, g: int, width: int, length: int) -> list[tuple[int, int, int, int, int, int]]:
+def bands(raw: bytes, aoff: int, g: int, width: int, length: int) -> list[tuple[int, int, int, int, int]]:
     """A context in bands of ``width`` places of the anchor: OCC, with p0 counted from the context's start.
 
     All windows of a band hold the same bytes around the anchor, which enter the new key.
@@ -113,8 +113,8 @@ def bands(raw: bytes, aoff: int, g: int, width: int, length: int) -> list[tuple[
         low, high = band * width, band * width + width - 1
         x, y = aoff - min(aoff, high), aoff - max(aoff - last, low)
         core = raw[aoff - low : max(0, aoff - high + length)]
-        key = xxhash.xxh3_64_intdigest(g.to_bytes(8, "little", signed=True) + band.to_bytes(8, "little") + core)
-        out.append((x, y - x + 1, aoff - x, key - (1 << 64) if key >> 63 else key, *_halves(raw[x : y + length])))
+        key = _hash(g.to_bytes(8, "little", signed=True) + band.to_bytes(8, "little") + core)
+        out.append((x, y - x + 1, aoff - x, key, _hash(raw[x : y + length])))
     return out
 
 
@@ -230,8 +230,8 @@ def block_runs(raws: list[bytes], length: int) -> list[list[tuple[int, int]]]:
 
 
 SPAN = pa.struct([("a", pa.int64()), ("b", pa.int64())])
-FOUND = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("n", pa.int64()), ("spans", pa.list_(SPAN))])
-FOUND_DDL = "c1 long, c2 long, n long, spans array<struct<a: long, b: long>>"
+FOUND = pa.schema([("g", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("spans", pa.list_(SPAN))])
+FOUND_DDL = "g long, c long, n long, spans array<struct<a: long, b: long>>"
 
 
 def _sort_blocks(length: int, block: int):
@@ -239,93 +239,100 @@ def _sort_blocks(length: int, block: int):
 
     def found(rows):
         kept = [(r, runs) for r, runs in zip(rows, block_runs([r[4] for r in rows], length), strict=True) if r[3] and runs]
-        return out_batch(FOUND, c1=[r[0] for r, _ in kept], c2=[r[1] for r, _ in kept], n=[r[2] for r, _ in kept], spans=[[{"a": a, "b": b} for a, b in runs] for _, runs in kept])
+        return out_batch(FOUND, g=[r[0] for r, _ in kept], c=[r[1] for r, _ in kept], n=[r[2] for r, _ in kept], spans=[[{"a": a, "b": b} for a, b in runs] for _, runs in kept])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, held, size = None, [], 0
+        held, size = [], 0
         for b in slices(batches, 1024):
-            for r in zip(*(b.column(c).to_pylist() for c in ("g", "c1", "c2", "n", "first", "raw")), strict=True):
-                if r[0] != g and size >= block:
+            for r in zip(*(b.column(c).to_pylist() for c in ("g", "c", "n", "first", "raw")), strict=True):
+                if held and r[0] != held[-1][0] and size >= block:
                     yield found(held)
                     held, size = [], 0
-                g = r[0]
-                held.append(r[1:])
-                size += len(r[5])
+                held.append(r)
+                size += len(r[4])
         if held:
             yield found(held)
 
     return run
 
 
-WANT = ("p0", "n_win", "aoff", "g", "c1", "c2", "n", "first")
+WANT = ("p0", "n_win", "aoff", "g", "c", "n", "first", "wide")
+WANT_DDL = "p0 long, n_win int, aoff int, g long, c long, n long, first boolean, wide boolean"
 
 
 def _fetch(length: int):
     """Texts with the contexts wanted of them -> a row a context, with its bytes."""
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 64):
-            for i, th, t, want in zip(b.column("id").to_pylist(), b.column("th").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("want").to_pylist(), strict=True):
+            for t, want in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("want").to_pylist(), strict=True):
                 for at in range(0, len(want), 4096):
                     part = want[at : at + 4096]
                     raw = [t[w["p0"] : w["p0"] + w["n_win"] - 1 + length] for w in part]
-                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(part), pa.int64()), pa.array([th] * len(part), pa.int64()), *(pa.array([w[c] for w in part], k) for c, k in zip(WANT, kinds, strict=True)), pa.array(raw, pa.binary())], names=["id", "th", *WANT, "raw"])
+                    yield pa.RecordBatch.from_arrays([*(pa.array([w[c] for w in part], k) for c, k in zip(WANT, kinds, strict=True)), pa.array(raw, pa.binary())], names=[*WANT, "raw"])
 
     return run
 
 
 def _split(length: int, width: int):
-    """Contexts with their bytes -> their bands as contexts of their own; o1, o2, off: the class they are cut from, and where."""
+    """Contexts (text, aoff, g, c, n) -> their bands as contexts in texts of their own, which go by (id, th) = (g, c)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 256):
             rows = b.to_pylist()
-            found = [bands(r["raw"], r["aoff"], r["g"], width, length) for r in rows]
-            flat = [(r["id"], r["th"], r["c1"], r["c2"], x[0], r["n"], r["p0"] + x[0], *x[1:]) for r, xs in zip(rows, found, strict=True) for x in xs]
-            columns = list(zip(*flat, strict=True)) if flat else [[]] * (6 + len(OCC))
-            long = pa.int64()
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (long, long, long, long, long, long, *OCC.types), strict=True)], names=["id", "th", "o1", "o2", "off", "n", *OCC.names])
+            flat = [(r["g"], r["c"], r["n"], *x) for r in rows for x in bands(r["text"], r["aoff"], r["g"], width, length)]
+            columns = list(zip(*flat, strict=True)) if flat else [[]] * (3 + len(OCC))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), *OCC.types), strict=True)], names=["id", "th", "n", *OCC.names])
 
     return run
 
 
-def _classes(occ: DataFrame) -> DataFrame:
-    """Contexts of equal content: how many, and the first and the last of them."""
-    at = F.struct("id", "th", "p0")
-    return occ.groupBy("g", "c1", "c2").agg(F.sum("n").alias("n"), F.min(at).alias("rep"), F.max(at).alias("other"), F.max("n_win").alias("n_win"), F.max("aoff").alias("aoff"))
-
-
-def _bytes_of(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """wanted (id, th, and WANT) with ``raw``; each text is read once however many of its contexts are wanted."""
-    by_text = wanted.groupBy("id", "th").agg(F.collect_list(F.struct(*WANT)).alias("want"))
-    kinds = "p0 long, n_win int, aoff int, g long, c1 long, c2 long, n long, first boolean"
-    return texts.join(by_text, ["id", "th"]).select("id", "th", "text", "want").mapInArrow(_fetch(length), f"id long, th long, {kinds}, raw binary")
-
+def _wanted(occ: DataFrame, length: int, over: int) -> tuple[DataFrame, int]:
+    """What is to be sorted, as (id, th) and WANT: of each class in a group of several members, the first and the last; the number of all contexts.
 
-def covered(texts: DataFrame, occ: DataFrame, length: int, block: int, over: int, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
-    """occ (id, th, n, OCC ...; a written table) -> its rows that lose bytes, with spans, counted from p0."""
-    classes = cut(_classes(occ), "context-classes")
+    wide: the group's bytes are over ``over``; of these the first member is enough.
+    """
+    at = F.struct("id", "th", "p0")
+    many = F.sum("n") > 1
+    classes = cut(occ.groupBy("g", "c").agg(F.sum("n").alias("n"), F.min(at).alias("rep"), F.when(many, F.max(at)).alias("other"), F.max("n_win").alias("n_win"), F.max("aoff").alias("aoff")), "context-classes")
     total, n_classes = classes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     size = F.sum((F.col("n_win") + F.lit(length - 1)) * F.when(F.col("n") > 1, 2).otherwise(1))
     hot = F.count("*") >= max(HOT_LEAST, -(-n_classes // HOT_KEYS))
     groups = cut(classes.groupBy("g").agg(F.sum("n").alias("members"), (size > over).alias("wide"), hot.alias("hot")).where("members > 1").drop("members"), "context-groups")
-    wanted = join_flagged(classes, ["g"], groups)
-    first = wanted.select("wide", "rep.*", "n_win", "aoff", "g", "c1", "c2", "n", F.lit(True).alias("first"))
-    second = wanted.where("n > 1").select("wide", "other.*", "n_win", "aoff", "g", "c1", "c2", "n", F.lit(False).alias("first"))
-    narrow = _bytes_of(texts, first.unionByName(second).where("NOT wide").drop("wide"), length).select("g", "c1", "c2", "n", "first", "raw")
+    first, last = F.struct("rep.*", F.lit(True).alias("first")), F.struct("other.*", F.lit(False).alias("first"))
+    members = F.when((F.col("n") > 1) & ~F.col("wide"), F.array(first, last)).otherwise(F.array(first))
+    wanted = join_flagged(classes, ["g"], groups).select("n_win", "aoff", "g", "c", "n", "wide", F.explode(members).alias("m"))
+    wanted = cut(wanted.select("m.id", "m.th", "m.p0", "m.first", "n_win", "aoff", "g", "c", "n", "wide"), "context-wanted")
+    free(classes, groups)
+    free_shuffles(occ.sparkSession)
+    return wanted, total
+
+
+def covered(texts: DataFrame, occ: DataFrame, length: int, block: int, over: int, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
+    """texts (id, th, text), occ (id, th, n, OCC ...; a written table) -> the rows of occ that lose bytes, with spans, counted from p0."""
+    over = over if widths else 1 << 62
+    wanted, total = _wanted(occ, length, over)
+    by_text = wanted.groupBy("id", "th").agg(F.collect_list(F.struct(*WANT)).alias("want"))
+    parts = texts.join(by_text, ["id", "th"]).select("text", "want").mapInArrow(_fetch(length), f"{WANT_DDL}, raw binary")
+    wide = not wanted.where("wide").isEmpty()
+    parts = cut(parts, "context-texts") if wide else parts
+    narrow = parts.where("NOT wide").select("g", "c", "n", "first", "raw")
     found = narrow.repartition("g").sortWithinPartitions("g").mapInArrow(_sort_blocks(length, block), FOUND_DDL)
-    split = None
-    if widths and not groups.where("wide").isEmpty():
-        split = _bytes_of(texts, first.where("wide").drop("wide"), length).mapInArrow(_split(length, widths[0]), f"id long, th long, o1 long, o2 long, off long, n long, {OCC_DDL}")
-        split = cut(split, "bands")
-        parts = covered(texts, split, length, block, over, widths[1:])  # its rows come from split and a table of its own
-        moved = F.transform("spans", lambda s: F.struct((s["a"] + F.col("off")).alias("a"), (s["b"] + F.col("off")).alias("b")))
-        whole = parts.groupBy(F.col("o1").alias("c1"), F.col("o2").alias("c2")).agg(F.flatten(F.collect_list(moved)).alias("spans"))
-        found = found.unionByName(whole.join(classes.select("c1", "c2", "n"), ["c1", "c2"]).select(*FOUND.names))
-    lookup = cut(found.select("c1", "c2", "spans", (F.col("n") >= max(HOT_LEAST, -(-total // HOT_KEYS))).alias("hot")), "context-spans")
-    free(classes, groups, *[split] * (split is not None))
-    return join_flagged(occ, ["c1", "c2"], lookup)
+    used = [wanted]
+    if wide:
+        cold = parts.where("wide").dropDuplicates(["g", "c"])
+        cold = cut(cold.select(F.col("g").alias("id"), F.col("c").alias("th"), F.col("raw").alias("text"), "aoff", "g", "c", "n"), "context-wide")
+        split = cut(cold.mapInArrow(_split(length, widths[0]), f"id long, th long, n long, {OCC_DDL}"), "context-bands")
+        lost = covered(cold.select("id", "th", "text"), split, length, block, over, widths[1:])
+        moved = F.transform("spans", lambda s: F.struct((s["a"] + F.col("p0")).alias("a"), (s["b"] + F.col("p0")).alias("b")))
+        whole = lost.groupBy("id", "th").agg(F.flatten(F.collect_list(moved)).alias("spans"))
+        found = found.unionByName(whole.join(cold.select("id", "th", "n"), ["id", "th"]).select(F.col("id").alias("g"), F.col("th").alias("c"), "n", "spans"))
+        used += [parts, cold, split]
+    lookup = cut(found.select("g", "c", "spans", (F.col("n") >= max(HOT_LEAST, -(-total // HOT_KEYS))).alias("hot")), "context-spans")
+    free(*used)
+    free_shuffles(occ.sparkSession)
+    return join_flagged(occ, ["g", "c"], lookup)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, over: int = OVER) -> DataFrame:
