@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import time
 from types import SimpleNamespace
 
 import duckdb
@@ -206,6 +207,67 @@ def test_evidence_is_fused(spark, sf):
     assert language_id.host_parts("http://u@A.b.Example.CO:80/x") == ("a.b.example.co", "example.co", "co") and language_id.host_parts("nothing") == (None, None, None)
 
 
+def posterior_reference(pages, model):
+    """Plain Python: text evidence, declared and suffix tables and the smoothed host prior, own vote out of each."""
+    n = len(model.langs)
+    rows = []
+    for i, url, page in pages:
+        e = model.evidence(language_id.visible(page or ""))
+        rows.append((i, e, int(np.argmax(e)) if e.any() else None, language_id.declared(page or ""), *language_id.host_parts(url or "")))
+    out = {}
+    for i, e, own, sign, host, domain, suffix in rows:
+        def count(column, value):
+            c = np.zeros(n)
+            for r in rows:
+                if r[2] is not None and (column is None or r[column] == value):
+                    c[r[2]] += 1
+            if own is not None:
+                c[own] -= 1
+            return c
+
+        others = count(None, None)
+        prior = (others + 1) / (others.sum() + n)
+        if host is not None:
+            for column, value in ((5, domain), (4, host)):
+                c = count(column, value)
+                prior = (c + 10 * prior) / (c.sum() + 10)
+        else:
+            prior = (0 + 10 * prior) / 10
+        z = e + np.log(prior)
+        for column, value in ((3, sign), (6, suffix)):
+            if value is not None:
+                z = z + np.log((count(column, value) + 2 / n) / (others + 2))
+        out[i] = (model.langs[int(np.argmax(z))], 1 / np.exp(z - z.max()).sum())
+    return out
+
+
+def test_posterior_against_plain_python(spark):
+    sf = "/root/testdata/sf0.01"
+    model = language_id.fit(docs(spark, sf), 50)
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    rows = [(r.page_id, r.url, r.html) for r in pages.collect()] + [(-1, None, None), (-2, "//h.example.de", ""), (-3, "//h.example.de", "<html lang=fr>"), (-4, "no host", '<meta content="es-ES" property="og:locale">')]
+    want = posterior_reference(rows, model)
+    got = language_id.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), model).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.lang == want[r.page_id][0] and abs(r.confidence - want[r.page_id][1]) < 1e-9
+
+
+@pytest.mark.parametrize("page", ["<meta content-language' " * 40_000, "<script>" * 100_000, "<!--" * 200_000, "<" * 400_000, "<html " + "a" * 800_000, "<meta a=\"" * 80_000, "<meta a= " * 80_000, "<html\n" + " " * 500_000, "</script " * 80_000 + "<script>", "<nav>" + "</nav " * 80_000, "&" * 400_000])
+def test_markup_takes_time_in_proportion(page):
+    began = time.process_time()
+    language_id.visible(page)
+    language_id.declared(page)
+    assert time.process_time() - began < 4
+
+
+def test_markup_is_read():
+    assert language_id.visible('a<b x="1">c</b><!-- d > e -->f<SCRIPT>g<i></Script >h<style>i &amp; <!-- j').split() == ["a", "c", "f", "h", "i", "&", "<!--", "j"]
+    assert language_id.visible("x < y") == "x < y" and language_id.visible("<nav>a</nav>b<footer>c") == " b c"
+    cases = {"<HTML class=x LANG='pt-BR'>": "pt", "<html xml:lang=de>": "de", '<meta http-equiv="Content-Language" content="fr">': "fr", '<meta content="es_MX" property="og:locale">': "es", '<html data-lang="xx"><meta name=og:locale content=it': "it", "<html lang=english>": None, "lang=en": None}
+    assert {k: language_id.declared(k) for k in cases} == cases
+
+
 # decontamination
 
 def test_leaks_are_the_contained_items(spark):

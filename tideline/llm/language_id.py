@@ -5,13 +5,18 @@ A page's posterior multiplies, by language:
 * the text likelihood: a naive Bayes model of hashed byte trigrams of the visible text,
   tempered, as neighbouring trigrams are not independent;
 * the likelihood of the declared markup language (``<html lang>``, content-language,
-  ``og:locale``) and of the address suffix (last label of the host): their tables are
-  counted over all pages against the languages that the texts suggest;
-* the host's prior: counts of the texts' languages by host, smoothed towards the host's
-  domain, that towards its suffix, and that towards all pages.
+  ``og:locale``) and that of the address suffix (last label of the host): their tables
+  are counted over all pages against the languages that the texts suggest;
+* the host's prior: counts of the texts' languages by host, smoothed towards those of
+  the host's domain, and these towards those of all pages.
 
-All counts are grouped aggregations over all pages, so a host with a third of the pages
-is no hot task; a page's own vote is taken out of its host's and domain's counts.
+All counts are grouped aggregations over all pages; a page's own vote is taken out of
+each.  A host determines its domain and suffix, so their counts are joined host by host,
+and a page joins its host's row alone.  Hosts, domains and suffixes with many rows are
+joined by broadcast, so none is a hot task; the declared languages, two or three letters,
+are broadcast whole.
+
+Markup is read in one pass whose time is in proportion to the page.
 
 The text model is fitted on a bounded sample of labelled texts: of each language the
 ``per_language`` rows of smallest hash of doc_id with up to ``max_chars`` characters.
@@ -35,27 +40,65 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import cut, slices, smallest_hashes, text_col
+from tideline.llm.common import HOT_KEYS, HOT_LEAST, cut, join_flagged, slices, smallest_hashes, text_col
 
 BUCKETS = 1 << 15
 SMOOTH = 0.5
 TEMPER = 200.0
-#: Weight, in pages, of the level above in the host's prior, and of even odds in the evidence tables.
+#: Weight, in pages, of the level above in the host's prior, and of even odds in the tables of declared languages and suffixes.
 LEVEL_WEIGHT, TABLE_WEIGHT = 10.0, 2.0
 UNKNOWN = "und"
 
-HIDDEN = re.compile(r"<!--.*?-->|<(script|style|noscript|template|nav|footer)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
-DECLARED = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]{2,3})\b|<meta\b[^>]*?content-language["'][^>]*?content\s*=\s*["']?([A-Za-z]{2,3})\b|<meta\b[^>]*?og:locale["'][^>]*?content\s*=\s*["']?([A-Za-z]{2,3})\b""", re.I)
+HIDDEN = ("script", "style", "noscript", "template", "nav", "footer")
+OPEN = re.compile(rf"<(!--|(?:{'|'.join(HIDDEN)})\b)?", re.I)
+CLOSE = {"!--": re.compile("-->")} | {tag: re.compile(rf"</{tag}\s*+>", re.I) for tag in HIDDEN}
+SIGNED = re.compile(r"<(html|meta)\b", re.I)
+#: An attribute; a name is only tried at its beginning, so that no run of characters is read more than a few times.
+ATTRIBUTE = re.compile(r"""(?<![^\s"'=<>/])([^\s"'=<>/]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""")
+LANGUAGE = re.compile(r"[A-Za-z]{2,3}(?![A-Za-z])")
 HOST = re.compile(r"^(?:[A-Za-z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)")
 
 
 def visible(page: str) -> str:
-    return entities.unescape(HIDDEN.sub(" ", page))
+    """The text outside tags, comments and hidden elements.  Comments and elements that don't end, and tags, end at the next ``>``; without one the rest is text."""
+    out, at, endless = [], 0, set()
+    while m := OPEN.search(page, at):
+        out.append(page[at : m.start()])
+        kind, end = (m.group(1) or "").lower(), -1
+        if kind and kind not in endless:
+            if close := CLOSE[kind].search(page, m.end()):
+                end = close.end()
+            else:
+                endless.add(kind)  # nor does any later one end
+        if end < 0:
+            end = page.find(">", m.end()) + 1
+            if not end:
+                at = m.start()
+                break
+        out.append(" ")
+        at = end
+    out.append(page[at:])
+    return entities.unescape("".join(out))
 
 
 def declared(page: str) -> str | None:
-    m = DECLARED.search(page)
-    return next(g for g in m.groups() if g).lower() if m else None
+    """The first language that an html or meta tag declares."""
+    at = 0
+    while m := SIGNED.search(page, at):
+        end = page.find(">", m.end())
+        tag = page[m.end() : end if end >= 0 else len(page)]
+        values = {a.group(1).lower(): (a.group(2) or a.group(3) or a.group(4) or "").strip() for a in ATTRIBUTE.finditer(tag)}
+        if m.group(1).lower() == "html":
+            found = values.get("lang") or values.get("xml:lang")
+        else:
+            meant = {values.get(k, "").lower() for k in ("http-equiv", "name", "property")}
+            found = values.get("content") if meant & {"content-language", "og:locale"} else None
+        if found and (code := LANGUAGE.match(found)):
+            return code.group().lower()
+        if end < 0:
+            return None
+        at = end
+    return None
 
 
 def host_parts(url: str) -> tuple[str | None, str | None, str | None]:
@@ -122,10 +165,19 @@ def _parse(held):
     return run
 
 
-def _votes(pages: DataFrame, key: str, langs: list[str]) -> DataFrame:
-    """By key: pages of each text language, as an array in the order of langs."""
-    votes = F.array(*(F.sum(F.when(F.col("text_lang") == x, 1.0).otherwise(0.0)) for x in langs))
-    return pages.where(F.col(key).isNotNull() & F.col("text_lang").isNotNull()).groupBy(F.col(key).alias(f"{key}_key")).agg(votes.alias(f"{key}_votes"))
+def _hosts(parsed: DataFrame, n_langs: int, total: int) -> DataFrame:
+    """host, hot, and the votes, an array in the order of the languages, of the host, its domain and its suffix."""
+    sums = [F.sum(f"v{k}").alias(f"v{k}") for k in range(n_langs)]
+    votes = F.array(*(F.col(f"v{k}") for k in range(n_langs)))
+    hosts = cut(parsed.where("host IS NOT NULL").groupBy("host", "domain", "suffix").agg(F.count("*").alias("pages"), *sums), "hosts")
+    n_hosts = hosts.count()
+    out = hosts.select("host", "domain", "suffix", "pages", votes.alias("host_votes"))
+    for level in ("domain", "suffix"):
+        hot = F.count("*") >= max(HOT_LEAST, -(-n_hosts // HOT_KEYS))
+        above = cut(hosts.groupBy(level).agg(hot.alias("hot"), *sums).select(level, "hot", votes.alias(f"{level}_votes")), level)
+        out = join_flagged(out, [level], above)
+    hot = F.col("pages") >= max(HOT_LEAST, -(-total // HOT_KEYS))
+    return cut(out.select("host", hot.alias("hot"), "host_votes", "domain_votes", "suffix_votes"), "host-votes")
 
 
 def identify(pages: DataFrame, model: TextModel) -> DataFrame:
@@ -136,37 +188,36 @@ def identify(pages: DataFrame, model: TextModel) -> DataFrame:
         return pages.select("page_id", F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("confidence"), *(F.lit(None).cast("string").alias(c) for c in ("text_lang", "declared", "host")))
     held = pages.sparkSession.sparkContext.broadcast(model)
     parsed = pages.select("page_id", F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), text_col("html").alias("html"))
-    parsed = cut(parsed.mapInArrow(_parse(held), f"page_id {kind}, declared string, host string, domain string, suffix string, text_lang string, evidence array<double>"), "pages")
-    total = parsed.where(F.col("text_lang").isNotNull()).agg(*(F.sum(F.when(F.col("text_lang") == x, 1.0).otherwise(0.0)) for x in langs)).first()
-    every = np.array([v or 0.0 for v in total]) + 1.0
-    out = parsed
-    for key in ("host", "domain", "suffix", "declared"):
-        out = out.join(_votes(parsed, key, langs), F.col(key) == F.col(f"{key}_key"), "left")
-    even = F.array(*[F.lit(0.0)] * len(langs))
-    prior = F.array(*(F.lit(float(v)) for v in every / every.sum()))
-    own = F.array(*(F.when(F.col("text_lang") == x, 1.0).otherwise(0.0) for x in langs))
-
-    def total_of(a):
-        return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    parsed = parsed.mapInArrow(_parse(held), f"page_id {kind}, declared string, host string, domain string, suffix string, text_lang string, evidence array<double>")
+    parsed = cut(parsed.withColumns({f"v{k}": F.coalesce((F.col("text_lang") == x).cast("double"), F.lit(0.0)) for k, x in enumerate(langs)}), "pages")
+    total, *every = parsed.agg(F.count("*"), *(F.coalesce(F.sum(f"v{k}"), F.lit(0.0)) for k in range(len(langs)))).first()
+    none = F.array(*[F.lit(0.0)] * len(langs))
+    votes = [F.sum(f"v{k}") for k in range(len(langs))]
+    signs = parsed.where("declared IS NOT NULL").groupBy("declared").agg(F.array(*votes).alias("declared_votes"))
+    hosts = _hosts(parsed, len(langs), total)
+    at_home = join_flagged(parsed.where("host IS NOT NULL"), ["host"], hosts)
+    out = at_home.unionByName(parsed.where("host IS NULL").withColumns({f"{k}_votes": none for k in ("host", "domain", "suffix")}))
+    out = out.join(F.broadcast(signs), "declared", "left")
+    out = out.withColumn("own", F.array(*(F.col(f"v{k}") for k in range(len(langs)))))
+    # The order of the sums is fixed, so that a host's pages agree to the last bit.
+    minus = lambda votes: F.zip_with(votes, F.col("own"), lambda v, o: F.greatest(v - o, F.lit(0.0)))
+    sum_of = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    others = minus(F.array(*map(F.lit, every)))
 
     def smoothed(votes, above):
-        n = total_of(votes)
-        return F.zip_with(votes, above, lambda v, p: (v + LEVEL_WEIGHT * p) / (n + LEVEL_WEIGHT))
-
-    def minus_own(votes):
-        return F.when(F.col(votes).isNull(), even).otherwise(F.zip_with(F.col(votes), own, lambda v, o: v - o))
-
-    out = out.withColumn("p1", smoothed(F.coalesce("suffix_votes", even), prior))
-    out = out.withColumn("p2", smoothed(minus_own("domain_votes"), F.col("p1")))
-    out = out.withColumn("p3", smoothed(minus_own("host_votes"), F.col("p2")))
-    totals = F.array(*(F.lit(float(v)) for v in every))
-
-    def table(votes):
-        """Log-likelihood of the sign seen, by language: its share of the language's pages."""
-        return F.when(F.col(votes).isNull(), even).otherwise(F.zip_with(F.col(votes), totals, lambda v, n: F.log((v + TABLE_WEIGHT / len(langs)) / (n + TABLE_WEIGHT))))
-
-    logs = F.zip_with(F.zip_with("evidence", F.transform("p3", lambda p: F.log(p)), lambda a, b: a + b), table("declared_votes"), lambda a, b: a + b)
-    out = out.withColumn("z", logs)  # the suffix's likelihood is in p1, the first level under all pages
+        return F.zip_with(votes, above, lambda v, p: (v + LEVEL_WEIGHT * p) / (sum_of(votes) + LEVEL_WEIGHT))
+
+    def likelihood(sign: str):
+        """By language, the log of the sign's share of the language's other pages; even odds without a sign."""
+        share = F.zip_with(minus(F.col(f"{sign}_votes")), F.col("others"), lambda v, n: F.log((v + TABLE_WEIGHT / len(langs)) / (n + TABLE_WEIGHT)))
+        return F.when(F.col(sign).isNull(), none).otherwise(share)
+
+    out = out.withColumn("others", others)
+    out = out.withColumn("all_prior", F.transform("others", lambda v: (v + 1.0) / (sum_of(F.col("others")) + len(langs))))
+    out = out.withColumn("mine", minus(F.col("domain_votes"))).withColumn("domain_prior", smoothed(F.col("mine"), F.col("all_prior")))
+    out = out.withColumn("mine", minus(F.col("host_votes"))).withColumn("prior", smoothed(F.col("mine"), F.col("domain_prior")))
+    plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    out = out.withColumn("z", plus(plus(F.col("evidence"), F.transform("prior", lambda p: F.log(p))), plus(likelihood("declared"), likelihood("suffix"))))
     top = F.array_max("z")
     out = out.withColumn("k", F.array_position("z", top)).withColumn("confidence", 1.0 / F.aggregate("z", F.lit(0.0), lambda s, x: s + F.exp(x - top)))
     return out.select("page_id", F.element_at(F.array(*map(F.lit, langs)), F.col("k").cast("int")).alias("lang"), "confidence", "text_lang", "declared", "host")
