@@ -3,13 +3,15 @@
 import hashlib
 import random
 import re
+import time
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from tideline.llm import exact_dedup, line_dedup, simhash, suffix_dedup
-from tideline.llm.common import join_one
+from tideline.llm.common import cut, join_one
 from tideline.llm.components import components
 
 SCHEMA = "doc_id long, text string"
@@ -52,28 +54,68 @@ def test_exact(spark, sf, page_bytes):
         assert (r.keep_id, r.group_size) == want[t] and r.kept == (r.doc_id == r.keep_id) and r.text_sha256 == hashlib.sha256(t.encode()).hexdigest()
 
 
-def test_exact_hot_group_spans_pages(spark):
-    rows = [(n, "same text" if n % 3 else f"own {n}") for n in range(600)]
-    by = exact_dedup._owners(exact_dedup.build_directory(frame(spark, rows).select(F.xxhash64("text").alias("h"), F.lit(100).cast("long").alias("bytes")), 1000))[0]
-    assert max(n for v in by.values() for _, _, n in v) > 30
-    got = exact_dedup.exact_dedup(frame(spark, rows), 1000).where("group_size > 1").agg(F.count("*"), F.min("keep_id"), F.max("keep_id"), F.max("group_size"), F.count_if("kept")).first()
-    assert tuple(got) == (400, 599, 599, 400, 1) or tuple(got) == (400, 598, 598, 400, 1)
+@pytest.mark.parametrize("fan", [exact_dedup.FAN, 3])
+def test_exact_hot_group_spans_pages(spark, fan):
+    rows = [(n if n % 5 else None, "same text" if n % 3 else f"own {n}") for n in range(1, 601)]
+    entries = cut(frame(spark, rows).select(F.xxhash64("text").alias("h"), F.lit(73).cast("long").alias("bytes")), "entries")
+    index = exact_dedup.build_index(entries, 1000)
+    assert index.longest > 27 and index.hot.count() == 1
+    got = exact_dedup.exact_dedup(frame(spark, rows), 1000, fan).collect()
+    assert len(got) == 600 and {(r.keep_id, r.group_size) for r in got if r.group_size > 1} == {(599, 400)}
+    assert sum(r.kept for r in got if r.group_size > 1) == 1 and all(r.kept for r in got if r.group_size == 1)
+
+
+def test_heads_of_colliding_texts_merge_in_a_tree(spark):
+    """Two texts under one hash, over 20 pages of a bucket that begins at page 5."""
+    rows = [(7, 5 + p, 5, c, 1000 - 10 * p + c, 1 + p, t) for p in range(20) for c, t in enumerate("xy" if p % 2 else "y")]
+    heads = spark.createDataFrame(rows, "h long, page int, base int, chain int, head long, n long, head_text string")
+    for fan in (64, 3, 2):
+        got = {(r.page, r.chain): (r["head"], r.n, r.first) for r in exact_dedup.merge_heads(heads, 20, fan).collect()}
+        want = {}
+        for t in "xy":
+            mine = [r for r in rows if r[6] == t]
+            top = max(mine, key=lambda r: r[4])
+            want |= {(r[1], r[3]): (top[4], sum(x[5] for x in mine), r is top) for r in mine}
+        assert got == want
 
 
 def test_exact_compares_bytes_where_hashes_collide():
     import pyarrow as pa
 
-    batch = pa.RecordBatch.from_pydict({"id": [5, 4, 3, 2], "h": [7] * 4, "page": pa.array([0] * 4, pa.int32()), "many": [False] * 4, "text": ["x", "y", "x", "y"]})
+    batch = pa.RecordBatch.from_pydict({"id": [5, 4, 3, 2], "h": [7] * 4, "page": pa.array([0] * 4, pa.int32()), "base": pa.array([0] * 4, pa.int32()), "many": [False] * 4, "text": ["x", "y", "x", "y"]})
     out = pa.Table.from_batches(list(exact_dedup._chains(iter([batch])))).to_pylist()
     assert [(r["id"], r["head"], r["n"], r["rank"]) for r in out] == [(5, 5, 2, 0), (3, 5, 2, 1), (4, 4, 2, 0), (2, 4, 2, 1)]
 
 
-def test_directory_splits_until_buckets_fit():
-    counts = {(3, p): (10, p, p + 100) for p in range(8)}
-    assert sorted(b for _, _, b, _ in exact_dedup.split_buckets(counts, 20)) == [20] * 4
-    assert {d for d, _, _, _ in exact_dedup.split_buckets(counts, 100)} == {0}
-    hot = {(3, 0): (1000, 5, 5), (3, 7): (1, 1, 2)}
-    assert sorted(exact_dedup.split_buckets(hot, 20)) == [(1, 1, 1, False), (3, 0, 1000, True)]
+def directory_reference(cells, page_bytes):
+    """Textbook insertion: buckets split one at a time, and the directory doubles when it must."""
+    bits = len(cells).bit_length() - 1
+    depth, slots = 0, [(0, 0)]  # of each slot: its bucket's depth and prefix
+    size = lambda d, p: sum(cells[p << (bits - d) : (p + 1) << (bits - d)])
+    while over := [b for b in dict.fromkeys(slots) if size(*b) > page_bytes and b[0] < bits]:
+        d, p = over[0]
+        if d == depth:
+            depth, slots = depth + 1, [b for b in slots for _ in (0, 1)]
+        slots = [(d + 1, s >> (depth - d - 1)) if b == (d, p) else b for s, b in enumerate(slots)]
+    return depth, slots
+
+
+def test_directory_doubles_until_buckets_fit():
+    rng = np.random.default_rng(4)
+    for cells in ([10] * 8, [0] * 16, [1000, 0, 0, 1, 0, 0, 0, 1], rng.integers(0, 30, 64).tolist(), [5]):
+        for page_bytes in (1, 20, 45, 5000):
+            d = exact_dedup.grow(np.array(cells), page_bytes)
+            depth, slots = directory_reference(cells, page_bytes)
+            assert d.depth == depth and [(d.local[b], d.prefix[b]) for b in d.slots] == slots
+            assert sum(d.size) == sum(cells) and len(d.slots) == 2**depth
+
+
+def test_a_large_histogram_takes_seconds():
+    cells = np.random.default_rng(1).integers(0, 1000, 1 << 22)
+    cells[77] = 10**9
+    began = time.process_time()
+    d = exact_dedup.grow(cells, int(cells.sum() // exact_dedup.MAX_PAGES))
+    assert time.process_time() - began < 10 and d.size[np.arange(len(d.size)) != d.slots[77 >> (22 - d.depth)]].max() <= cells.sum() // exact_dedup.MAX_PAGES
 
 
 def test_exact_edge_rows(spark):
@@ -279,8 +321,6 @@ def test_suffix_scan_chunks_agree():
 
 
 def test_suffix_order_is_sorted():
-    import numpy as np
-
     rng = random.Random(4)
     parts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(30, 90))) for _ in range(20)]
     text = np.frombuffer(b"".join(parts), np.uint8)
