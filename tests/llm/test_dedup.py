@@ -166,8 +166,8 @@ def test_simhash(spark, sf):
     assert len(got) == len(rows) and all(int(r.fingerprint, 16) == prints[r.doc_id] and r.component_id == want[r.doc_id] for r in got)
 
 
-@pytest.mark.parametrize("list_rows", [simhash.LIST_ROWS, 16])
-def test_links_join_all_near_fingerprints(spark, list_rows):
+@pytest.mark.parametrize("list_rows, keyed, most", [(simhash.LIST_ROWS, 4, 4), (16, 4, 4), (simhash.LIST_ROWS, 1, 4), (50, 2, 6), (simhash.LIST_ROWS, 3, 5), (simhash.LIST_ROWS, 4, 2)])
+def test_links_join_all_near_fingerprints(spark, list_rows, keyed, most):
     rng, prints = random.Random(1), set()
     for base in [rng.getrandbits(64) for _ in range(12)]:
         for _ in range(80):
@@ -177,12 +177,26 @@ def test_links_join_all_near_fingerprints(spark, list_rows):
             prints.add(x - (1 << 64) if x >> 63 else x)
     prints = sorted(prints)
     number = {f: n for n, f in enumerate(prints)}
-    links = simhash.links(spark.createDataFrame([(f,) for f in prints], "fp long"), 4, list_rows).collect()
+    links = simhash.links(spark.createDataFrame([(f,) for f in prints], "fp long"), most, list_rows, keyed).collect()
     near = {frozenset((number[r.x], number[r.y])) for r in links}
     apart = lambda a, b: ((prints[a] ^ prints[b]) & (2**64 - 1)).bit_count()
-    assert all(apart(*p) <= 4 for p in near)
+    assert all(apart(*p) <= most for p in near)
     ids = list(range(len(prints)))
-    assert classes_reference(ids, lambda a, b: frozenset((a, b)) in near) == classes_reference(ids, lambda a, b: apart(a, b) <= 4)
+    assert classes_reference(ids, lambda a, b: frozenset((a, b)) in near) == classes_reference(ids, lambda a, b: apart(a, b) <= most)
+
+
+def test_links_refuse_what_they_cannot_find(spark):
+    for apart, keyed in ((5, 4), (8, 1), (4, 5), (-1, 4)):
+        with pytest.raises(ValueError):
+            simhash.links(spark.createDataFrame([], "fp long"), apart, keyed=keyed)
+
+
+@pytest.mark.parametrize("chunk", [4, 5, 7, simhash.CHUNK])
+def test_fingerprints_in_chunks(chunk):
+    rng = random.Random(chunk)
+    for n in [*range(12), 50, 200]:
+        text = " \t".join(rng.choice(["A", "b", "cc", "É", "d\x1ce"]) for _ in range(n))
+        assert simhash.fingerprint(text.encode(), chunk=chunk) % 2**64 == fingerprint_reference(text)
 
 
 def test_simhash_edge_rows(spark):

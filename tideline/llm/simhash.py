@@ -1,15 +1,16 @@
 """SimHash near-dedup over a byte-position inverted index with count filtering.
 
-A fingerprint has 64 bits, so 8 positional bytes.  Two fingerprints with at most 4
-differing bits differ in at most 4 bytes: they share at least 8 - 4 = 4 positional
-bytes, the guaranteed minimum.  Posting lists of single positional bytes hold 1/256
-of all fingerprints each, so tallying them pair by pair grows with the square of
-the corpus.  The index is therefore keyed by *sets* of four (position, byte)
-entries: a pair meets in a posting list only where its tally is at least four.  In
-a list, each pair is taken in its first common set alone, its shared positional
-bytes are tallied, and the differing bits of the pairs that reach the minimum are
-counted.  Lists keep a spanning forest of their links, so a list of m fingerprints
-yields fewer than m links.
+A fingerprint has 64 bits, so 8 positional bytes.  Two fingerprints with at most
+``apart`` differing bits differ in at most as many bytes: they share at least
+8 - ``apart`` positional bytes, the guaranteed minimum, four for the four bits here.
+
+The index lists fingerprints under ``keyed`` positional bytes at once.  With one, a list
+holds 1/256 of all fingerprints, and the pairs whose shared bytes are tallied grow with
+the square of the corpus; with four, a pair meets only where four bytes agree, the least
+that it must reach.  The links are the same.  In a list, each pair is taken in its first
+common key alone; its shared positional bytes are tallied over all eight positions, pairs
+under the guaranteed minimum go, and the differing bits of the others are counted.  Lists
+keep a spanning forest of their links, so a list of m fingerprints yields fewer than m.
 
 Equal fingerprints are one class before any pairing.  Lists over ``LIST_ROWS``
 fingerprints are dealt out in pairs of blocks over many tasks, exactly.
@@ -23,7 +24,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import combinations
+from functools import lru_cache
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +33,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import cut, id_back, id_col, join_one, matching, out_batch, slices, text_col
+from tideline.llm.common import cut, free, id_back, id_col, join_one, matching, out_batch, slices, text_col
 from tideline.llm.components import components
 
 SHINGLE, BITS_APART = 4, 4
 LIST_ROWS = 4096
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
-SETS = list(combinations(range(8), 4))
+KEYED = 4
 CHUNK = 1 << 16
+#: Bytes up to which a text's words are taken at once.
+SHORT = 1 << 18
 
 PRINTS = pa.schema([("id", pa.int64()), ("fp", pa.int64())])
 POSTS = pa.schema([("key", pa.int64()), ("fp", pa.int64())])
@@ -46,21 +50,29 @@ LINKS = pa.schema([("x", pa.int64()), ("y", pa.int64())])
 OVER = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("key", pa.int64())])
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """Signed 64-bit SimHash of UTF-8 bytes.  Long texts are tallied in chunks."""
-    words = WORDS.findall(text.lower())  # bytes.lower() lower-cases A-Z alone
-    if not words:
+def fingerprint(text: bytes, shingle: int = SHINGLE, chunk: int = CHUNK) -> int:
+    """Signed 64-bit SimHash of UTF-8 bytes, in chunks of words: neither all words nor all shingles of a long text exist at a time."""
+    # bytes.lower() lower-cases A-Z alone
+    words = iter(WORDS.findall(text.lower())) if len(text) <= SHORT else (w.group().lower() for w in WORDS.finditer(text))
+    total, whole = 0, False
+    tally, held = np.zeros(64, dtype=np.int64), []
+    while not whole:
+        new = list(islice(words, chunk))
+        whole = len(new) < chunk
+        held += new
+        k = shingle if total or len(held) >= shingle else len(held)
+        n = len(held) - k + 1
+        if not held or (n < 1 and not whole) or (k < shingle and not whole):
+            continue
+        if n > 0:
+            ends = np.cumsum([len(w) + 1 for w in held])
+            joined, starts, stops = b" ".join(held), [0, *ends[: n - 1].tolist()], (ends[k - 1 :] - 1).tolist()
+            h = np.array([xxhash.xxh64_intdigest(joined[s:e], 42) for s, e in zip(starts, stops, strict=True)], dtype=np.uint64)
+            tally += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            total += n
+            held = held[n:]
+    if not total:
         return 0
-    ends = np.cumsum([len(w) + 1 for w in words])
-    joined = b" ".join(words)
-    k = min(shingle, len(words))
-    starts = np.concatenate([[0], ends[:-1]])[: len(words) - k + 1].tolist()
-    stops = (ends[k - 1 :] - 1).tolist()
-    digest, total = xxhash.xxh64_intdigest, len(starts)
-    tally = np.zeros(64, dtype=np.int64)
-    for at in range(0, total, CHUNK):
-        h = np.array([digest(joined[s:e], 42) for s, e in zip(starts[at : at + CHUNK], stops[at : at + CHUNK], strict=True)], dtype=np.uint64)
-        tally += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     out = int.from_bytes(np.packbits(2 * tally > total, bitorder="little").tobytes(), "little")
     return out - (1 << 64) if out >> 63 else out
 
@@ -75,32 +87,42 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(id_col().alias("id"), text_col().alias("text")).mapInArrow(_prints, "id long, fp long")
 
 
-def _posts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every fingerprint under its 70 sets of four positional bytes; the key is set number and bytes."""
-    for b in slices(batches, 2048):
-        fp = b.column("fp").to_numpy(zero_copy_only=False)
-        parts = fp.view(np.uint64)[:, None].view(np.uint8).reshape(-1, 8).astype(np.int64)
-        keys = np.stack([(n << 32) | parts[:, s[0]] | parts[:, s[1]] << 8 | parts[:, s[2]] << 16 | parts[:, s[3]] << 24 for n, s in enumerate(SETS)], axis=1)
-        yield out_batch(POSTS, key=keys.ravel(), fp=np.repeat(fp, len(SETS)))
+@lru_cache
+def byte_sets(keyed: int) -> tuple[list[tuple[int, ...]], np.ndarray]:
+    """The sets of positions that lists are keyed by; for each mask of differing bytes, the first set among the shared ones (-1: none)."""
+    sets = list(combinations(range(8), keyed))
+    return sets, np.array([next((n for n, s in enumerate(sets) if not any(mask >> p & 1 for p in s)), -1) for mask in range(256)], dtype=np.int64)
 
 
-#: For a mask of differing bytes, the number of the first set among the shared ones (-1: fewer than four shared).
-FIRST_SET = np.array([next((n for n, s in enumerate(SETS) if not any(mask >> p & 1 for p in s)), -1) for mask in range(256)], dtype=np.int64)
+def _posts(keyed: int):
+    """Every fingerprint under each of its keys: number of the set of positions, and their bytes."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, _ = byte_sets(keyed)
+        for b in slices(batches, 2048):
+            fp = b.column("fp").to_numpy(zero_copy_only=False)
+            parts = fp.view(np.uint64)[:, None].view(np.uint8).reshape(-1, 8).astype(np.int64)
+            keys = np.stack([sum((parts[:, p] << (8 * k) for k, p in enumerate(s)), np.int64(n << 32)) for n, s in enumerate(sets)], axis=1)
+            yield out_batch(POSTS, key=keys.ravel(), fp=np.repeat(fp, len(sets)))
+
+    return run
 
-def _pairs(left: np.ndarray, right: np.ndarray, key: int, same: bool, apart: int) -> tuple[np.ndarray, np.ndarray]:
+
+def _pairs(left: np.ndarray, right: np.ndarray, key: int, same: bool, apart: int, keyed: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs that this list owns: tally of shared bytes, count filter, verification."""
     found_i, found_j = [], []
-    step = max(1, (1 << 21) // max(1, len(right)))
+    step, first = max(1, (1 << 21) // max(1, len(right))), byte_sets(keyed)[1]
     for at in range(0, len(left), step):
         x = left[at : at + step, None] ^ right[None, :]
-        mask = np.packbits(x[..., None].view(np.uint8) != 0, axis=-1, bitorder="little")[..., 0]
-        ok = (FIRST_SET[mask] == key >> 32) & (np.bitwise_count(x) <= apart)
+        unlike = np.packbits(x[..., None].view(np.uint8) != 0, axis=-1, bitorder="little")[..., 0]
+        tally = 8 - np.bitwise_count(unlike)
+        ok = (tally >= 8 - apart) & (first[unlike] == key >> 32)
         if same:
             ok &= np.arange(at, at + len(ok))[:, None] < np.arange(len(right))[None, :]
         i, j = np.nonzero(ok)
-        found_i.append(i + at)
-        found_j.append(j)
+        near = np.bitwise_count(x[i, j]) <= apart
+        found_i.append(i[near] + at)
+        found_j.append(j[near])
     return np.concatenate(found_i), np.concatenate(found_j)
 
 
@@ -123,7 +145,7 @@ def _forest(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> list[
     return kept
 
 
-def _lists(apart: int, list_rows: int):
+def _lists(apart: int, list_rows: int, keyed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Posts ordered by key: links of each list; lists over list_rows come back as posts (y null)."""
         held_key, held, long_ = None, [], False
@@ -131,7 +153,7 @@ def _lists(apart: int, list_rows: int):
         def ended(key: int, fps: np.ndarray) -> list[tuple[int, int]]:
             if len(fps) < 2:
                 return []
-            i, j = _pairs(fps, fps, key, True, apart)
+            i, j = _pairs(fps, fps, key, True, apart, keyed)
             return _forest(fps, i, fps, j) if len(i) else []
 
         for b in batches:
@@ -176,7 +198,7 @@ def _lists(apart: int, list_rows: int):
     return run
 
 
-def _block_pairs(apart: int):
+def _block_pairs(apart: int, keyed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows ordered by (key, i, j, side): the block pair i <= j of a long list."""
         now, sides = None, ([], [])
@@ -188,7 +210,7 @@ def _block_pairs(apart: int):
             a = np.array(sides[0], dtype=np.int64).view(np.uint64)
             b = a if i == j else np.array(sides[1], dtype=np.int64).view(np.uint64)
             if len(a) and len(b):
-                x, y = _pairs(a, b, key, i == j, apart)
+                x, y = _pairs(a, b, key, i == j, apart, keyed)
                 links = _forest(a, x, b, y) if len(x) else []
                 if links:
                     yield out_batch(LINKS, x=[p for p, _ in links], y=[q for _, q in links])
@@ -204,10 +226,15 @@ def _block_pairs(apart: int):
     return run
 
 
-def links(distinct: DataFrame, apart: int = BITS_APART, list_rows: int = LIST_ROWS) -> DataFrame:
-    """distinct (fp long) -> (x, y): links that join all fingerprints at most ``apart`` (0 to 4) bits apart; a written table."""
-    posts = distinct.select("fp").mapInArrow(_posts, "key long, fp long")
-    found = posts.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_lists(apart, list_rows), "x long, y long, key long")
+def links(distinct: DataFrame, apart: int = BITS_APART, list_rows: int = LIST_ROWS, keyed: int = KEYED) -> DataFrame:
+    """distinct (fp long) -> (x, y): links that join all fingerprints at most ``apart`` bits apart; a written table.
+
+    Lists keyed by 1 to 4 bytes find all pairs up to 8 - ``keyed`` bits apart; more is refused.
+    """
+    if not (1 <= keyed <= 4 and 0 <= apart <= 8 - keyed):
+        raise ValueError(f"lists keyed by {keyed} bytes can't find all pairs {apart} bits apart")
+    posts = distinct.select("fp").mapInArrow(_posts(keyed), "key long, fp long")
+    found = posts.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_lists(apart, list_rows, keyed), "x long, y long, key long")
     found = cut(found, "simhash-links")
     out = found.where(F.col("y").isNotNull()).select("x", "y")
     over = found.where(F.col("y").isNull()).select("key", F.col("x").alias("fp"))
@@ -216,15 +243,17 @@ def links(distinct: DataFrame, apart: int = BITS_APART, list_rows: int = LIST_RO
     blocks = over.join(over.groupBy("key").agg(F.ceil(F.count("*") / list_rows).cast("int").alias("n")), "key")
     blocks = blocks.withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("n").cast("long")).cast("int"))
     dealt = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"), "fp")
-    pairs = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(_block_pairs(apart), "x long, y long")
-    return cut(out.unionByName(pairs), "simhash-found")
+    pairs = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(_block_pairs(apart, keyed), "x long, y long")
+    all_found = cut(out.unionByName(pairs), "simhash-found")
+    free(found)
+    return all_found
 
 
-def simhash_components(docs: DataFrame, apart: int = BITS_APART, list_rows: int = LIST_ROWS) -> DataFrame:
+def simhash_components(docs: DataFrame, apart: int = BITS_APART, list_rows: int = LIST_ROWS, keyed: int = KEYED) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, fingerprint, component_id (smallest doc_id reached)."""
     prints = cut(fingerprints(docs), "fingerprints")
     classes = cut(prints.groupBy("fp").agg(F.min("id").alias("least")), "classes")
-    found = links(classes, apart, list_rows)
+    found = links(classes, apart, list_rows, keyed)
     n_rows, n_classes, n_found = prints.count(), classes.count(), found.count()
     a, b = classes.select(F.col("fp").alias("x"), F.col("least").alias("a")), classes.select(F.col("fp").alias("y"), F.col("least").alias("b"))
     # Rows that repeat a doc_id with other texts are one node: each fingerprint of an id links to the id's first.
