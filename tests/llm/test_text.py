@@ -97,7 +97,7 @@ def test_counts_agree_with_the_library(spark, sf):
 def test_chat_round_trip(spark):
     rng = random.Random(2)
     bits = ["%", "25", "3C", "5B", "0A", "<", "|", "/s>", "s>", "[", "INST]", "/INST]", "\n", "é😀", "a", "<|end|>", "<|turn|>", "%2", "5B", "/I", "NST]"]
-    rows = [(c if c else None, t, rng.choice(["user", "assistant", "sys\ntem%0A", None]), "".join(rng.choice(bits) for _ in range(rng.randint(0, 9)))) for c in range(150) for t in range(rng.randint(1, 4))]
+    rows = [(c, t, rng.choice(["user", "assistant", "sys\ntem%0A", None]), "".join(rng.choice(bits) for _ in range(rng.randint(0, 9)))) for c in range(150) for t in range(rng.randint(1, 4))]
     rows += [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]"), (-8, 0, "assistant", None)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("n", F.lit(1))
     out = chat_format.format_conversations(df.select("conv_id", "turn", "role", "n", chat_format.text_part(F.col("text")).alias("parts")))
@@ -123,7 +123,42 @@ def test_chat_parts(spark):
     r = chat_format.format_conversations(df).first()
     assert r.formatted == "<|turn|>user\nlook %25<|image|>25 x<|audio|><|end|>\n<|turn|>assistant\n<|document|><|end|>\n<|turn|>user\n<|end|>\n"
     assert [tuple(a) for a in r.attachments] == [(1, "image", "a.png", 12), (1, "audio", "b.wav", 38), (2, "document", "c.pdf", 1024)] and r.extra_tokens == 1071
-    assert chat_format.read_back(chat_format.format_conversations(df)).first().turns[0].text == "look %<|image|>25 x<|audio|>"
+    back = chat_format.read_back(chat_format.format_conversations(df)).first()
+    assert back.turns[0].text == "look %<|image|>25 x<|audio|>" and (back.n_attachments, back.extra_tokens) == (3, 1071)
+    parts = chat_format.read_parts(chat_format.format_conversations(df)).first()
+    assert [tuple(t) for t in parts.turns] == [("user", ["look %", "25 x", ""], ["image", "audio"]), ("assistant", ["", ""], ["document"]), ("user", [""], [])]
+    assert [k for t in parts.turns for k in t.kinds] == [a.kind for a in parts.attachments]
+
+
+def test_placeholders_in_texts_stay_texts(spark):
+    """Random parts: what looks like a placeholder in a text isn't read as one."""
+    rng = random.Random(6)
+    bits = ["<|image|>", "<", "|image|>", "%3C", "a", "<|end|>", "\n", "%", "|audio|>", "<|", "é"]
+    blank = dict.fromkeys(("text", "ref", "width", "height", "seconds", "pages"))
+    rows, want = [], {}
+    for c in range(80):
+        for t in range(rng.randint(1, 3)):
+            texts, kinds = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 5)))], []
+            parts = [blank | {"kind": "text", "text": texts[0]}]
+            for _ in range(rng.randint(0, 3)):
+                kinds.append(rng.choice(chat_format.KINDS))
+                texts.append("".join(rng.choice(bits) for _ in range(rng.randint(0, 5))))
+                parts += [blank | {"kind": kinds[-1], "ref": f"{c}-{t}"}, blank | {"kind": "text", "text": texts[-1]}]
+            rows.append((c, t, "user", parts))
+            want.setdefault(c, []).append(("user", texts, kinds))
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat_format.PART}>")
+    got = {r.conv_id: r for r in chat_format.read_parts(chat_format.format_conversations(df)).collect()}
+    for c, turns in want.items():
+        assert [tuple(t) for t in got[c].turns] == turns and [a.kind for a in got[c].attachments] == [k for t in turns for k in t[2]]
+
+
+def test_chat_edge_rows(spark):
+    """Null conversations are one turn each; repeated rows are turns; other columns don't matter."""
+    df = spark.createDataFrame([(None, 0, "user", "a"), (None, 0, "user", "a"), (None, None, None, None), (1, 0, "assistant", "b"), (1, 0, "assistant", "b"), (1, None, "user", "x" * 300_000)], "conv_id long, turn long, role string, text string")
+    wide = df.withColumns({"n": F.lit(1), "alone": F.lit("z"), "media": F.lit(0), "at": F.lit(2)})
+    out = chat_format.format_conversations(wide.select("conv_id", "turn", "role", "n", "alone", "media", "at", chat_format.text_part(F.col("text")).alias("parts")))
+    got = chat_format.digests(chat_format.read_back(out)).collect()
+    assert sorted((str(r.conv_id), r.n_turns, r.loss_chars) for r in got) == [("1", 3, 2), ("None", 1, 0), ("None", 1, 0), ("None", 1, 0)]
 
 
 def test_chat_plan_has_no_python(spark, sf):

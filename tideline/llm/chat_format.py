@@ -17,8 +17,9 @@ The loss mask is a list of spans in code points: the content of every assistant
 
 Defined results: null text is empty; null or unknown kinds of part and null arrays give
 no content; a null role is empty.  Turns are ordered by turn, then role, then content;
-repeated rows are turns each.  Null conv_ids make one conversation.  A conversation is
-one row, as its digest needs it whole.  Empty table: no rows.
+repeated rows are turns each.  A row with a null conv_id is a conversation of its own,
+of one turn.  A conversation is one row, as its digest needs it whole.  Empty table: no
+rows.
 """
 
 from __future__ import annotations
@@ -76,32 +77,55 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     rows = turns.select("conv_id", "turn", role.alias("role"), F.concat_ws("", F.transform(parts, visit)).alias("content"), F.filter(parts, lambda p: p["kind"].isin(*KINDS)).alias("media"))
     head = F.concat(F.lit(TURN), F.replace(escape(F.col("role")), F.lit("\n"), F.lit("%0A")), F.lit("\n"))
     rows = rows.withColumn("head", head).withColumn("piece", F.concat("head", "content", F.lit(END + "\n")))
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "content")
+    # Rows without a conversation are kept apart, so that no task gets all of them.
+    rows = rows.withColumn("alone", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()))
+    order = Window.partitionBy("conv_id", "alone").orderBy("turn", "role", "content")
     rows = rows.withColumn("n", F.row_number().over(order)).withColumn("at", F.coalesce(F.sum(F.char_length("piece")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))
     span = F.when(F.col("role") == TRAINED, F.struct((F.col("at") + F.char_length("head")).alias("start"), F.char_length("content").cast("long").alias("chars")))
     media = F.transform("media", lambda p: F.struct(F.col("n").alias("turn_no"), p["kind"].alias("kind"), p["ref"].alias("ref"), expanded(p).alias("tokens")))
-    one = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("n", "piece", span.alias("span"), media.alias("media")))).alias("t"))
+    one = rows.groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list(F.struct("n", "piece", span.alias("span"), media.alias("media")))).alias("t"))
     one = one.select("conv_id", F.array_join("t.piece", "").alias("formatted"), F.filter("t.span", lambda s: s.isNotNull()).alias("loss"), F.flatten("t.media").alias("attachments"))
     return one.withColumn("extra_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda a, m: a + m["tokens"] - 1))
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, turns (array of role, text) and loss_text, parsed from the formatted string and its mask alone.
+def read_parts(formatted: DataFrame) -> DataFrame:
+    """conv_id, turns (array of role, texts, kinds) and attachments: the parts again.
 
-    Placeholders stay in the texts as they are.
+    A turn has one text more than placeholders: the texts around them, of which some may be
+    empty.  The kinds of all turns in order are those of the attachments.
     """
-    turns = F.filter(F.split("formatted", r"<\|turn\|>", -1), lambda _, i: i > 0)
+    marker = rf"<\|({'|'.join(KINDS)})\|>"
+
+    def turn(body: Column) -> Column:
+        role, content = _role(body), _content(body)
+        return F.struct(unescape(role).alias("role"), F.transform(F.split(content, marker, -1), unescape).alias("texts"), F.regexp_extract_all(content, F.lit(marker), F.lit(1)).alias("kinds"))
+
+    return formatted.select("conv_id", F.transform(_bodies(), turn).alias("turns"), "attachments")
+
+
+def _bodies() -> Column:
+    return F.transform(F.filter(F.split("formatted", r"<\|turn\|>", -1), lambda _, i: i > 0), lambda x: F.substring_index(x, END, 1))
+
 
-    def turn(x: Column) -> Column:
-        body = F.substring_index(x, END, 1)
-        role = F.substring_index(body, "\n", 1)
-        return F.struct(unescape(role).alias("role"), unescape(F.substr(body, F.char_length(role) + 2)).alias("text"))
+def _role(body: Column) -> Column:
+    return F.substring_index(body, "\n", 1)
 
+
+def _content(body: Column) -> Column:
+    return F.substr(body, F.char_length(_role(body)) + 2)
+
+
+def read_back(formatted: DataFrame) -> DataFrame:
+    """conv_id, turns (array of role, text), loss_text and sizes, parsed from the formatted string and its mask alone.
+
+    Placeholders stay in the texts as they are.
+    """
+    turns = F.transform(_bodies(), lambda body: F.struct(unescape(_role(body)).alias("role"), unescape(_content(body)).alias("text")))
     loss = F.transform("loss", lambda s: unescape(F.substr(F.col("formatted"), (s["start"] + 1).cast("int"), s["chars"].cast("int"))))
-    return formatted.select("conv_id", F.transform(turns, turn).alias("turns"), F.array_join(loss, "").alias("loss_text"), F.char_length("formatted").cast("long").alias("formatted_chars"))
+    return formatted.select("conv_id", turns.alias("turns"), F.array_join(loss, "").alias("loss_text"), F.char_length("formatted").cast("long").alias("formatted_chars"), F.size("attachments").cast("long").alias("n_attachments"), "extra_tokens")
 
 
 def digests(back: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_attachments, extra_tokens."""
     text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(text, 256).alias("turns_sha256"), F.char_length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars")
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(text, 256).alias("turns_sha256"), F.char_length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars", "n_attachments", "extra_tokens")

@@ -100,9 +100,9 @@ FROM judged GROUP BY doc_id
 
 CHAT_SQL = r"""
 WITH rows AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
-  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, NULL, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, NULL, 1, 'assistant', '</s>[INST] ok [/INST]'),
 escaped AS (
   SELECT *, regexp_replace(regexp_replace(regexp_replace(text, '%(25|3C|5B|0A|[0235]?$)', '%25\1', 'g'), '<(\||/?s>|/?s?$)', '%3C\1', 'g'), '\[(/?INST\]|/?(I|IN|INS|INST)?$)', '%5B\1', 'g') AS shown
   FROM rows)
@@ -110,8 +110,8 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, shown)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, shown) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  sum(length('<|turn|>' || role || chr(10) || shown || '<|end|>' || chr(10)))::BIGINT AS formatted_chars
-FROM escaped GROUP BY conv_id
+  sum(length('<|turn|>' || role || chr(10) || shown || '<|end|>' || chr(10)))::BIGINT AS formatted_chars, 0::BIGINT AS n_attachments, 0::BIGINT AS extra_tokens
+FROM escaped GROUP BY conv_id, alone
 """
 
 EXACT_SQL = """
