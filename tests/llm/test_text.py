@@ -66,6 +66,18 @@ def test_bpe_agrees_with_the_library(spark, sf):
         assert digest[r.doc_id].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and digest[r.doc_id].decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest()
 
 
+@pytest.mark.parametrize("limit", [100, pretokens.LIMIT])
+def test_round_trip_digests(spark, limit):
+    """The query's own path, over a whole table."""
+    df = docs(spark, "/root/testdata/sf0.01")
+    enc, texts = bpe.encoding(RANKS, PATTERN), {r.doc_id: r.text for r in df.select("doc_id", "text").collect()}
+    got = bpe.digests(bpe.round_trip(df, RANKS, PATTERN, limit)).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        ids, raw = enc.encode_ordinary(texts[r.doc_id]), texts[r.doc_id].encode()
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(raw).hexdigest())
+
+
 def test_bpe_edge_rows(spark):
     df = spark.createDataFrame([(None, "a"), (1, None), (1, ""), (2, " " * 1_000_000 + "b")], "doc_id long, text string").withColumn("ids", F.lit(3))
     got = bpe.digests(bpe.decode_documents(bpe.encode_documents(df, RANKS, PATTERN), RANKS, PATTERN)).collect()
@@ -87,6 +99,8 @@ def test_counts_agree_with_the_library(spark, sf):
     assert len(got) == len(text) and all(r.n_tokens == library(text[r.doc_id]) and r.n_bytes == len(text[r.doc_id].encode()) for r in got)
     for token in random.Random(1).sample(sorted(c.whole), 500):
         assert library(token) == 1
+    odd = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a b"), (2, "word " * 200_000)], "doc_id long, text string").withColumns({"n_tokens": F.lit(5), "n_bytes": F.lit(6)})
+    assert sorted((str(r.doc_id), r.n_tokens, r.n_bytes) for r in token_counts.count_tokens(odd, JSON, PATTERN).collect()) == sorted([("1", library("a b"), 3)] * 2 + [("None", library("a b"), 3), ("2", library("word " * 200_000), 1_000_000)])
     df = spark.createDataFrame([(None, None), (1, "")], "doc_id long, text string")
     assert {r.n_tokens for r in token_counts.count_tokens(df, JSON, PATTERN).collect()} == {0}
     assert token_counts.count_tokens(df.limit(0), JSON, PATTERN).collect() == []
@@ -212,6 +226,56 @@ def test_toxicity_reads_the_text_alone(spark):
     assert none is None and {r.score for r in toxicity.score(df, none).collect()} == {0.0}
 
 
+def test_forward_pass_against_plain_loops():
+    """Convolution and pooling by loops over words, taps and filters."""
+    model = toxicity.train(["you idiot", "fine day", "what a fine idiot", "no words here"] * 10, [1, 0, 1, 0] * 10, ["en"] * 40)
+    rng, vocabulary = random.Random(8), ["you", "idiot", "fine", "day", "others", "no"]
+    for n in (0, 1, 2, 3, 9, 40):
+        ids = toxicity.Hasher()(" ".join(rng.choice(vocabulary) for _ in range(n)))
+        buckets, want, tap = toxicity._buckets(ids), [], 0
+        for width_no, width in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                sums = [sum(float(model.tables[t][buckets[t][at + j], tap + j, f]) for t in range(len(model.tables)) for j in range(width)) for at in range(n - width + 1)]
+                want.append(max([0.0, *(s + float(model.bias[width_no, f]) for s in sums)]))
+            tap += width
+        assert np.allclose(model.pooled(ids), want, atol=1e-4)
+        z = model.scale * (float(np.dot(want, model.weights)) + model.offset - model.shift) + np.log(0.7 / 0.3)
+        assert abs(model.score(ids) - 1 / (1 + np.exp(-z))) < 1e-4
+
+
+def test_gradients_against_differences():
+    rng = np.random.default_rng(3)
+    taps, wide = sum(toxicity.WIDTHS), len(toxicity.STEMS) * toxicity.PART
+    p = {"e": rng.normal(0, 1, (len(toxicity.STEMS), toxicity.BUCKETS, toxicity.PART)), "f": rng.normal(0, 1, (taps, wide, toxicity.FILTERS)), "b": rng.normal(0, 0.1, (len(toxicity.WIDTHS), toxicity.FILTERS)), "w": rng.normal(0, 0.3, len(toxicity.WIDTHS) * toxicity.FILTERS), "o": rng.normal(0, 1, 1)}
+    ids = toxicity.Hasher()("one two three two four one")
+    buckets = toxicity._buckets(ids)
+
+    def loss(label):
+        x = np.concatenate([t[b] for t, b in zip(p["e"], buckets, strict=True)], axis=1)
+        pooled, tap = [], 0
+        for n, w in enumerate(toxicity.WIDTHS):
+            z = sum(x[j : len(x) - w + 1 + j] @ p["f"][tap + j] for j in range(w)).max(axis=0) + p["b"][n]
+            pooled.append(np.maximum(z, 0))
+            tap += w
+        logit = float(np.concatenate(pooled) @ p["w"] + p["o"][0])
+        return np.log1p(np.exp(logit)) - label * logit
+
+    for label in (0, 1):
+        g, rows = {k: np.zeros_like(v) for k, v in p.items() if k != "e"}, {}
+        toxicity._backward(p, ids, label, 1.0, g, rows)
+        places = [("f", (0, 3, 1)), ("f", (2, 0, 5)), ("f", (5, 7, 2)), ("b", (1, 4)), ("b", (2, 0)), ("w", (3,)), ("w", (20,)), ("o", (0,))]
+        places += [("e", (t, int(buckets[t][k]), c)) for t in range(len(buckets)) for k in (0, 1) for c in (0, toxicity.PART - 1)]
+        for name, at in places:
+            old, step = p[name][at], 1e-5
+            p[name][at] = old + step
+            up = loss(label)
+            p[name][at] = old - step
+            down = loss(label)
+            p[name][at] = old
+            mine = rows.get(at[:2], np.zeros(toxicity.PART))[at[2]] if name == "e" else g[name][at]
+            assert abs(mine - (up - down) / (2 * step)) < 1e-3
+
+
 def test_pooling_in_chunks_is_the_whole_maximum(monkeypatch):
     model = toxicity.train(["you idiot", "fine day"] * 10, [1, 0] * 10, ["en"] * 20)
     ids = toxicity.Hasher()(" ".join(f"w{n % 97}" for n in range(500)))
@@ -311,8 +375,10 @@ def test_leaks_are_the_contained_items(spark):
     items = {r.item_id: " ".join(decontaminate.words(r.text)) for r in bench.collect()}
     texts = {r.doc_id: " ".join(decontaminate.words(r.text)) for r in docs(spark, sf).select("doc_id", "text").collect()}
     want = {(d, i) for d, t in texts.items() for i, x in items.items() if f" {x} " in f" {t} "}
-    for parameters in ({}, {"shard": 7, "shards": 2}):
+    for parameters in ({}, {"shard": 7, "pass_bytes": 1}, {"item_bytes": 900}):
         assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs(spark, sf), bench, **parameters).collect()} == want
+    one, many = ({(r.doc_id, r.item_id): (round(r.score, 9), r.question_overlap) for r in decontaminate.leaks(docs(spark, sf), bench, item_bytes=n).collect()} for n in (1 << 30, 900))
+    assert one == many  # groups of items share the statistics of all
     left = decontaminate.drop_leaks(docs(spark, sf), bench)
     assert left.columns == docs(spark, sf).columns and left.count() == len(texts) - len({d for d, _ in want})
 
@@ -344,7 +410,7 @@ def test_leak_edge_rows(spark):
     bench = spark.createDataFrame([(9, "Who came first? The old grey hen came first of all."), (None, None), (10, "")], "item_id long, text string")
     assert sorted((str(r.doc_id), r.item_id) for r in decontaminate.leaks(rows, bench).collect()) == [("3", 9), ("None", 9)]
     assert decontaminate.leaks(rows, bench.limit(0)).collect() == [] and decontaminate.leaks(rows.limit(0), bench).collect() == []
-    assert sorted(r.doc_id for r in decontaminate.drop_leaks(rows, bench).collect()) == [1, 2]
+    assert sorted((r.doc_id, r.text or "") for r in decontaminate.drop_leaks(rows, bench).collect()) == [(1, ""), (2, ""), (3, "the old grey hen came first of all")]
 
 
 # pipeline
@@ -370,6 +436,30 @@ def test_pipeline_against_brute_force(spark, sf):
     assert all(got[i].n_tokens == len(enc.encode_ordinary(t)) for i, t in left.items())
 
 
+def test_stages_judge_each_row_by_its_own_text(spark, sf, tmp_path):
+    """Null and repeated ids, null and empty texts, repeated rows; and empty tables."""
+    import corpus_pipeline
+
+    clean = [r.text for r in docs(spark, sf).where("lang = 'en'").orderBy("doc_id").limit(60).collect()]
+    clean = [t for t in clean if len(t.split()) > 60][:6]
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    rows = [(None, clean[0]), (None, clean[1]), (None, f"{clean[2]} {item}"), (5, clean[3]), (5, clean[4]), (5, None), (6, ""), (7, clean[3]), (7, clean[3]), (8, f"{clean[5]} {item}"), (8, "a very short one")]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], docs(spark, sf).schema)
+    left, found = df, {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, left = left, stage(spark, left, sf)
+        if name != "toxicity":  # what the classifier makes of these isn't the matter here
+            found[name] = sorted((str(r.doc_id), r.text or "") for r in left.collect())
+        else:
+            left = before
+    assert found["exact_dedup"] == sorted([("None", clean[0]), ("None", clean[1]), ("None", f"{clean[2]} {item}"), ("5", clean[4]), ("6", ""), ("7", clean[3]), ("8", f"{clean[5]} {item}"), ("8", "a very short one")])
+    assert found["simhash_near_dedup"] == found["exact_dedup"]
+    assert found["decontamination"] == [x for x in found["exact_dedup"] if item not in x[1]]
+    for t in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
 def test_stages_keep_the_columns(spark, sf):
     import corpus_pipeline
 

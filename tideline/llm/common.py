@@ -124,6 +124,25 @@ def matching(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
     return docs.alias("docs").join(found.alias("found"), on, how)
 
 
+def keep_rows(docs: DataFrame, keep: DataFrame, again: DataFrame | None) -> DataFrame:
+    """Rows of ``docs`` whose (id, sha) is in ``keep``, one of each; columns of any names as they were.
+
+    ``again``: the (id, sha) that several rows hold, None if no row repeats one.
+    """
+    kept = matching(docs, keep, "left_semi")
+    if again is None:
+        return kept
+    once, twice = matching(kept, again, "left_anti"), matching(kept, again, "left_semi")
+    whole = twice.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), id_col().alias("id"), F.sha2(text_col(), 256).alias("sha"))
+    return once.unionByName(whole.dropDuplicates(["id", "sha"]).select("row.*"))
+
+
+def own_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, lang and text of ``docs``, with the struct (id, sha) as doc_id: what an operator finds out goes to rows of that text alone, though ids may be null or repeat."""
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    return docs.select(F.struct(id_col().alias("id"), F.sha2(text_col(), 256).alias("sha")).alias("doc_id"), lang.alias("lang"), text_col().alias("text"))
+
+
 def join_one(rows: DataFrame, key: str, lookup: DataFrame, total: int, few: int = FEW_ROWS) -> DataFrame:
     """Inner join of ``rows``, ``total`` in number, with ``lookup``, which has one row a value of ``key``, without a hot task.
 

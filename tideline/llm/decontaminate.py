@@ -16,8 +16,8 @@ sentences but the last) and its answer (the last one): shares of their five-word
 shingles, repeats once.
 
 Passages are twice as long as the longest item of a shard and overlap by half, so any
-stretch as long as an item lies in one of them.  Items come to the driver in shards of
-``SHARD`` items; shards beyond ``SHARDS`` a pass are handled in further passes.
+stretch as long as an item lies in one of them.  The index is built in shards of
+``SHARD`` items and broadcast in passes of bounded size.
 
 Defined results: null texts are empty; documents and items without words yield nothing.
 A null doc_id or item_id comes back as null.  Rows that repeat a doc_id give the best
@@ -37,11 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import id_col, matching, slices, text_col
+from tideline.llm.common import cut, matching, own_rows, slices, text_col
 
 THRESHOLD, OVERLAP, GRAM = 0.5, 0.6, 5
 K1, B = 1.2, 0.75
-SHARD, SHARDS, BLOCKS = 2048, 16, 64
+SHARD, BLOCKS = 2048, 64
+#: Bytes of items on the driver at a time; bytes of block bounds broadcast for a pass.
+ITEM_BYTES, PASS_BYTES = 16 << 20, 64 << 20
 WORD = re.compile(r"[^\W_]+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
@@ -74,13 +76,27 @@ class Shard:
     size: int  # items in a block
 
 
-def build(texts: list[str], shard: int = SHARD, blocks: int = BLOCKS) -> list[Shard]:
-    """Shards of the index; document frequencies and lengths are those of all items."""
+@dataclass
+class Statistics:
+    """Items that have words, their words in all, and in how many items each word is."""
+
+    items: int
+    words: int
+    df: dict[str, int]
+
+
+def statistics(texts: list[str]) -> Statistics:
+    bags = [b for b in map(words, texts) if b]
+    return Statistics(len(bags), sum(map(len, bags)), Counter(w for b in bags for w in set(b)))
+
+
+def build(texts: list[str], shard: int = SHARD, blocks: int = BLOCKS, of: Statistics | None = None) -> list[Shard]:
+    """Shards of the index; document frequencies and lengths are those of all items: ``of``, or these texts."""
+    of = of or statistics(texts)
     bags = [Counter(words(t)) for t in texts]
     live = [n for n, b in enumerate(bags) if b]
-    df = Counter(w for n in live for w in bags[n])
-    mean = sum(sum(bags[n].values()) for n in live) / max(1, len(live))
-    idf = {w: np.log(1 + (len(live) - d + 0.5) / (d + 0.5)) for w, d in df.items()}
+    mean = of.words / max(1, of.items)
+    idf = {w: np.log(1 + (of.items - d + 0.5) / (d + 0.5)) for w, d in of.df.items()}
     live.sort(key=lambda n: (sum(bags[n].values()), n))  # like lengths share blocks: tighter bounds
     out = []
     for at in range(0, len(live), shard):
@@ -97,10 +113,10 @@ def build(texts: list[str], shard: int = SHARD, blocks: int = BLOCKS) -> list[Sh
                 if t == len(postings):
                     postings.append({})
                 postings[t].setdefault(k // size, []).append((k, v / whole))
-        by_block = np.zeros((len(terms), -(-len(items) // size)), dtype=np.float64)
+        by_block = np.zeros((len(terms), -(-len(items) // size)), dtype=np.float32)
         for t, p in enumerate(postings):
             for b, pairs in p.items():
-                by_block[t, b] = max(v for _, v in pairs)
+                by_block[t, b] = np.nextafter(np.float32(max(v for _, v in pairs)), np.float32(2))  # a bound, so never less
         qa = [question_answer(texts[n]) for n in items]
         out.append(Shard(items, terms, by_block.max(axis=1), by_block, postings, [(shingles(q), shingles(a)) for q, a in qa], 2 * max(sum(bags[n].values()) for n in items), size))
     return out
@@ -108,7 +124,7 @@ def build(texts: list[str], shard: int = SHARD, blocks: int = BLOCKS) -> list[Sh
 
 def open_block(s: Shard, terms: np.ndarray, block: int, threshold: float) -> list[tuple[int, float]]:
     """Items of a block at or above the threshold, exactly."""
-    bound = s.by_block[terms, block]
+    bound = s.by_block[terms, block].astype(np.float64)
     terms, bound = terms[bound > 0], bound[bound > 0]
     order = np.lexsort((terms, -bound))
     left = np.concatenate([np.cumsum(bound[order][::-1])[::-1], [0.0]])
@@ -151,13 +167,13 @@ def search(s: Shard, docs: list[list[str]], threshold: float = THRESHOLD) -> Ite
     passage, term = passage[keep], term[keep]
     starts = np.concatenate([[0], np.flatnonzero(passage[1:] != passage[:-1]) + 1, [len(passage)]])
     for lo in range(0, len(starts) - 1, 256):
-        cut = starts[lo : lo + 257]
-        if len(cut) < 2 or cut[0] == cut[-1]:
+        edges = starts[lo : lo + 257]
+        if len(edges) < 2 or edges[0] == edges[-1]:
             continue
-        bound = np.add.reduceat(s.by_block[term[cut[0] : cut[-1]]], cut[:-1] - cut[0], axis=0)
+        bound = np.add.reduceat(s.by_block[term[edges[0] : edges[-1]]], edges[:-1] - edges[0], axis=0, dtype=np.float64)
         for i, b in zip(*np.nonzero(bound >= threshold - 1e-9), strict=True):
-            p = int(passage[cut[i]])
-            for k, v in open_block(s, term[cut[i] : cut[i + 1]], int(b), threshold):
+            p = int(passage[edges[i]])
+            for k, v in open_block(s, term[edges[i] : edges[i + 1]], int(b), threshold):
                 yield doc_of[p], word_of[p], k, v
 
 
@@ -194,26 +210,65 @@ def _run(index, threshold: float, overlap: float, gram: int):
     return run
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, gram: int = GRAM, shard: int = SHARD, shards: int = SHARDS) -> DataFrame:
-    """docs (doc_id, text), benchmark (item_id, text) -> doc_id, item_id, score, question_overlap, answer_overlap of each leak."""
+def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches, 256):
+        for t in b.column("text").to_pylist():
+            found = Counter(words(t))
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(found.values(), pa.int64())], names=["word", "n"])
+
+
+def _live_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches):
+        yield pa.RecordBatch.from_pydict({"n": [sum(bool(words(t)) for t in b.column("text").to_pylist())]})
+
+
+def _groups(benchmark: DataFrame, item_bytes: int) -> Iterator[tuple[list, Statistics | None]]:
+    """The items in groups of about ``item_bytes``, each with the statistics of all items; one group needs none."""
+    texts = benchmark.select("item_id", text_col().alias("text"))
+    total = texts.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
+    n = max(1, -(-total // item_bytes))
+    if n == 1:
+        yield texts.orderBy("item_id", "text").collect(), None
+        return
+    counts = cut(texts.mapInArrow(_item_words, "word string, n long").groupBy("word").agg(F.count("*").alias("df"), F.sum("n").alias("n")), "item-words")
+    total_words = counts.agg(F.sum("n")).first()[0] or 0
+    live = texts.mapInArrow(_live_items, "n long").agg(F.sum("n")).first()[0] or 0
+    group = texts.withColumn("g", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
+    for k in range(n):
+        part = group.where(F.col("g") == k).drop("g")
+        items = part.orderBy("item_id", "text").collect()
+        mine = part.mapInArrow(_item_words, "word string, n long").select("word").distinct()
+        yield items, Statistics(live, total_words, {r.word: r.df for r in counts.join(mine, "word", "left_semi").collect()})
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, gram: int = GRAM, shard: int = SHARD, item_bytes: int = ITEM_BYTES, pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """docs (doc_id, text), benchmark (item_id, text) -> doc_id, item_id, score, question_overlap, answer_overlap of each leak.
+
+    At most about ``item_bytes`` of the items are on the driver at a time, and shards of about
+    ``pass_bytes`` are broadcast for one pass; a larger benchmark takes more passes over docs.
+    """
     spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
     kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    items = benchmark.select("item_id", text_col().alias("text")).orderBy("item_id", "text").collect()  # test items: a given, bounded set
-    index = build([r.text for r in items], shard)
     rows = docs.select("doc_id", text_col().alias("text"))
     found = []
-    for at in range(0, len(index), shards):
-        held = sc.broadcast(index[at : at + shards])
-        found.append(rows.mapInArrow(_run(held, threshold, overlap, gram), FOUND.format(kind=kind)))
-    schema = f"doc_id {kind}, item_id {item_kind}, score double, question_overlap double, answer_overlap double"
+    for items, of in _groups(benchmark, item_bytes):
+        index = build([r.text for r in items], shard, of=of)
+        names = spark.createDataFrame([(n, r.item_id) for n, r in enumerate(items)], f"n int, item_id {item_kind}")
+        best = None
+        while index:
+            n = max(1, int(np.searchsorted(np.cumsum([s.by_block.nbytes for s in index]), pass_bytes, side="right")))
+            held, index = sc.broadcast(index[:n]), index[n:]
+            part = rows.mapInArrow(_run(held, threshold, overlap, gram), FOUND.format(kind=kind))
+            best = part if best is None else best.unionByName(part)
+        if best is not None:
+            best = best.groupBy("doc_id", "item").agg(*(F.max(c).alias(c) for c in ("score", "question", "answer")))
+            found.append(best.join(F.broadcast(names), F.col("item") == F.col("n")).select("doc_id", "item_id", "score", F.col("question").alias("question_overlap"), F.col("answer").alias("answer_overlap")))
     if not found:
-        return spark.createDataFrame([], schema)
-    names = spark.createDataFrame([(n, r.item_id) for n, r in enumerate(items)], f"n int, item_id {item_kind}")
-    best = reduce(DataFrame.unionByName, found).groupBy("doc_id", "item").agg(*(F.max(c).alias(c) for c in ("score", "question", "answer")))
-    return best.join(names, F.col("item") == F.col("n")).select("doc_id", "item_id", "score", F.col("question").alias("question_overlap"), F.col("answer").alias("answer_overlap"))
+        return spark.createDataFrame([], f"doc_id {kind}, item_id {item_kind}, score double, question_overlap double, answer_overlap double")
+    return reduce(DataFrame.unionByName, found)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
     """``docs`` without the documents that hold a test item, columns as they were."""
-    bad = leaks(docs, benchmark, **parameters).select(id_col().alias("id")).distinct()
+    bad = leaks(own_rows(docs), benchmark, **parameters).select("doc_id.*").distinct()
     return matching(docs, bad, "left_anti")

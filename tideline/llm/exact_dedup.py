@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import cut, free, id_back, id_col, matching, out_batch, slices, text_col
+from tideline.llm.common import cut, free, id_back, id_col, keep_rows, matching, out_batch, slices, text_col
 
 PAGE_BYTES = 32 << 20
 MAX_PAGES, MAX_BITS = 1 << 16, 20
@@ -247,9 +247,5 @@ def drop_exact_duplicates(docs: DataFrame, page_bytes: int = PAGE_BYTES) -> Data
     keep = ids.where("kept").select("id", "sha").distinct()
     if ids.groupBy("id").count().where("count > 1").isEmpty():
         return matching(docs, keep.select("id"), "left_semi")
-    again = ids.groupBy("id", "sha").count().where("count > 1").select("id", "sha")
-    kept = matching(docs, keep, "left_semi")
-    once, twice = matching(kept, again, "left_anti"), matching(kept, again, "left_semi")
     # Rows that share id and text: any one of them, with a null text as good as an empty one.
-    whole = twice.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), id_col().alias("id"), F.sha2(text_col(), 256).alias("sha"))
-    return once.unionByName(whole.dropDuplicates(["id", "sha"]).select("row.*"))
+    return keep_rows(docs, keep, ids.groupBy("id", "sha").count().where("count > 1").select("id", "sha"))

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import cut, free, id_back, id_col, join_one, matching, out_batch, slices, text_col
+from tideline.llm.common import cut, free, id_back, id_col, join_one, keep_rows, out_batch, own_rows, slices, text_col
 from tideline.llm.components import components
 
 SHINGLE, BITS_APART = 4, 4
@@ -82,6 +82,12 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out_batch(PRINTS, id=b.column("id"), fp=[fingerprint(t) for t in b.column("text").cast(pa.binary()).to_pylist()])
 
 
+def _prints_of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches, 1024):
+        prints = [fingerprint(t) for t in b.column("text").cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("sha"), pa.array(prints, pa.int64())], names=["id", "sha", "fp"])
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(id, fp) of every row."""
     return docs.select(id_col().alias("id"), text_col().alias("text")).mapInArrow(_prints, "id long, fp long")
@@ -249,24 +255,43 @@ def links(distinct: DataFrame, apart: int = BITS_APART, list_rows: int = LIST_RO
     return all_found
 
 
-def simhash_components(docs: DataFrame, apart: int = BITS_APART, list_rows: int = LIST_ROWS, keyed: int = KEYED) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, fingerprint, component_id (smallest doc_id reached)."""
-    prints = cut(fingerprints(docs), "fingerprints")
+def _labels(prints: DataFrame, extra: DataFrame | None, apart: int, list_rows: int, keyed: int) -> DataFrame:
+    """prints (id, fp ...; a written table) -> (fp, component), a written table; the component is its least id.  extra (id): ids whose fingerprints are linked too."""
     classes = cut(prints.groupBy("fp").agg(F.min("id").alias("least")), "classes")
     found = links(classes, apart, list_rows, keyed)
-    n_rows, n_classes, n_found = prints.count(), classes.count(), found.count()
+    n_classes, n_found = classes.count(), found.count()
+    # A class goes by its least id; classes that share it (rows that repeat an id) are one node here.
     a, b = classes.select(F.col("fp").alias("x"), F.col("least").alias("a")), classes.select(F.col("fp").alias("y"), F.col("least").alias("b"))
+    near = cut(join_one(found, "x", a, n_found), "simhash-near", n_found)
+    nodes = join_one(near, "y", b, n_found).select("a", "b")
+    if extra is not None:
+        nodes = nodes.unionByName(prints.join(extra, "id", "left_semi").join(classes, "fp").select(F.col("id").alias("a"), F.col("least").alias("b")))
+    nodes = components(nodes)
+    labels = cut(classes.join(nodes, F.col("least") == F.col("node"), "left").select("fp", F.coalesce("component", "least").alias("component")), "simhash-labels", n_classes)
+    free(near)
+    return labels
+
+
+def simhash_components(docs: DataFrame, apart: int = BITS_APART, list_rows: int = LIST_ROWS, keyed: int = KEYED) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, fingerprint, component_id (smallest doc_id reached)."""
+    prints = cut(fingerprints(docs), "fingerprints")
     # Rows that repeat a doc_id with other texts are one node: each fingerprint of an id links to the id's first.
     same = prints.groupBy("id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y").select("id")
-    again = prints.join(same, "id", "left_semi").join(classes, "fp").select(F.col("id").alias("a"), F.col("least").alias("b"))
-    near = cut(join_one(found, "x", a, n_found), "simhash-near", n_found)
-    nodes = components(join_one(near, "y", b, n_found).select("a", "b").unionByName(again))
-    labels = classes.join(nodes, F.col("least") == F.col("node"), "left").select("fp", F.coalesce("component", "least").alias("component"))
-    out = join_one(prints, "fp", cut(labels, "simhash-labels", n_classes), n_rows)
+    out = join_one(prints, "fp", _labels(prints, same, apart, list_rows, keyed), prints.count())
     return out.select(id_back("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), id_back("component").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, apart: int = BITS_APART) -> DataFrame:
-    """``docs`` with one document (the smallest doc_id) of each component, columns as they were."""
-    keep = simhash_components(docs, apart).select(id_col("component_id").alias("id")).distinct()
-    return matching(docs, keep, "left_semi")
+    """``docs`` with one document (the smallest doc_id) of each group of near fingerprints, columns as they were.
+
+    Each row goes by its own text: rows that share an id, or have none, aren't linked by that.
+    """
+    rows = own_rows(docs).select("doc_id", "text")
+    prints = cut(rows.select(F.col("doc_id.id").alias("id"), F.col("doc_id.sha").alias("sha"), "text").mapInArrow(_prints_of_rows, "id long, sha string, fp long"), "fingerprints")
+    classes = cut(prints.groupBy("fp").agg(F.min(F.struct("id", "sha")).alias("first")), "classes")
+    found = links(classes, apart)
+    grouped = components(found.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    labels = classes.join(grouped, F.col("fp") == F.col("node"), "left").select("first", F.coalesce("component", "fp").alias("component"))
+    keep = cut(labels.groupBy("component").agg(F.min("first").alias("first")).select("first.id", "first.sha"), "simhash-kept", classes.count())
+    repeats = prints.groupBy("id", "sha").count().where("count > 1").select("id", "sha")
+    return keep_rows(docs, keep, None if repeats.isEmpty() else repeats)
