@@ -43,10 +43,10 @@ def eligible(deliveries: DataFrame, now: Column, partitions: list[int] | None =
 
 
 def eligible_antijoin(deliveries: DataFrame, now: Column) -> DataFrame:
-    """The head-of-line gate as an anti-join on earlier unfinished rows; the same rows as the window's."""
-    earlier = deliveries.where(F.col("status").isin(*UNFINISHED)).select(F.col("subscriber_id").alias("__s"), F.col("sequence").alias("__q"))
-    due = deliveries.where((F.col("status") == PENDING) & (F.col("next_attempt_at") <= now))
-    return due.join(earlier, (F.col("subscriber_id") == F.col("__s")) & (F.col("__q") < F.col("sequence")), "left_anti")
+    """The head-of-line gate as an anti-join on the subscriber's head, one row each; the same rows as the window's."""
+    first = heads(deliveries).select(F.col("subscriber_id").alias("__s"), "head")
+    due = deliveries.where((F.col("status") == PENDING) & (F.coalesce("next_attempt_at", now) <= now))
+    return due.join(first, (F.col("subscriber_id") == F.col("__s")) & (F.col("head") < F.col("sequence")), "left_anti")
 
 
 def take(rows: DataFrame, limit: int, order: tuple[str, ...] = BY_PARTITION) -> DataFrame:
@@ -88,25 +88,50 @@ def orphans(deliveries: DataFrame, owners: DataFrame) -> DataFrame:
     return deliveries.where(F.col("status").isin(*UNFINISHED)).join(owners.select("partition"), "partition", "left_anti").select(*deliveries.columns)
 
 
+ORPHAN = "an unfinished delivery has no partition owner"
+
+
 def check_ownership(deliveries: DataFrame, owners: DataFrame) -> None:
     """Distributed claims fail closed: owner rows must exist, for every unfinished row."""
     if owners.isEmpty():
         raise ValueError("no partition has an owner")
     if not orphans(deliveries, owners).isEmpty():
-        raise ValueError("an unfinished delivery has no partition owner")
+        raise ValueError(ORPHAN)
 
 
 def claim_distributed(deliveries: DataFrame, owners: DataFrame, node: str, token: str, now: Column, limit: int = BATCH, suspended: DataFrame | None = None, drained_too: bool = False, check: bool = True) -> DataFrame:
-    """Rows of the partitions that the node owns and that are active; stamped with the owner row's generation."""
+    """Rows of the partitions that the node owns and that are active; stamped with the owner row's generation.
+
+    check: the plan itself raises where an unfinished row has no owner, in the one pass that claims.
+    """
     if not (m := re.fullmatch(OWNER_TOKEN.strip("^$"), token)) or m.group(1) != node:
         raise ValueError("the owner token must be NODE/incarnation/worker-N of this node")
+    if check and owners.isEmpty():
+        raise ValueError("no partition has an owner")
+    # At most a row a partition; Spark broadcasts it by size.
+    known = owners.select("partition", F.col("generation").alias("__g"), ((F.col("owner_node") == node) & (F.lit(drained_too) | (F.col("state") == ACTIVE))).alias("__mine"))
+    rows = deliveries.where(F.col("status").isin(*UNFINISHED)).join(known, "partition", "left" if check else "inner")
     if check:
-        check_ownership(deliveries, owners)
-    mine = owners.where((F.col("owner_node") == node) & (F.lit(drained_too) | (F.col("state") == ACTIVE))).select("partition", F.col("generation").alias("__g"))
-    rows = eligible(deliveries, now, None, suspended).join(mine, "partition")  # at most a row a partition; Spark broadcasts it by size
+        rows = rows.where(F.when(F.col("__g").isNull(), F.raise_error(F.lit(ORPHAN)).cast("boolean")).otherwise(F.col("__mine")))
+    else:
+        rows = rows.where("__mine")
+    rows = eligible(rows, now, None, suspended)
     return stamp(take(rows, limit), token, F.col("__g"), now).select(*deliveries.columns)
 
 
+def claim_workers(deliveries: DataFrame, workers: int, generation: int, now: Column, limit: int = BATCH, suspended: DataFrame | None = None, hol: bool = True) -> DataFrame:
+    """One claim for each of ``workers`` workers, of up to ``limit`` rows of its own partitions: partition p is worker p % workers'."""
+    check_stamp("worker", generation)
+    if workers <= 1:
+        return claim(deliveries, "worker-0", generation, now, None, limit, suspended, hol)
+    rows = eligible(deliveries, now, None, suspended, hol).withColumn("__w", F.col("partition") % workers)
+    if limit <= 0:
+        return stamp(rows.limit(0), "worker-0", F.lit(generation), now).select(*deliveries.columns)
+    nth = F.row_number().over(Window.partitionBy("__w").orderBy(*BY_PARTITION))
+    rows = rows.withColumn("__n", nth).where(F.col("__n") <= limit)  # a limit by group: only that many rows of a group are kept while sorting
+    return stamp(rows, "", F.lit(generation), now).withColumn("owner", F.concat(F.lit("worker-"), "__w")).select(*deliveries.columns)
+
+
 def apply_claim(deliveries: DataFrame, claimed: DataFrame) -> DataFrame:
     """State after a claim: the claimed rows in place of what they were.  ``claimed`` must be materialised."""
     return deliveries.join(claimed.select("id"), "id", "left_anti").select(*deliveries.columns).unionByName(claimed.select(*deliveries.columns))

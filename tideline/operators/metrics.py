@@ -25,18 +25,52 @@ def latencies(receipts: DataFrame, dispatched: DataFrame) -> DataFrame:
     return joined.select("sub", "seq", F.greatest(ms, F.lit(0.0)).alias("ms"))
 
 
+#: Distinct values that one task sorts to find a rank; splits of a range that holds more.
+SORTED, SPLITS = 100_000, 64
+
+
 def nearest_rank(values: DataFrame, value: str, percents: tuple[int, ...], by: tuple[str, ...] = ()) -> DataFrame:
     """sorted[n * p // 100], the last for p that would lie beyond; 0 if there are none.
 
     Values are counted first, so what is sorted is distinct values, with running totals:
-    no list of all values is gathered.
+    no list of all values is gathered.  Without ``by``, ranges that hold a wanted rank are
+    narrowed by grouped counts until few values are left; only these are sorted.
     """
     counted = values.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("k"))
+    zero = F.lit(0).cast(dict(values.dtypes)[value])
+    if not by:
+        found = _ranks(counted.persist(), value, percents)
+        return values.sparkSession.range(1).select(*((zero if v is None else F.lit(v).cast(dict(values.dtypes)[value])).alias(f"p{p}") for p, v in found.items()))
     order = Window.partitionBy(*by).orderBy(value)
     ranked = counted.withColumn("upto", F.sum("k").over(order)).withColumn("n", F.sum("k").over(Window.partitionBy(*by)))
     at = lambda p: F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1)
     picks = [F.min(F.when(F.col("upto") > at(p), F.col(value))) for p in percents]
-    return ranked.groupBy(*by).agg(*(F.coalesce(x, F.lit(0).cast(dict(values.dtypes)[value])).alias(f"p{p}") for x, p in zip(picks, percents, strict=True)))
+    return ranked.groupBy(*by).agg(*(F.coalesce(x, zero).alias(f"p{p}") for x, p in zip(picks, percents, strict=True)))
+
+
+def _ranks(counted: DataFrame, value: str, percents: tuple[int, ...]) -> dict[int, object]:
+    """The value at each percent's rank in counted (value, k); None if there is none."""
+    total, distinct = counted.agg(F.coalesce(F.sum("k"), F.lit(0)), F.count("*")).first()
+    out = {}
+    for p in percents:
+        rows, n, rank = counted, distinct, min(total * p // 100, total - 1)
+        while n > SORTED:
+            cuts = rows.agg(F.percentile_approx(value, [x / SPLITS for x in range(1, SPLITS)], 1000)).first()[0]
+            part = F.size(F.filter(F.lit(sorted(set(cuts))), lambda c: c < F.col(value)))
+            sizes = sorted(rows.groupBy(part.alias("part")).agg(F.sum("k").alias("k"), F.count("*").alias("n")).collect())  # SPLITS rows
+            for s in sizes:
+                if rank < s.k:
+                    break
+                rank -= s.k
+            if s.n == n:
+                break  # the values can't be told apart any further
+            rows, n = rows.where(part == s.part), s.n
+        if n:
+            ranked = rows.withColumn("upto", F.sum("k").over(Window.orderBy(value)))
+            out[p] = ranked.where(F.col("upto") > rank).agg(F.min(value)).first()[0]
+        else:
+            out[p] = None
+    return out
 
 
 def throughput(receipts: DataFrame, at: str = "arrived") -> DataFrame:

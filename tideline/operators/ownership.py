@@ -128,6 +128,52 @@ def force_takeover(owners: DataFrame, deliveries: DataFrame, partition: int, tar
     return owners, deliveries
 
 
+def take_over_rows(owners: DataFrame, deliveries: DataFrame, wishes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Forced takeovers of many partitions (partition, target, expected; one wish each): owners with their ``decision``, and deliveries.
+
+    In-flight rows of the partitions that are stolen are pending again; refused wishes change nothing.
+    """
+    decided = takeover_decision(owners, wishes).select(F.col("partition").alias("__p"), F.col("target").alias("__target"), "decision")
+    joined = owners.join(decided, F.col("partition") == F.col("__p"), "left")
+    steal, freed = F.coalesce(F.col("decision") == STEAL, F.lit(False)), F.coalesce(F.col("decision").isin(STEAL, ABORT), F.lit(False))
+    after = joined.select("partition", F.when(steal, F.col("__target")).otherwise(F.col("owner_node")).alias("owner_node"), F.when(steal, F.col("generation") + 1).otherwise(F.col("generation")).alias("generation"), F.when(freed, ACTIVE).otherwise(F.col("state")).alias("state"), F.when(~freed, F.col("next_owner")).alias("next_owner"), "decision")
+    stolen = decided.where(F.col("decision") == STEAL).select(F.col("__p").alias("partition"), F.lit(True).alias("__stolen"))
+    rows = deliveries.join(F.broadcast(stolen), "partition", "left")  # a row a partition at most
+    return after, reset(rows, F.col("__stolen") & (F.col("status") == IN_FLIGHT)).select(*deliveries.columns)
+
+
+def owner_of(owners: DataFrame, partition: int) -> str | None:
+    row = owner_row(owners, partition)
+    return row.owner_node if row else None
+
+
+def partitions_of(owners: DataFrame, node: str) -> DataFrame:
+    """(partition) that a node owns, draining ones too."""
+    return owners.where(F.col("owner_node") == node).select("partition")
+
+
+def heads_in_flight(deliveries: DataFrame) -> DataFrame:
+    """(partition, id, owner, generation): ``in_flight_stamp`` of every partition, by one grouped minimum."""
+    first = F.min(F.struct("sequence", "id", "owner", "generation")).alias("x")
+    return deliveries.where(F.col("status") == IN_FLIGHT).groupBy("partition").agg(first).select("partition", "x.id", "x.owner", "x.generation")
+
+
+def send_to_nodes(messages: DataFrame, owners: DataFrame, send) -> dict[str, bool]:
+    """Hands each node its rows (``send(node, rows)``) and awaits its answer: (node -> acknowledged).
+
+    The nodes are those of the owner table, a few; a node that fails keeps none of the others back.
+    """
+    routed = messages.join(F.broadcast(owners.select("partition", "owner_node")), "partition")
+    acks = {}
+    for (node,) in owners.select("owner_node").distinct().orderBy("owner_node").collect():
+        try:
+            send(node, routed.where(F.col("owner_node") == node).drop("owner_node"))
+            acks[node] = True
+        except Exception:
+            acks[node] = False
+    return acks
+
+
 def local_subscribers(messages: DataFrame, owners: DataFrame, node: str) -> DataFrame:
     """Fanned-out rows whose partition this node owns; others are acknowledged without being enqueued."""
     mine = owners.where(F.col("owner_node") == node).select("partition")

@@ -63,18 +63,37 @@ def mark_failed(deliveries: DataFrame, commands: DataFrame) -> DataFrame:
     return _mark(deliveries, commands, {"status": F.lit(PENDING), "attempt": F.col("c_attempt"), "next_attempt_at": F.col("c_next_attempt_at"), "last_error": F.col("c_error")})
 
 
-def exhaust_and_suspend(state: State, commands: DataFrame, now: Column, max_age_s: int = retention.MAX_AGE_S, max_count: int = retention.MAX_COUNT) -> State:
-    """Dead letters, their subscribers suspended, their pending rows retained, and retention applied."""
-    good = judge(state.deliveries, commands).where("rejected IS NULL").select("id")
-    hit = state.deliveries.join(good, "id", "left_semi").select("subscriber_id").distinct()
-    marked = mark_dead_letter(state.deliveries, commands)
+def mark(deliveries: DataFrame, commands: DataFrame) -> DataFrame:
+    """Commands of all kinds in one join: id, owner, generation, ``command`` (as ``route`` names it), attempt, next_attempt_at, error."""
+    kind, failed = F.col("c_command"), F.col("c_command") == "mark_failed"
+    status = F.when(kind == "mark_delivered", DELIVERED).when(failed, PENDING).otherwise(DEAD)
+    return _mark(deliveries, commands, {"status": status, "attempt": F.when(failed, F.col("c_attempt")).otherwise(F.col("attempt")), "next_attempt_at": F.when(failed, F.col("c_next_attempt_at")).otherwise(F.col("next_attempt_at")), "last_error": F.when(kind == "mark_delivered", "").otherwise(F.col("c_error"))})
+
+
+def hit_subscribers(deliveries: DataFrame, commands: DataFrame) -> DataFrame:
+    """(subscriber_id) of the commands that take effect.  At most a row a command: materialise it before it is used several times."""
+    good = judge(deliveries, commands).where("rejected IS NULL").select("id")
+    return deliveries.join(good, "id", "left_semi").select("subscriber_id").distinct()
+
+
+def suspend(state: State, hit: DataFrame, now: Column, max_age_s: int = retention.MAX_AGE_S, max_count: int = retention.MAX_COUNT) -> State:
+    """These subscribers (subscriber_id) suspended, their pending rows retained, and retention applied.  Other subscribers' rows stay where they are."""
     asleep = hit.select(F.col("subscriber_id").alias("__s"))
-    joined = marked.join(asleep, F.col("subscriber_id") == F.col("__s"), "left")
-    kept = joined.withColumn("status", F.when(F.col("__s").isNotNull() & (F.col("status") == PENDING), RETAINED).otherwise(F.col("status"))).select(*marked.columns)
+    held = state.deliveries.join(hit, "subscriber_id", "left_semi").withColumn("status", F.when(F.col("status") == PENDING, RETAINED).otherwise(F.col("status")))
+    others = state.deliveries.join(hit, "subscriber_id", "left_anti").select(*state.deliveries.columns)
     who = state.subscribers.join(asleep, F.col("subscriber_id") == F.col("__s"), "full_outer")
     subscribers = who.select(F.coalesce("subscriber_id", "__s").alias("subscriber_id"), (F.coalesce("suspended", F.lit(False)) | F.col("__s").isNotNull()).alias("suspended"), F.coalesce("gap", F.lit(False)).alias("gap"), F.coalesce("dropped", F.lit(0)).alias("dropped"), F.coalesce("marker", F.lit("")).alias("marker"))
-    deliveries, subscribers = retention.apply(kept, subscribers, now, max_age_s, max_count, only=hit)
-    return replace(state, deliveries=deliveries, subscribers=subscribers)
+    kept, subscribers = retention.apply(held.select(*state.deliveries.columns), subscribers, now, max_age_s, max_count)
+    return replace(state, deliveries=others.unionByName(kept), subscribers=subscribers)
+
+
+def exhaust_and_suspend(state: State, commands: DataFrame, now: Column, max_age_s: int = retention.MAX_AGE_S, max_count: int = retention.MAX_COUNT) -> State:
+    """Dead letters, their subscribers suspended, their pending rows retained, and retention applied.
+
+    One join finds the subscribers that are hit, which are kept; one pass marks and suspends.
+    """
+    hit = hit_subscribers(state.deliveries, commands).persist()
+    return suspend(replace(state, deliveries=mark_dead_letter(state.deliveries, commands)), hit, now, max_age_s, max_count)
 
 
 def newly_suspended(before: DataFrame, after: DataFrame) -> DataFrame:
