@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tideline.functions import scalars
 from tideline.operators import claim, enqueue, ownership, retention, transitions
 from tideline.sources.sinks import Sink, attempt, delivered_log, prepare
-from tideline.sources.snapshot import Snapshots
+from tideline.sources.snapshot import Snapshots, register_views
 
 ORDERED, NAIVE, FIFO = "ordered", "naive", "fifo"
 
@@ -68,6 +68,7 @@ class Engine:
         self.started = self.closed = False
         self.generation, self.run = 1, scalars.incarnation()
         self.calls: list[int] = []
+        self.idle_s = 0.0
 
     def now(self):
         return F.lit(datetime.fromtimestamp(self.clock(), UTC)).cast("timestamp")
@@ -76,10 +77,18 @@ class Engine:
         """Recovers claims that went stale."""
         if self.closed or self.started:
             raise RuntimeError("closed, or started already")
-        state = self.store.read()
-        self.store.write(replace(state, deliveries=transitions.recover_stale(state.deliveries, self.now(), self.config.stale_age_s)))
+        state = self.store.read(live=True)
+        if self.config.stale_age_s >= 0:
+            stale = state.deliveries.where(transitions.is_stale(self.now(), self.config.stale_age_s or transitions.STALE_AGE_S))
+            if touched := self._partitions(stale):
+                self.store.write(replace(state, deliveries=transitions.recover_stale(state.deliveries, self.now(), self.config.stale_age_s)), touched)
         self.started = True
 
+    @staticmethod
+    def _partitions(rows: DataFrame) -> list[int]:
+        """At most as many as the configuration has."""
+        return sorted(r.partition for r in rows.select("partition").distinct().collect())
+
     def dispatch(self, event_id: str, event_type: str, payload: str, subscribers: list[dict]) -> None:
         """Enqueues one event to these subscribers ({"id", "url", "secret"?}); nothing is sent here."""
         self._ready()
@@ -88,14 +97,26 @@ class Engine:
         rows = [(n, event_id, event_type, bytearray((payload or "null").encode()), s.get("id") or "", s.get("url") or "", bytearray(s.get("secret") or b"")) for n, s in enumerate(subscribers)]
         self.enqueue(self.spark.createDataFrame(rows, "ord int, event_id string, event_type string, payload binary, subscriber_id string, url string, secret binary"))
 
-    def enqueue(self, rows: DataFrame) -> None:
-        """rows (ord, event_id, event_type, payload, subscriber_id, url, secret): a batch of dispatches."""
+    def enqueue(self, rows: DataFrame, order: tuple[str, ...] = ("ord",), batch: int | None = None) -> None:
+        """rows (event_id, event_type, payload, subscriber_id, url, secret, and the columns of ``order``): a batch of dispatches.
+
+        A subscriber's sequences follow ``order`` over the whole batch.  batch: its number in a
+        stream; one that is in the state already is left out, as a stream may bring it again.
+        """
         self._ready()
-        rows = rows.withColumn("partition", scalars.partition_of(F.col("subscriber_id"), self.config.partitions)).withColumn("id", F.concat(F.lit(f"{self.run}-{self.store.version()}-"), F.sha2(F.concat_ws("\0", "event_id", "subscriber_id", "ord"), 256).substr(1, 32)))
-        state = self.store.read()
+        if batch is not None and batch <= self.store.batch():
+            return
+        who = rows.select("subscriber_id").distinct()  # hashed once a subscriber
+        who = who.withColumn("partition", scalars.partition_of(F.col("subscriber_id"), self.config.partitions))
+        # Ids hold the run and the version they enter the state with, so no older one can be the same.
+        ident = F.concat(F.lit(f"{self.run}-{self.store.version()}-"), F.sha2(F.concat_ws("\0", "event_id", "subscriber_id", *(F.col(c).cast("string") for c in order)), 256).substr(1, 32))
+        rows = rows.join(who, "subscriber_id", "left").withColumn("id", ident).persist()
+        state = self.store.read(live=True)
         if self.config.distributed:
             rows = ownership.local_subscribers(rows, state.partition_owners, self.config.node)
-        self.store.write(enqueue.enqueue(state, rows, self.now(), [F.col("ord")], self.config.retention_age_s, self.config.retention_count))
+        after = enqueue.enqueue(state, rows, self.now(), [F.col(c) for c in order], self.config.retention_age_s, self.config.retention_count, fresh_ids=True)
+        self.store.write(after, self._partitions(rows), batch)
+        rows.unpersist()
 
     def _ready(self) -> None:
         if not self.started or self.closed:
@@ -109,46 +130,43 @@ class Engine:
             return claim.claim_fifo(state.deliveries, worker, self.generation, now)
         if c.distributed or ownership.is_distributed(state.partition_owners):
             return claim.claim_distributed(state.deliveries, state.partition_owners, c.node, f"{c.node}/{self.run}/{worker}", now, c.batch, state.subscribers)
-        return claim.claim(state.deliveries, worker, self.generation, now, None, c.batch, state.subscribers, c.hol)
+        return claim.claim_workers(state.deliveries, c.workers, self.generation, now, c.batch, state.subscribers, c.hol)
 
     def step(self) -> int:
         """One round; the number of attempts.
 
         The claim is durable before anything is sent, and the results before anything is marked.
         """
-        state = self.store.read()
+        state = self.store.read(live=True)
         got = self._claim(state).persist()
-        if got.isEmpty():
+        touched = self._partitions(got)
+        if not touched:
             self.calls.append(0)
             return 0
-        state = self.store.write(replace(state, deliveries=claim.apply_claim(state.deliveries, got)))
-        ids = got.select("id")
-        claimed = state.deliveries.join(ids, "id", "left_semi")
-        results = attempt(prepare(claimed, int(self.clock())), self.sink).persist()
+        state = self.store.write(replace(state, deliveries=claim.apply_claim(state.deliveries.where(F.col("partition").isin(touched)), got)), touched)
+        claimed = state.deliveries.join(got.select("id"), "id", "left_semi")
+        results = self.store.keep_results(attempt(prepare(claimed, int(self.clock())), self.sink))
         n = results.count()
         self.calls.append(n)
         if n:
-            self._mark(state, results)
-        results.unpersist()
+            self._mark(state, results, touched)
         got.unpersist()
         return n
 
-    def _mark(self, state: enqueue.State, results: DataFrame) -> None:
+    def _mark(self, state: enqueue.State, results: DataFrame, touched: list[int]) -> None:
         c, now = self.config, self.now()
         routed = transitions.route(results.withColumn("error", scalars.error_text(F.col("outcome"), F.col("code"), F.col("err"))), now, c.max_attempts, c.base_ms, c.max_ms, suspend=c.policy == ORDERED, jitter=c.jitter)
         routed = routed.select("id", "owner", "generation", "attempt", "next_attempt_at", "error", "command").persist()
-        part = lambda name: routed.where(F.col("command") == name)
+        here = state.deliveries.where(F.col("partition").isin(touched))
         if self.on_rejected:
-            for row in transitions.rejected(state.deliveries, routed).toLocalIterator():
+            for row in transitions.rejected(here, routed).toLocalIterator():
                 self.on_rejected(row)
-        kinds = {r.command for r in routed.select("command").distinct().collect()}  # four at most
-        after = state
-        for name, mark in (("mark_delivered", transitions.mark_delivered), ("mark_failed", transitions.mark_failed), ("mark_dead_letter", transitions.mark_dead_letter)):
-            if name in kinds:
-                after = replace(after, deliveries=mark(after.deliveries, part(name)))
-        if "exhaust_and_suspend" in kinds:
-            after = transitions.exhaust_and_suspend(after, part("exhaust_and_suspend"), now, c.retention_age_s, c.retention_count)
-        written = self.store.write(after)
+        after = replace(state, deliveries=transitions.mark(here, routed))
+        exhausted = routed.where(F.col("command") == "exhaust_and_suspend")
+        if not exhausted.isEmpty():
+            hit = transitions.hit_subscribers(here, exhausted).persist()
+            after = transitions.suspend(after, hit, now, c.retention_age_s, c.retention_count)
+        written = self.store.write(after, touched)
         routed.unpersist()
         if self.on_suspend:  # only after the state is durable
             for row in transitions.newly_suspended(state.subscribers, written.subscribers).toLocalIterator():
@@ -166,8 +184,9 @@ class Engine:
             n = self.step()
             total += n
             if not n:
-                if transitions.unfinished(self.store.read().deliveries).first().n == 0:
+                if transitions.unfinished(self.store.read(live=True).deliveries).first().n == 0:
                     return total
+                self.idle_s += self.config.base_ms / 1000
                 wait(self.config.base_ms / 1000)
 
     def close(self, rounds: int | None = None, deadline_s: float | None = None) -> None:
@@ -179,11 +198,11 @@ class Engine:
     def resume(self, subscriber: str) -> Row:
         """Wakes a suspended subscriber; its gap."""
         who = self.spark.createDataFrame([(subscriber,)], "subscriber_id string")
-        state = self.store.read()
+        state = self.store.read(live=True)
         after, gap = transitions.resume(state, who, self.now(), self.config.retention_age_s, self.config.retention_count)
         found = gap.first()
         if not state.subscribers.where(F.col("subscriber_id") == subscriber).isEmpty():
-            self.store.write(after)
+            self.store.write(after, self._partitions(state.deliveries.where(F.col("subscriber_id") == subscriber)))
         return found
 
     def resize(self, workers: int) -> None:
@@ -195,24 +214,38 @@ class Engine:
 
     def own(self, node: str) -> None:
         """All partitions to one node, where they have no owner yet."""
-        state = self.store.read()
-        self.store.write(replace(state, partition_owners=ownership.ensure_owners(self.spark, state.partition_owners, self.config.partitions, node)))
+        state = self.store.read(live=True)
+        self.store.write(replace(state, partition_owners=ownership.ensure_owners(self.spark, state.partition_owners, self.config.partitions, node)), [])
+
+    def begin_handoff(self, partition: int, source: str, target: str) -> None:
+        state = self.store.read(live=True)
+        self.store.write(replace(state, partition_owners=ownership.begin_handoff(state.partition_owners, partition, source, target)), [])
+
+    def complete_handoff(self, partition: int) -> None:
+        state = self.store.read(live=True)
+        self.store.write(replace(state, partition_owners=ownership.complete_handoff(state.partition_owners, state.deliveries, partition)), [])
 
     def handoff(self, partition: int, source: str, target: str, rounds: int = 500) -> None:
         """Drains a partition and gives it to another node."""
-        state = self.store.read()
-        state = self.store.write(replace(state, partition_owners=ownership.begin_handoff(state.partition_owners, partition, source, target)))
+        self.begin_handoff(partition, source, target)
         for _ in range(rounds):
-            if ownership.in_flight_by_partition(state.deliveries).where(F.col("partition") == partition).isEmpty():
+            if not self.in_flight(partition):
                 break
             time.sleep(0.02)
-            state = self.store.read()
-        self.store.write(replace(state, partition_owners=ownership.complete_handoff(state.partition_owners, state.deliveries, partition)))
+        self.complete_handoff(partition)
+
+    def in_flight(self, partition: int) -> int:
+        row = ownership.in_flight_by_partition(self.store.read(live=True).deliveries.where(F.col("partition") == partition)).first()
+        return row.n if row else 0
+
+    def status(self) -> None:
+        """Registers views of the current state: deliveries, subscribers, ownership, health."""
+        register_views(self.store.read())
 
     def take_over(self, partition: int, target: str, expected: int) -> None:
-        state = self.store.read()
+        state = self.store.read(live=True)
         owners, deliveries = ownership.force_takeover(state.partition_owners, state.deliveries, partition, target, expected)
-        self.store.write(replace(state, partition_owners=owners, deliveries=deliveries))
+        self.store.write(replace(state, partition_owners=owners, deliveries=deliveries), [partition])
 
     def log(self, results: DataFrame) -> DataFrame:
         return delivered_log(results)

@@ -37,9 +37,12 @@ def explode_subscribers(messages: DataFrame, partitions: int = PARTITIONS) -> Da
 
 
 def invalid_rows(rows: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """Rows that can't be enqueued, with their reason."""
+    """Rows that can't be enqueued, with their reason.  A payload, where there is one, is JSON text or its bytes."""
     empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     reason = F.when(empty("event_id"), "event id required").when(empty("subscriber_id"), "subscriber id required").when(empty("url"), "subscriber url required").when(empty("id"), "delivery id required")
+    if "payload" in rows.columns:
+        text = F.col("payload").cast("string")
+        reason = reason.when(text.isNotNull() & F.try_parse_json(text).isNull(), "payload isn't JSON")
     again = F.count("*").over(Window.partitionBy("id")) > 1
     bad = rows.withColumn("reason", F.coalesce(reason, F.when(again, "duplicate delivery id"))).where("reason IS NOT NULL")
     if existing is not None:
@@ -64,12 +67,13 @@ def advance(counters: DataFrame, sequenced: DataFrame) -> DataFrame:
     return counters.select("subscriber_id", "next_seq").unionByName(new).groupBy("subscriber_id").agg(F.max("next_seq").alias("next_seq"))
 
 
-def enqueue(state: State, rows: DataFrame, now: Column, order: list[Column], max_age_s: int = retention.MAX_AGE_S, max_count: int = retention.MAX_COUNT) -> State:
+def enqueue(state: State, rows: DataFrame, now: Column, order: list[Column], max_age_s: int = retention.MAX_AGE_S, max_count: int = retention.MAX_COUNT, fresh_ids: bool = False) -> State:
     """rows (id, event_id, event_type, payload, subscriber_id, url, secret, partition) -> new state; all rows or none.
 
     Rows of suspended subscribers are retained, and retention is applied to them.
+    fresh_ids: the ids can't be in the state, so they are only compared with each other.
     """
-    bad = invalid_rows(rows, state.deliveries)
+    bad = invalid_rows(rows, None if fresh_ids else state.deliveries)
     if first := bad.first():
         raise ValueError(f"nothing enqueued: {first.reason} (delivery {first.id!r})")
     sequenced = with_sequences(rows, state.subscriber_seq, order)
@@ -79,6 +83,7 @@ def enqueue(state: State, rows: DataFrame, now: Column, order: list[Column], max
     nothing = {"attempt": F.lit(0), "next_attempt_at": now, "created_at": now, "last_error": F.lit(""), "owner": F.lit(None).cast("string"), "generation": F.lit(0).cast("bigint"), "claimed_at": F.lit(None).cast("timestamp")}
     new = new.withColumns(nothing).select(*state.deliveries.columns)
     counters = advance(state.subscriber_seq, sequenced)
-    touched = rows.select("subscriber_id").distinct()
+    # Only suspended subscribers retain anything.
+    touched = state.subscribers.where("suspended").join(rows.select("subscriber_id").distinct(), "subscriber_id", "left_semi").select("subscriber_id")
     deliveries, subscribers = retention.apply(state.deliveries.unionByName(new), state.subscribers, now, max_age_s, max_count, only=touched)
     return replace(state, deliveries=deliveries, subscribers=subscribers, subscriber_seq=counters)

@@ -1,9 +1,15 @@
-"""Sinks: where claimed deliveries go.  A sink is a picklable callable from a row to (status code, error)."""
+"""Sinks: where claimed deliveries go.
+
+A sink is a picklable callable from a row to (status code, error), or to None if no result
+ever comes.  One with ``open`` is opened once for each partition of rows, as a client is.
+"""
 
 from __future__ import annotations
 
-import urllib.error
-import urllib.request
+import http.client
+import json
+import urllib.parse
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -13,28 +19,86 @@ from pyspark.sql import functions as F
 
 from tideline.functions.scalars import classify_attempt, envelope, headers, sign_rows
 
-Sink = Callable[[dict], tuple[int | None, str | None]]
-TIMEOUT_S, BODY_LIMIT = 30.0, 1 << 20
+Sink = Callable[[dict], tuple[int | None, str | None] | None]
+TIMEOUT_S, BODY_LIMIT, IDLE = 30.0, 1 << 20, 100
+
+
+class Client:
+    """Keeps up to ``idle`` connections open, one a host; the least used one goes."""
+
+    def __init__(self, timeout: float, idle: int):
+        self.timeout, self.idle = timeout, idle
+        self.open: OrderedDict[tuple[str, str], http.client.HTTPConnection] = OrderedDict()
+
+    def post(self, url: str, body: bytes, headers: dict) -> int:
+        parts = urllib.parse.urlsplit(url)
+        if parts.scheme not in ("http", "https") or not parts.hostname:
+            raise ValueError(f"bad URL {url!r}")
+        where = parts.scheme, parts.netloc
+        target = urllib.parse.urlunsplit(("", "", parts.path or "/", parts.query, ""))
+        kept = self.open.pop(where, None)
+        for connection in ([kept] if kept else []) + [None]:  # a kept connection may have been closed meanwhile
+            try:
+                if connection is None:
+                    kind = http.client.HTTPSConnection if parts.scheme == "https" else http.client.HTTPConnection
+                    connection = kind(parts.netloc.rpartition("@")[2], timeout=self.timeout)
+                connection.request("POST", target, body, headers)
+                answer = connection.getresponse()
+                answer.read(BODY_LIMIT)
+            except (http.client.HTTPException, ConnectionError):
+                connection.close()
+                if connection is not kept:
+                    raise
+                continue
+            except OSError:
+                connection.close()
+                raise
+            if answer.will_close or not answer.isclosed():  # or the body was longer than the limit
+                connection.close()
+            else:
+                self.open[where] = connection
+                if len(self.open) > self.idle:
+                    self.open.popitem(last=False)[1].close()
+            return answer.status
+        raise ConnectionError("no connection")
+
+    def close(self) -> None:
+        for connection in self.open.values():
+            connection.close()
 
 
 @dataclass(frozen=True)
 class HttpSink:
-    """POSTs a delivery's body; a network error is no status and an error text."""
+    """POSTs a delivery's body; a network error is no status and an error text, a bad URL is refused."""
 
     timeout: float = TIMEOUT_S
+    idle: int = IDLE
+
+    def open(self) -> HttpSession:
+        return HttpSession(Client(self.timeout, self.idle))
 
     def __call__(self, row: dict) -> tuple[int | None, str | None]:
+        session = self.open()
         try:
-            request = urllib.request.Request(row["url"], data=bytes(row["body"]), headers=dict(row["headers"] or {}), method="POST")
-            with urllib.request.urlopen(request, timeout=self.timeout) as answer:
-                answer.read(BODY_LIMIT)
-                return answer.status, None
-        except urllib.error.HTTPError as e:
-            return e.code, None
+            return session(row)
+        finally:
+            session.close()
+
+
+@dataclass(frozen=True)
+class HttpSession:
+    client: Client
+
+    def __call__(self, row: dict) -> tuple[int | None, str | None]:
+        try:
+            return self.client.post(row["url"], bytes(row["body"]), dict(row["headers"] or {})), None
         except ValueError as e:
             return 400, str(e)
-        except OSError as e:
-            return None, str(e)
+        except (OSError, http.client.HTTPException) as e:
+            return None, str(e) or type(e).__name__
+
+    def close(self) -> None:
+        self.client.close()
 
 
 @dataclass(frozen=True)
@@ -49,12 +113,34 @@ class TableSink:
 
 @dataclass(frozen=True)
 class HoldingSink:
-    """Fails one subscriber's deliveries, as if their result never came; the others succeed."""
+    """Withholds the results of one subscriber's deliveries, which stay in flight; the others succeed."""
 
     subscriber: str
 
+    def __call__(self, row: dict) -> tuple[int | None, str | None] | None:
+        return None if row["subscriber_id"] == self.subscriber else (200, None)
+
+
+def fault(subscriber: str, seq: int, attempt: int) -> bool:
+    """Whether a receiver fails this attempt: the first one, where the 31-hash of "sub:seq" divides by 17."""
+    h = 0
+    for byte in f"{subscriber}:{seq}".encode():
+        h = (h * 31 + byte) % 2**64
+    return attempt == 1 and min(h, 2**64 - h) % 17 == 0
+
+
+@dataclass(frozen=True)
+class FaultSink:
+    """A receiver with faults that are the same in every run: 400 for a body without a positive data.seq, 500 for ``fault``, else 200."""
+
     def __call__(self, row: dict) -> tuple[int | None, str | None]:
-        return (None, "held") if row["subscriber_id"] == self.subscriber else (200, None)
+        try:
+            seq = json.loads(bytes(row["body"]))["data"]["seq"]
+        except (ValueError, KeyError, TypeError):
+            return 400, None
+        if not isinstance(seq, int) or seq <= 0:
+            return 400, None
+        return (500, None) if fault(row["subscriber_id"], seq, row["attempt"]) else (200, None)
 
 
 def prepare(claimed: DataFrame, now_unix: int) -> DataFrame:
@@ -65,17 +151,23 @@ def prepare(claimed: DataFrame, now_unix: int) -> DataFrame:
 
 
 def attempt(prepared: DataFrame, sink: Sink) -> DataFrame:
-    """Claimed rows with code, err and outcome.
+    """Claimed rows with code, err and outcome; rows whose result never came aren't among them.
 
-    Materialise it before it is used twice: a recomputed task would send again.  Delivery
-    is at least once; receivers tell repeats by the delivery id.
+    Write it before it is used: a recomputed task would send again.  Delivery is at least
+    once; receivers tell repeats by the delivery id.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = b.to_dict("records")
-            found = [sink(r) if r["url"] else (None, "no url") for r in rows]
-            yield pd.DataFrame({"id": b["id"], "code": pd.array([f[0] for f in found], dtype="Int32"), "err": [f[1] for f in found]})
+        opened = sink.open() if hasattr(sink, "open") else sink
+        try:
+            for b in batches:
+                rows = b.to_dict("records")
+                found = [opened(r) if r["url"] else (None, "no url") for r in rows]
+                came = [(r["id"], *f) for r, f in zip(rows, found, strict=True) if f is not None]
+                yield pd.DataFrame({"id": pd.Series([c[0] for c in came], dtype=object), "code": pd.array([c[1] for c in came], dtype="Int32"), "err": pd.Series([c[2] for c in came], dtype=object)})
+        finally:
+            if opened is not sink:
+                opened.close()
 
     columns = [c for c in ("id", "event_id", "subscriber_id", "sequence", "attempt", "url", "body", "headers") if c in prepared.columns]
     results = prepared.select(*columns).mapInPandas(run, "id string, code int, err string")
