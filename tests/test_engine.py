@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tideline.engine import FIFO, NAIVE, Config, Engine
 from tideline.operators import metrics
-from tideline.sources.sinks import HoldingSink, HttpSink, TableSink
+from tideline.sources.sinks import FaultSink, HoldingSink, HttpSink, TableSink, fault
 from tideline.sources.snapshot import Snapshots
 
 
@@ -224,19 +224,204 @@ def test_nearest_rank(spark):
     assert list(metrics.nearest_rank(df.limit(0), "v", (50, 99)).first()) == [0.0, 0.0]
 
 
-def test_stream_sequences_stay_dense_over_restarts(spark, tmp_path):
+def write_messages(folder, name, messages, stamp):
+    """A file of dispatch messages (event id, subscribers), with its time."""
+    import json
+    import os
+
+    path = folder / name
+    path.write_text("\n".join([json.dumps({"event": {"id": i, "type": "t", "data": {"id": i}}, "subscribers": [{"id": s, "url": "u"} for s in subs]}) for i, subs in messages] + ["nonsense"]))
+    os.utime(path, (stamp, stamp))
+
+
+def test_stream_sequences_follow_intake(spark, tmp_path):
+    """evt-10 comes after evt-2, and a subscriber's place in the list doesn't move it between events; counters go on over restarts."""
     from tideline.streaming import sequencer
 
     source, got = tmp_path / "in", []
     source.mkdir()
 
     def each(batch, _):
-        got.extend((r.subscriber_id, r.sequence) for r in batch.collect())
+        got.extend((r.subscriber_id, r.sequence, r.event_id) for r in batch.collect())
 
     for part in range(2):
-        lines = [f'{{"event":{{"id":"e{part}-{n}","type":"t","data":{{}}}},"subscribers":[{{"id":"a","url":"u"}},{{"id":"b","url":"u"}}]}}' for n in range(5)]
-        (source / f"{part}.txt").write_text("\n".join([*lines, "nonsense"]))
-        raw = spark.readStream.text(str(source))
-        q = sequencer.run_stream(sequencer.sequence_stream(sequencer.parse_messages(raw)), each, str(tmp_path / "cp"))
-        q.awaitTermination(120)
-    assert sorted(got) == [(s, n) for s in "ab" for n in range(1, 11)]
+        for half in range(2):
+            numbers = range(1 + 24 * part + 12 * half, 13 + 24 * part + 12 * half)
+            write_messages(source, f"{9 - part}-{half}.txt", [(f"evt-{n}", ["b", "a"] if n % 5 == 1 else ["a", "b"]) for n in numbers], 1_700_000_000 + 10 * part + half)
+        messages = sequencer.parse_messages(sequencer.read_messages(spark, str(source)))
+        sequencer.run_stream(sequencer.sequence_stream(messages), each, str(tmp_path / "cp")).awaitTermination(120)
+    assert sorted(got) == sorted((s, n, f"evt-{n}") for s in "ab" for n in range(1, 49))
+
+
+def test_a_stream_is_delivered_in_order(spark, tmp_path):
+    """Intake to delivery: retries on the way, order kept, and a batch that comes again changes nothing."""
+    from tideline.streaming import sequencer
+
+    source = tmp_path / "in"
+    source.mkdir()
+    write_messages(source, "z.txt", [(f"evt-{n}", ["b", "a"] if n % 2 else ["a", "b"]) for n in (1, 2, 10, 11)], 1_700_000_000)
+    write_messages(source, "a.txt", [("evt-3", ["a"])], 1_700_000_009)
+    e, clock = engine(spark, tmp_path, partial(first_fails, 0), max_attempts=4, workers=3)
+    wait = lambda _: setattr(clock, "t", clock.t + 5)
+    drain, e.drain = e.drain, lambda: drain(wait=wait)
+    messages = sequencer.parse_messages(sequencer.read_messages(spark, str(source)))
+    attempts = sequencer.serve(e, messages, str(tmp_path / "cp"))
+    rows = e.store.read().deliveries.orderBy("subscriber_id", "sequence").collect()
+    assert [(r.subscriber_id, r.event_id, r.sequence, r.status) for r in rows] == [("a", f"evt-{n}", k, "delivered") for k, n in enumerate((1, 2, 10, 11, 3), 1)] + [("b", f"evt-{n}", k, "delivered") for k, n in enumerate((1, 2, 10, 11), 1)]
+    assert attempts == sum(r.attempt for r in rows) == 9 + 4 and {r.owner for r in rows} == {None}
+    assert e.store.batch() == 0
+    again = spark.createDataFrame([("evt-9", "t", "{}", "a", "u", 1)], "event_id string, event_type string, payload string, subscriber_id string, url string, ord int")
+    sequencer.enqueue_batch(e, again, 0, ())
+    assert e.store.read(live=True).deliveries.isEmpty()
+
+
+def test_workers_claim_their_own_partitions(spark, tmp_path):
+    e, _ = engine(spark, tmp_path, ok, workers=3, batch=2)
+    for n in range(12):
+        send(e, 1, f"sub-{n}")
+    state = e.store.read()
+    got = e._claim(state).collect()
+    assert {(r.owner, r.partition % 3) for r in got} == {(f"worker-{w}", w) for w in {r.partition % 3 for r in state.deliveries.collect()}}
+    assert max(sum(r.owner == f"worker-{w}" for r in got) for w in range(3)) <= 2
+    e.resize(1)
+    assert {(r.owner, r.generation) for r in e._claim(state).collect()} == {("worker-0", 2)}
+
+
+def test_a_step_writes_only_what_it_touches(spark, tmp_path):
+    e, _ = engine(spark, tmp_path, ok, batch=1)
+    for n in range(6):
+        send(e, 2, f"sub-{n}")
+    before = e.store.manifest()["live"]
+    e.step()
+    after = e.store.manifest()
+    moved = {b for b in before if after["live"].get(b) != before[b]}
+    assert len(moved) == 1 and after["tables"] == {t: v for t, v in e.store.manifest(e.store.version() - 1)["tables"].items()}
+    finished = [p for p in (tmp_path / "state").glob("v=*/rows/kind=finished/bucket=*")]
+    e.step()
+    assert len(finished) == 1 and all(p.exists() for p in finished)
+    assert sorted(r.status for r in e.store.read().deliveries.collect()) == ["delivered"] * 2 + ["pending"] * 10
+    assert len(list((tmp_path / "state").glob("results-*"))) == 1
+
+
+def test_withheld_results_stay_in_flight(spark, tmp_path):
+    e, clock = engine(spark, tmp_path, ok)
+    e.sink = HoldingSink("sub-a")
+    send(e, 2, "sub-a")
+    send(e, 1, "sub-b")
+    assert e.step() == 1 and statuses(e) == {("sub-a", 1): "in_flight", ("sub-a", 2): "pending", ("sub-b", 1): "delivered"}
+    assert e.step() == 0
+    clock.t += 3600
+    again = Engine(spark, e.store, TableSink(ok), Config(partitions=32), clock=clock)
+    again.start()
+    assert (again.step(), again.step(), again.step()) == (1, 1, 0) and set(statuses(e).values()) == {"delivered"}
+
+
+@pytest.mark.parametrize("policy", ["ordered", NAIVE, FIFO])
+def test_replay_of_a_small_workload(spark, tmp_path, policy):
+    """The receiver's faults are the same in every run; only the unordered policy lets them change the order."""
+    e, clock = engine(spark, tmp_path, ok, policy=policy, base_ms=2000, max_ms=2000)
+    e.sink = FaultSink()
+    rows = spark.range(1, 7).crossJoin(spark.range(8).withColumnRenamed("id", "s")).select(F.col("id").cast("int").alias("ord"), F.concat(F.lit("e"), "id").alias("event_id"), F.lit("t").alias("event_type"), F.encode(F.format_string('{"seq":%d}', F.col("id")), "UTF-8").alias("payload"), F.concat(F.lit("sub-"), "s").alias("subscriber_id"), F.lit("u").alias("url"), F.lit(b"").alias("secret"))
+    if policy == FIFO:
+        rows = rows.where("s < 2 AND id < 4")  # one a step
+    e.enqueue(rows)
+    faults = sum(fault(r.subscriber_id, r.ord, 1) for r in rows.collect())
+    got, seen = [], set()
+    while e.store.read(live=True).deliveries.count():
+        e.step()
+        clock.t += 1
+        done = e.store.read().deliveries.where("status = 'delivered'").collect()
+        got += sorted(((clock.t, r.subscriber_id, r.sequence) for r in done if r.id not in seen))
+        seen |= {r.id for r in done}
+    back = sum(x[2] > y[2] for s in {g[1] for g in got} for x, y in zip(*(lambda q: (q, q[1:]))([g for g in got if g[1] == s])))
+    assert len(got) == rows.count() == len(seen)
+    assert (back > 0) == (policy == NAIVE and faults > 0) and (faults > 0 or policy == FIFO)
+
+
+def test_faults_agree_with_the_expression(spark):
+    from tideline.operators import replay
+
+    rows = replay.workload(spark).withColumn("failed", replay.fault()).collect()
+    assert len(rows) == 2560 and all(r.failed == fault(r["sub"], r.seq, 1) for r in rows) and not fault("sub-0", 1, 2)
+    assert FaultSink()({"body": b"x"})[0] == FaultSink()({"body": b'{"data":{"seq":0}}'})[0] == 400
+    got = replay.receipts(replay.workload(spark))
+    with pytest.raises(ValueError):
+        replay.check_complete(got.where("seq < 40 OR policy <> 'naive'"), replay.workload(spark))
+
+
+def test_control_commands(spark, tmp_path):
+    from tideline import control
+
+    e = Engine(spark, Snapshots(spark, f"file://{tmp_path}/s"), TableSink(ok), Config(partitions=4, node="A", distributed=True), clock=Clock())
+    e.start()
+    e.own("A")
+    assert control.run(e, "dispatch", {"id": b"e1", "data": '{"a":1}'}, {"id": "s1", "url": "u"}) == ("ok", 1)
+    p = e.store.read().deliveries.first().partition
+    assert control.run(e, "owner_of", str(p)) == ("ok", ["A", 1, "active", None]) and control.run(e, "owner_of", 99) == ("ok", None)
+    assert control.run(e, "inflight_count", float(p)) == ("ok", 0)
+    assert control.run(e, "begin_handoff", p, b"A", "B") == ("ok", None) and control.run(e, "complete_handoff", p)[0] == "ok"
+    assert control.run(e, "owner_of", p) == ("ok", ["B", 2, "active", None])
+    for bad in (("nothing",), ("owner_of", True), ("owner_of", 1.5), ("owner_of", "x"), ("begin_handoff", p, 5, "B"), ("complete_handoff", p), ("owner_of",), ("dispatch", {}, [])):
+        assert control.run(e, *bad)[0] == "error"
+    assert control.as_list(None) == [] and control.as_list((1, 2)) == [1, 2] and control.as_bytes("é") == "é".encode() and control.as_bytes(b"x") == b"x"
+    e.status()
+    assert spark.sql("SELECT n FROM health WHERE status = 'pending'").first().n == 1 and spark.table("ownership").count() == 4
+    with pytest.raises(ValueError):
+        s = e.store.read()
+        e.store.write(type(s)(s.deliveries, s.subscribers, s.subscriber_seq, None), [])
+
+
+def test_nodes_acknowledge_on_their_own(spark):
+    from tideline.operators import ownership
+
+    owners = spark.createDataFrame([(0, "A", 1, "active", None), (1, "B", 1, "active", None)], "partition int, owner_node string, generation bigint, state string, next_owner string")
+    rows, got = spark.createDataFrame([("e", "s0", 0), ("e", "s1", 1), ("f", "s2", 0)], "event_id string, subscriber_id string, partition int"), {}
+
+    def send(node, part):
+        if node == "B":
+            raise ConnectionError
+        got[node] = sorted(r.subscriber_id for r in part.collect())
+
+    assert ownership.send_to_nodes(rows, owners, send) == {"A": True, "B": False} and got == {"A": ["s0", "s2"]}
+
+
+def test_a_claim_without_an_owner_row_fails(spark, sf):
+    from tideline.operators import claim
+    from tideline.sources import tables as T
+
+    for owners in (T.owners(spark).where("partition < 200"), T.owners(spark).limit(0)):
+        with pytest.raises(Exception, match="owner"):
+            claim.claim_distributed(T.deliveries(spark, sf), owners, "go1", "go1/run/worker-2", T.now()).collect()
+
+
+def test_files_without_later_columns_are_read(spark, tmp_path):
+    e, _ = engine(spark, tmp_path, ok)
+    send(e, 1)
+    for f in (tmp_path / "state").glob("v=*/rows/kind=live/bucket=*"):
+        spark.read.parquet(f"file://{f}").drop("secret", "last_error", "generation").write.parquet(f"file://{f}x")
+        for old in f.iterdir():
+            old.unlink()
+        for new in f.with_name(f.name + "x").iterdir():
+            new.rename(f / new.name)
+        f.with_name(f.name + "x").rmdir()
+    row = e.store.read().deliveries.first()
+    assert (bytes(row.secret), row.last_error, row.generation) == (b"", "", 0) and e.step() == 1
+
+
+def test_a_payload_must_be_json(spark, tmp_path):
+    e, _ = engine(spark, tmp_path, ok)
+    with pytest.raises(ValueError, match="JSON"):
+        e.dispatch("e1", "t", "{not json", [{"id": "s1", "url": "u"}])
+    e.dispatch("e1", "t", "", [{"id": "s1", "url": "u"}])
+    assert statuses(e) == {("s1", 1): "pending"}
+
+
+@pytest.mark.parametrize("limit", [5, 100_000])
+def test_ranks_by_narrowing(spark, monkeypatch, limit):
+    import random
+
+    monkeypatch.setattr(metrics, "SORTED", limit)
+    rng = random.Random(limit)
+    for values in ([rng.random() for _ in range(700)], [float(rng.randint(0, 30)) for _ in range(500)] + [7.0] * 300, [3.0] * 50):
+        got = metrics.nearest_rank(spark.createDataFrame([(v,) for v in values] + [(None,)], "v double"), "v", (0, 50, 99, 100)).first()
+        assert list(got) == [sorted(values)[min(len(values) * p // 100, len(values) - 1)] for p in (0, 50, 99, 100)]

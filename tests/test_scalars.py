@@ -39,9 +39,9 @@ def test_status(spark, codes, outcome):
 
 
 def test_signature(spark):
-    secret, payload = b"whsec_test_secret", b'{"a": 1}'
-    want = "t=1700000000,v1=" + hmac.new(secret, b"1700000000." + payload, hashlib.sha256).hexdigest()
-    df = spark.createDataFrame([(bytearray(secret), bytearray(payload), bytearray(payload + b" "), 1700000000)], "s binary, p binary, bad binary, t long")
+    secret, payload = b"quiet harbour", b'{"a": 1}'
+    want = "t=1712345678,v1=" + hmac.new(secret, b"1712345678." + payload, hashlib.sha256).hexdigest()
+    df = spark.createDataFrame([(bytearray(secret), bytearray(payload), bytearray(payload + b" "), 1712345678)], "s binary, p binary, bad binary, t long")
     got = df.select(S.sign(secret, F.col("t"), F.col("p")), S.sign_rows("s", "t", "p"), S.verify_rows("s", F.lit(want), "p", F.col("t") + 59, F.lit(60)), S.verify_rows("s", F.lit(want), "bad", F.col("t"), F.lit(60)), S.verify_rows("s", F.lit(want), "p", F.col("t") + 600, F.lit(60)), S.verify_rows("s", F.lit(want), "p", F.col("t") + 600, F.lit(0))).first()
     assert list(got) == [want, want, True, False, False, True]
     assert S.parse_signature("v1=ab, t=5") == (5, "ab")

@@ -142,6 +142,15 @@ def parse_signature(header: str | None) -> tuple[int, str] | None:
     return (t, v) if t > 0 and v else None
 
 
+def parsed_signature(header: Column) -> Column:
+    """struct(t, v) as ``parse_signature`` reads it: of repeated parts the last; null fields if a part is missing or t isn't positive."""
+    parts = F.transform(F.split(header, ",", -1), lambda p: F.trim(p))
+    value = lambda name: F.substr(F.try_element_at(F.filter(parts, lambda p: F.startswith(p, F.lit(f"{name}="))), F.lit(-1)), F.lit(len(name) + 2))
+    t, v = F.when(value("t").rlike("^[0-9]+$"), value("t").try_cast("bigint")), value("v1")
+    good = (t > 0) & (v != "")
+    return F.struct(F.when(good, t).alias("t"), F.when(good, v).alias("v"))
+
+
 @F.pandas_udf(StringType())
 def sign_rows(secret: pd.Series, unix: pd.Series, payload: pd.Series) -> pd.Series:
     """As ``sign``, with a secret a row."""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions import scalars as S
-from tideline.operators import assign, claim, enqueue, metrics, ownership, retention, transitions
+from tideline.operators import assign, claim, enqueue, metrics, ownership, replay, retention, transitions
 from tideline.sources import tables as T
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,15 +93,8 @@ def node_index(spark, sf_dir):
     return _users(spark, sf_dir).select("subscriber_id", S.node_index(F.col("subscriber_id"), 256, 3).alias("node"))
 
 
-@query("SELECT k, list_reduce(list_prepend(0::BIGINT, " + BYTES.format("k") + "), lambda a, b: a * 31 + b) AS hash FROM (SELECT concat(subscriber_id, ':', sequence % 100) AS k FROM d WHERE sequence % 100 < 10)")
-def hash_key_31(spark, sf_dir):
-    keys = T.deliveries(spark, sf_dir).where("sequence % 100 < 10").select(F.concat("subscriber_id", F.lit(":"), F.col("sequence") % 100).alias("k"))
-    return keys.select("k", S.key_hash(F.col("k")).alias("hash"))
-
-
 @query("SELECT k, CASE WHEN u < 9223372036854775808::HUGEINT THEN u ELSE 18446744073709551616::HUGEINT - u END::BIGINT AS hash FROM (SELECT k, list_reduce(list_prepend(0::HUGEINT, list_transform(string_split(k, ''), lambda x: ascii(x)::HUGEINT)), lambda a, b: (a * 31 + b) % 18446744073709551616::HUGEINT) AS u FROM (SELECT concat(subscriber_id, ':', sequence) AS k FROM d))")
-def hash_key_31_all(spark, sf_dir):
-    """As ``hash_key_31``, for every delivery and the reference's key."""
+def hash_key_31(spark, sf_dir):
     keys = T.deliveries(spark, sf_dir).select(F.concat("subscriber_id", F.lit(":"), "sequence").alias("k"))
     return keys.select("k", S.key_hash(F.col("k")).alias("hash"))
 
@@ -181,9 +174,71 @@ def owner_token_parse(spark, sf_dir):
 
 
 
-@query()
+_SECRET, _AT = b"a secret for examples", 1712345678
+_PADS = [bytes(x ^ c for x in _SECRET.ljust(64, b"\0")).hex() for c in (0x36, 0x5C)]
+SIGNED = f"concat('t={_AT},v1=', sha256(unhex('{_PADS[1]}') || unhex(sha256(unhex('{_PADS[0]}') || encode(concat('{_AT}.', props))))))"
+
+
+@query(f"SELECT event_id, {SIGNED} AS signature FROM events", state=False)
 def sign_payload(spark, sf_dir):
-    return T.events(spark, sf_dir).select("event_id", S.sign(b"whsec_test_secret", F.lit(1700000000), F.col("props")).alias("signature"))
+    return T.events(spark, sf_dir).select("event_id", S.sign(_SECRET, F.lit(_AT), F.col("props")).alias("signature"))
+
+
+@query("SELECT event_id, event_id % 4 = 0 AS accepted FROM events", state=False)
+def verify_payload(spark, sf_dir):
+    """Signatures read a minute later: right ones, then other payloads, other secrets and late ones."""
+    kind = F.col("event_id") % 4
+    rows = T.events(spark, sf_dir).select("event_id", S.sign(_SECRET, F.lit(_AT), F.col("props")).alias("header"), F.encode(F.when(kind == 1, F.concat("props", F.lit(" "))).otherwise(F.col("props")), "UTF-8").alias("payload"), F.when(kind == 2, F.lit(b"another")).otherwise(F.lit(_SECRET)).alias("secret"), (_AT + 60 + F.when(kind == 3, 1).otherwise(0)).alias("now"))
+    return rows.select("event_id", S.verify_rows("secret", "header", "payload", "now", F.lit(60)).alias("accepted"))
+
+
+@query("SELECT n, t, v FROM (VALUES (1, 5::BIGINT, 'ab'), (2, 5, 'ab'), (3, NULL, NULL), (4, NULL, NULL), (5, NULL, NULL), (6, 7, 'c=d')) x(n, t, v)", state=False)
+def parse_signature(spark, sf_dir):
+    rows = spark.sql("SELECT * FROM VALUES (1, 't=5,v1=ab'), (2, ' v1=ab , t=5'), (3, 't=0,v1=ab'), (4, 't=5'), (5, 't=x,v1=ab'), (6, 't=7,v1=c=d,other') AS h(n, header)")
+    found = S.parsed_signature(F.col("header"))
+    return rows.select("n", found["t"].alias("t"), found["v"].alias("v"))
+
+
+@query("SELECT event_id, event_id % 1000 AS seq FROM events", state=False)
+def data_sequence(spark, sf_dir):
+    body = S.envelope(F.lit("e"), F.lit("t"), F.concat(F.lit('{"seq": '), F.col("event_id") % 1000, F.lit("}")))
+    return T.events(spark, sf_dir).select("event_id", S.data_sequence(body).alias("seq"))
+
+
+@query("SELECT p::INTEGER AS partition, CASE WHEN p < 100 THEN concat('go', p % 2) ELSE 'go5' END AS owner_node, 1::BIGINT AS generation, CASE WHEN p < 100 AND p % 37 = 0 THEN 'draining' ELSE 'active' END AS state, CASE WHEN p < 100 AND p % 37 = 0 THEN concat('go', (p + 1) % 2) END AS next_owner FROM range(256) t(p)", state=False)
+def ensure_assignments(spark, sf_dir):
+    """Owners of the first hundred partitions stay as they are; the others get theirs."""
+    have = T.owners(spark).where("partition < 100")
+    wanted = have.select("partition", "owner_node").unionByName(spark.range(100, 256).select(F.col("id").cast("int").alias("partition"), F.lit("go5").alias("owner_node")))
+    return ownership.ensure_assignments(have, wanted)
+
+
+@query("SELECT p::INTEGER AS partition, 'go1' AS owner_node, 1::BIGINT AS generation, 'active' AS state, NULL::VARCHAR AS next_owner FROM range(256) t(p)", state=False)
+def ensure_owners(spark, sf_dir):
+    return ownership.ensure_owners(spark, None, 256, "go1")
+
+
+@query("SELECT partition, arg_min(id, (sequence, id)) AS id, arg_min(owner, (sequence, id)) AS owner, arg_min(generation, (sequence, id)) AS generation FROM d WHERE status = 'in_flight' GROUP BY partition")
+def in_flight_stamps(spark, sf_dir):
+    return ownership.heads_in_flight(T.deliveries(spark, sf_dir))
+
+
+@query("SELECT subscriber_id, partition FROM (SELECT DISTINCT user_id, subscriber_id, partition FROM d) WHERE partition % 2 = 1 AND partition % 3 = 0 ORDER BY user_id LIMIT 1")
+def first_subscriber(spark, sf_dir):
+    who = T.subscribers(spark, sf_dir).select("subscriber_id", F.substring_index("subscriber_id", "-", -1).cast("bigint").alias("n")).withColumn("partition", S.partition_of(F.col("subscriber_id")))
+    return metrics.first_match(who, (F.col("partition") % 2 == 1) & (F.col("partition") % 3 == 0), "n").select("subscriber_id", "partition")
+
+
+@query("SELECT count(*) > 0 AS distributed, count(*) FILTER (WHERE owner_node = 'go1') AS mine, max(CASE WHEN partition = 37 THEN owner_node END) AS owner FROM o")
+def ownership_lookups(spark, sf_dir):
+    owners = T.owners(spark)
+    mine = ownership.partitions_of(owners, "go1").count()
+    return spark.range(1).select(F.lit(ownership.is_distributed(owners)).alias("distributed"), F.lit(mine).cast("bigint").alias("mine"), F.lit(ownership.owner_of(owners, 37)).alias("owner"))
+
+
+@query(f"SELECT id, subscriber_id, partition, sequence, {CLAIMED}, concat('worker-', partition % 4) AS owner, 3::BIGINT AS generation FROM (SELECT *, row_number() OVER (PARTITION BY partition % 4 ORDER BY partition, subscriber_id, sequence, id) AS nth FROM ready) WHERE nth <= 10")
+def claim_workers(spark, sf_dir):
+    return claim.claim_workers(T.deliveries(spark, sf_dir), 4, 3, T.now(), 10, T.subscribers(spark, sf_dir)).select(*_CLAIM_COLUMNS)
 
 
 @query("SELECT subscriber_id, min(sequence) AS head FROM d WHERE status IN ('pending', 'in_flight') GROUP BY subscriber_id")
@@ -235,13 +290,13 @@ def claim_fifo(spark, sf_dir):
     return claim.claim_fifo(T.deliveries(spark, sf_dir), "worker-0", 1, T.now()).select(*_CLAIM_COLUMNS)
 
 
-def _commands(d: DataFrame, done: str = "status = 'delivered' AND sequence % 50 = 0") -> DataFrame:
-    """For every third row in flight the right stamp; next to it a wrong owner, generation, id, and rows not in flight, chosen by ``done``."""
+def _commands(d: DataFrame) -> DataFrame:
+    """For every third row in flight the right stamp; next to it a wrong owner, generation, id, and every delivered row."""
     flying = d.where("status = 'in_flight'")
     right = flying.where("sequence % 3 = 0").select("id", "owner", "generation")
     wrong = flying.where("sequence % 3 = 1").select("id", F.lit("worker-x").alias("owner"), "generation")
     old = flying.where("sequence % 3 = 2").select("id", "owner", F.lit(9).cast("bigint").alias("generation"))
-    delivered = d.where(done).select("id", F.lit("worker-0").alias("owner"), F.lit(1).cast("bigint").alias("generation"))
+    delivered = d.where("status = 'delivered'").select("id", F.lit("worker-0").alias("owner"), F.lit(1).cast("bigint").alias("generation"))
     none = d.where("sequence = 1").select(F.concat(F.lit("no-"), "id").alias("id"), F.lit("worker-0").alias("owner"), F.lit(1).cast("bigint").alias("generation"))
     return right.unionByName(wrong).unionByName(old).unionByName(delivered).unionByName(none)
 
@@ -275,22 +330,13 @@ def mark_failed(spark, sf_dir):
 
 
 @query("""SELECT id, 'stale_stamp' AS rejected FROM d WHERE status = 'in_flight' AND sequence % 3 <> 0
-UNION ALL SELECT id, 'not_in_flight' FROM d WHERE status = 'delivered' AND sequence % 50 = 0
+UNION ALL SELECT id, 'not_in_flight' FROM d WHERE status = 'delivered'
 UNION ALL SELECT concat('no-', id), 'unknown' FROM d WHERE sequence = 1""")
 def mark_rejected(spark, sf_dir):
     d = T.deliveries(spark, sf_dir)
     return transitions.rejected(d, _commands(d)).select("id", "rejected")
 
 
-@query("""SELECT id, 'stale_stamp' AS rejected FROM d WHERE status = 'in_flight' AND sequence % 3 <> 0
-UNION ALL SELECT id, 'not_in_flight' FROM d WHERE status = 'delivered'
-UNION ALL SELECT concat('no-', id), 'unknown' FROM d WHERE sequence = 1""")
-def mark_rejected_all(spark, sf_dir):
-    """As ``mark_rejected``, with a command for every delivered row."""
-    d = T.deliveries(spark, sf_dir)
-    return transitions.rejected(d, _commands(d, "status = 'delivered'")).select("id", "rejected")
-
-
 @query("""
 , hit AS (SELECT DISTINCT subscriber_id FROM d WHERE status = 'in_flight' AND sequence % 3 = 0),
 a AS (SELECT d.*, CASE WHEN d.status = 'in_flight' AND d.sequence % 3 = 0 THEN 'dead_lettered' WHEN hit.subscriber_id IS NOT NULL AND d.status = 'pending' THEN 'retained' ELSE d.status END AS new_status, hit.subscriber_id IS NOT NULL AS touched FROM d LEFT JOIN hit USING (subscriber_id)),
@@ -340,39 +386,19 @@ def retention_count(spark, sf_dir):
 _GAP = ", g AS (SELECT subscriber_id, count(*) AS n, count(*) FILTER (WHERE reason = 'count') AS c, coalesce(max(sequence) FILTER (WHERE reason = 'count'), max(sequence)) AS last FROM x GROUP BY subscriber_id)"
 
 
-@query(_LOST + _GAP + """
-SELECT concat('sub-', user_id) AS subscriber_id, g.n IS NOT NULL AS gap, coalesce(g.n, 0)::INTEGER AS dropped, CASE WHEN g.n IS NULL THEN '' ELSE concat('sub-', user_id, ':dropped=', g.n, ':through_seq=', g.last, ':', CASE WHEN g.c > 0 THEN 'count' ELSE 'age' END) END AS marker
-FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 14 = 0) u LEFT JOIN g ON g.subscriber_id = concat('sub-', user_id)
-UNION ALL SELECT 'sub-unknown', false, 0, ''
-""")
-def resume_gap(spark, sf_dir):
-    st = T.state(spark, sf_dir)
-    who = st.subscribers.where(F.substring_index("subscriber_id", "-", -1).cast("bigint") % 14 == 0).select("subscriber_id").unionByName(spark.sql("SELECT 'sub-unknown' AS subscriber_id"))
-    return transitions.resume(st, who, T.now(), _AGE_S, _COUNT)[1]
-
-
-@query(_LOST + "SELECT id, CASE WHEN status = 'retained' AND user_id % 14 = 0 THEN 'pending' ELSE status END AS status, attempt, CASE WHEN status = 'retained' AND user_id % 14 = 0 THEN TIMESTAMP '2024-02-01' ELSE next_attempt_at END AS next_attempt_at FROM d WHERE NOT (user_id % 14 = 0 AND id IN (SELECT id FROM x))")
-def resume_replay(spark, sf_dir):
-    st = T.state(spark, sf_dir)
-    who = st.subscribers.where(F.substring_index("subscriber_id", "-", -1).cast("bigint") % 14 == 0).select("subscriber_id")
-    return transitions.resume(st, who, T.now(), _AGE_S, _COUNT)[0].deliveries.select("id", "status", "attempt", "next_attempt_at")
-
-
 @query(_LOST + _GAP + """
 SELECT u.subscriber_id, g.n IS NOT NULL AS gap, coalesce(g.n, 0)::INTEGER AS dropped, CASE WHEN g.n IS NULL THEN '' ELSE concat(u.subscriber_id, ':dropped=', g.n, ':through_seq=', g.last, ':', CASE WHEN g.c > 0 THEN 'count' ELSE 'age' END) END AS marker
 FROM (SELECT DISTINCT subscriber_id FROM d WHERE suspended) u LEFT JOIN g ON g.subscriber_id = u.subscriber_id
 UNION ALL SELECT 'sub-unknown', false, 0, ''
 """)
-def resume_gap_all(spark, sf_dir):
-    """As ``resume_gap``, for every suspended subscriber."""
+def resume_gap(spark, sf_dir):
     st = T.state(spark, sf_dir)
     who = st.subscribers.where("suspended").select("subscriber_id").unionByName(spark.sql("SELECT 'sub-unknown' AS subscriber_id"))
     return transitions.resume(st, who, T.now(), _AGE_S, _COUNT)[1]
 
 
 @query(_LOST + "SELECT id, CASE WHEN status = 'retained' THEN 'pending' ELSE status END AS status, attempt, CASE WHEN status = 'retained' THEN TIMESTAMP '2024-02-01' ELSE next_attempt_at END AS next_attempt_at FROM d WHERE id NOT IN (SELECT id FROM x)")
-def resume_replay_all(spark, sf_dir):
-    """As ``resume_replay``, for every suspended subscriber."""
+def resume_replay(spark, sf_dir):
     st = T.state(spark, sf_dir)
     who = st.subscribers.where("suspended").select("subscriber_id")
     return transitions.resume(st, who, T.now(), _AGE_S, _COUNT)[0].deliveries.select("id", "status", "attempt", "next_attempt_at")
@@ -462,6 +488,22 @@ def force_takeover(spark, sf_dir):
     return ownership.takeover_decision(T.owners(spark), wishes).select("partition", "target", "expected", "decision")
 
 
+_STOLEN = "owner_node = 'go1' AND d.partition % 3 = 0"
+
+
+@query(f"SELECT id, CASE WHEN {_STOLEN} AND status = 'in_flight' THEN 'pending' ELSE status END AS status, CASE WHEN NOT (coalesce({_STOLEN}, false) AND status = 'in_flight') THEN d.owner END AS owner, CASE WHEN {_STOLEN} AND status = 'in_flight' THEN 0 ELSE d.generation END::BIGINT AS generation FROM d LEFT JOIN o ON d.partition = o.partition")
+def force_takeover_reset(spark, sf_dir):
+    """In-flight rows after go0 has taken every third partition of go1 by force."""
+    wishes = spark.range(256).where("id % 3 = 0").select(F.col("id").cast("int").alias("partition"), F.lit("go0").alias("target"), F.lit(1).cast("bigint").alias("expected"))
+    return ownership.take_over_rows(T.owners(spark), T.deliveries(spark, sf_dir), wishes)[1].select("id", "status", "owner", "generation")
+
+
+@query(f"SELECT partition, CASE WHEN {_STOLEN.replace('d.', '')} THEN 'go0' ELSE owner_node END AS owner_node, CASE WHEN {_STOLEN.replace('d.', '')} THEN 2 ELSE generation END::BIGINT AS generation, CASE WHEN partition % 3 = 0 THEN 'active' ELSE state END AS state, CASE WHEN partition % 3 <> 0 THEN next_owner END AS next_owner FROM o")
+def force_takeover_owners(spark, sf_dir):
+    wishes = spark.range(256).where("id % 3 = 0").select(F.col("id").cast("int").alias("partition"), F.lit("go0").alias("target"), F.lit(1).cast("bigint").alias("expected"))
+    return ownership.take_over_rows(T.owners(spark), T.deliveries(spark, sf_dir), wishes)[0].drop("decision")
+
+
 @query("SELECT id, partition FROM d WHERE status IN ('pending', 'in_flight') AND partition >= 200")
 def orphan_deliveries(spark, sf_dir):
     return claim.orphans(T.deliveries(spark, sf_dir), T.owners(spark).where("partition < 200")).select("id", "partition")
@@ -472,14 +514,8 @@ def _dispatch_owner_filter(spark, sf_dir, events: DataFrame) -> DataFrame:
     return ownership.local_subscribers(enqueue.fan_out(e, _nations(spark, sf_dir)), T.owners(spark), "go1").select("event_id", "subscriber_id")
 
 
-@query("SELECT concat('evt-', event_id) AS event_id, concat('nat-', n_nationkey) AS subscriber_id FROM events, nation WHERE event_id % 10 = 0 AND " + HASH256.format("concat('nat-', n_nationkey)") + " % 2 = 1", state=False)
-def dispatch_owner_filter(spark, sf_dir):
-    return _dispatch_owner_filter(spark, sf_dir, T.events(spark, sf_dir).where("event_id % 10 = 0"))
-
-
 @query("SELECT concat('evt-', event_id) AS event_id, concat('nat-', n_nationkey) AS subscriber_id FROM events, nation WHERE " + HASH256.format("concat('nat-', n_nationkey)") + " % 2 = 1", state=False)
-def dispatch_owner_filter_all(spark, sf_dir):
-    """As ``dispatch_owner_filter``, for every event."""
+def dispatch_owner_filter(spark, sf_dir):
     return _dispatch_owner_filter(spark, sf_dir, T.events(spark, sf_dir))
 
 
@@ -489,14 +525,8 @@ def _fanout_by_node(spark, sf_dir, events: DataFrame) -> DataFrame:
     return out.withColumn("subscribers", F.array_join("subscribers", ","))
 
 
-@query("SELECT concat('evt-', event_id) AS event_id, concat('go', " + HASH256.format("concat('nat-', n_nationkey)") + " % 2) AS owner_node, string_agg(concat('nat-', n_nationkey), ',' ORDER BY concat('nat-', n_nationkey)) AS subscribers FROM events, nation WHERE event_id % 10 = 0 GROUP BY 1, 2", state=False)
-def fanout_by_node(spark, sf_dir):
-    return _fanout_by_node(spark, sf_dir, T.events(spark, sf_dir).where("event_id % 10 = 0"))
-
-
 @query("SELECT concat('evt-', event_id) AS event_id, concat('go', " + HASH256.format("concat('nat-', n_nationkey)") + " % 2) AS owner_node, string_agg(concat('nat-', n_nationkey), ',' ORDER BY concat('nat-', n_nationkey)) AS subscribers FROM events, nation GROUP BY 1, 2", state=False)
-def fanout_by_node_all(spark, sf_dir):
-    """As ``fanout_by_node``, for every event."""
+def fanout_by_node(spark, sf_dir):
     return _fanout_by_node(spark, sf_dir, T.events(spark, sf_dir))
 
 
@@ -571,10 +601,30 @@ def latency_profile(spark, sf_dir):
     return T.subscribers(spark, sf_dir).select("subscriber_id", S.latency_ms(F.col("subscriber_id"), 4, 1, 25).alias("delay_ms"))
 
 
-@query("SELECT p AS policy, r::DOUBLE AS per_second, round(r * 100.0 / 12533.2, 1)::DOUBLE AS percent FROM (VALUES ('ordered', 9242.9), ('ordered_no_gate', 11343.9), ('naive', 12533.2)) t(p, r)", state=False)
+REPLAY = (
+    "WITH w0 AS (SELECT n, concat('sub-', n) AS sub, seq, CASE WHEN n % 4 = 0 THEN 25 ELSE 1 END AS delay_ms FROM range(64) t(n), range(1, 41) u(seq)), "
+    "w AS (SELECT *, list_reduce(list_prepend(0::BIGINT, " + BYTES.format("concat(sub, ':', seq)") + "), lambda a, b: a * 31 + b) % 17 = 0 AS failed FROM w0), "
+    "c AS (SELECT *, delay_ms + CASE WHEN failed THEN 2 ELSE 0 END AS cost, CASE WHEN failed THEN 2 ELSE 1 END AS attempts FROM w), "
+    "r AS (SELECT 'ordered' AS policy, sub, seq, attempts, sum(cost) OVER (PARTITION BY sub ORDER BY seq)::BIGINT AS arrived FROM c "
+    "UNION ALL SELECT 'fifo', sub, seq, attempts, sum(cost) OVER (ORDER BY seq, n)::BIGINT FROM c "
+    "UNION ALL SELECT 'naive', sub, seq, attempts, (((seq - 1) * 64 + n) // 16 + cost)::BIGINT FROM c), "
+    "l AS (SELECT *, lag(seq) OVER (PARTITION BY policy, sub ORDER BY arrived, seq) AS before FROM r), "
+    "g AS (SELECT policy, count(*) AS receipts, count(*) FILTER (WHERE seq < before) AS inversions, round(count(*) * 1000 / max(arrived)::DOUBLE, 3) AS per_second, list_sort(list(arrived)) AS v FROM l GROUP BY policy) "
+)
+
+
+@query(REPLAY + "SELECT policy, sub, seq, attempts::INTEGER AS attempts, arrived FROM r", state=False)
+def replay_receipts(spark, sf_dir):
+    """64 subscribers and 40 events through the three policies."""
+    return replay.receipts(replay.workload(spark))
+
+
+@query(REPLAY + "SELECT policy, receipts, inversions, per_second, round(per_second * 100 / (SELECT per_second FROM g WHERE policy = 'naive'), 1) AS percent, v[1 + 1280] AS p50, v[1 + 2534] AS p99 FROM g", state=False)
 def baseline_attribution(spark, sf_dir):
-    rates = spark.sql("SELECT * FROM VALUES ('ordered', 9242.9D), ('ordered_no_gate', 11343.9D), ('naive', 12533.2D) AS t(policy, per_second)")
-    return metrics.share_of_baseline(rates, "naive")
+    work = replay.workload(spark)
+    got = replay.receipts(work)
+    replay.check_complete(got, work)
+    return replay.report(got)
 
 
 @query(_RECEIPTS + "SELECT sub, string_agg(seq::VARCHAR, ',' ORDER BY arrived, seq) AS seqs FROM r GROUP BY sub")
@@ -582,21 +632,11 @@ def arrival_sequences(spark, sf_dir):
     return metrics.sequences(T.receipts(spark, sf_dir, disturbed=True)).withColumn("seqs", F.array_join("seqs", ","))
 
 
-@query(f"""
-, n AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth, count(*) OVER (PARTITION BY user_id) AS total FROM events WHERE event_id % 5 = 0),
-c AS (SELECT user_id, count(*) AS used FROM events GROUP BY user_id)
-SELECT concat('new-', event_id) AS id, concat('sub-', user_id) AS subscriber_id, used + nth AS sequence, CASE WHEN user_id % 7 = 0 THEN 'retained' ELSE 'pending' END AS status FROM n JOIN c USING (user_id)
-""")
-def enqueue_batch(spark, sf_dir):
-    return _enqueue_batch(spark, sf_dir, T.events(spark, sf_dir).where("event_id % 5 = 0"))
-
-
 @query("""
 , n AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth, count(*) OVER (PARTITION BY user_id) AS used FROM events)
 SELECT concat('new-', event_id) AS id, concat('sub-', user_id) AS subscriber_id, used + nth AS sequence, CASE WHEN user_id % 7 = 0 THEN 'retained' ELSE 'pending' END AS status FROM n
 """)
-def enqueue_batch_all(spark, sf_dir):
-    """As ``enqueue_batch``, with every event in the batch."""
+def enqueue_batch(spark, sf_dir):
     return _enqueue_batch(spark, sf_dir, T.events(spark, sf_dir))
 
 
