@@ -425,3 +425,75 @@ def test_ranks_by_narrowing(spark, monkeypatch, limit):
     for values in ([rng.random() for _ in range(700)], [float(rng.randint(0, 30)) for _ in range(500)] + [7.0] * 300, [3.0] * 50):
         got = metrics.nearest_rank(spark.createDataFrame([(v,) for v in values] + [(None,)], "v double"), "v", (0, 50, 99, 100)).first()
         assert list(got) == [sorted(values)[min(len(values) * p // 100, len(values) - 1)] for p in (0, 50, 99, 100)]
+
+
+def test_a_store_in_memory_does_the_same(spark, tmp_path):
+    from tideline.sources.snapshot import MemoryStore
+
+    found = []
+    for store in (Snapshots(spark, f"file://{tmp_path}/s"), MemoryStore(spark)):
+        clock = Clock()
+        e = Engine(spark, store, TableSink(partial(first_fails, 1)), Config(jitter=False, partitions=32, base_ms=1000, max_attempts=3), clock=clock)
+        e.start()
+        send(e, 3, "sub-a")
+        send(e, 1, "sub-b")
+        e.drain(wait=lambda _, c=clock: setattr(c, "t", c.t + 5))
+        calls = e.last_calls().collect()
+        found.append((sorted((r.subscriber_id, r.sequence, r.status, r.attempt) for r in store.read().deliveries.collect()), e.calls, [(r.subscriber_id, r.sequence, r.attempt, r.code) for r in calls], store.read(live=True).deliveries.count()))
+    assert found[0] == found[1] and found[0][3] == 0 and found[0][2] == [("sub-a", 3, 2, 200)]
+
+
+def test_gates_off_break_what_they_guard(spark, tmp_path):
+    """Twins: with the gate the invariant holds, without it doesn't."""
+    from dataclasses import replace
+
+    from tideline.operators import claim
+    from tideline.sources.snapshot import MemoryStore
+
+    def made(off, **config):
+        clock = Clock()
+        e = Engine(spark, MemoryStore(spark), TableSink(ok), Config(jitter=False, partitions=4, off=frozenset(off), **config), clock=clock)
+        e.start()
+        return e
+
+    for off, attempts in (((), 0), (("suspend_gate",), 1)):
+        e = made(off)
+        send(e, 1)
+        s = e.store.read()
+        e.store.write(replace(s, subscribers=spark.createDataFrame([("sub-a", True, False, 0, "")], s.subscribers.schema)), [])
+        assert e.step() == attempts
+    for off, attempts in (((), 0), (("draining_gate",), 1)):
+        e = made(off, node="A", distributed=True)
+        e.own("A")
+        send(e, 1)
+        e.begin_handoff(e.store.read().deliveries.first().partition, "A", "B")
+        assert e.step() == attempts
+    for off, status in (((), "pending"), (("in_flight_reset",), "in_flight")):
+        e = made(off, node="A", distributed=True)
+        e.own("B")
+        s = e.store.read()
+        e.store.write(replace(s, partition_owners=s.partition_owners.withColumn("owner_node", F.lit("A"))), [])
+        send(e, 1)
+        s = e.store.read()
+        got = claim.claim(s.deliveries, "A/old/worker-0", 1, e.now(), None)
+        e.store.write(replace(s, deliveries=got))
+        e.take_over(got.first().partition, "B", 1)
+        assert e.store.read().deliveries.first().status == status
+    for off, status in (((), "in_flight"), (("mark_stamp",), "delivered")):
+        e = made(off)
+        send(e, 1)
+        s = e.store.read()
+        mine = claim.claim(s.deliveries, "worker-0", 1, e.now(), None).persist()
+        state = e.store.write(replace(s, deliveries=claim.claim(s.deliveries, "another", 5, e.now(), None)))
+        results = mine.withColumns({"code": F.lit(200), "err": F.lit(None).cast("string"), "outcome": F.lit("success")})
+        e._mark(state, results, [mine.first().partition])
+        assert e.store.read().deliveries.first().status == status
+    with pytest.raises(ValueError):
+        Config(off=frozenset({"nothing"}))
+
+
+def test_attempts_without_a_status(spark):
+    from tideline.functions import scalars as S
+
+    rows = spark.createDataFrame([(None, None, "u", True), (None, "reset", "u", False), (None, None, "", False), (400, "bad URL", "u", False), (200, None, "u", False), (None, "reset", "", True)], "code int, err string, url string, gone boolean")
+    assert [r[0] for r in rows.select(S.classify_attempt(F.col("code"), F.col("err"), F.col("url"), F.col("gone"))).collect()] == ["retryable", "retryable", "permanent", "permanent", "success", "retryable"]

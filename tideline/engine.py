@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 
 from tideline.functions import scalars
 from tideline.operators import claim, enqueue, ownership, retention, transitions
-from tideline.sources.sinks import Sink, attempt, delivered_log, prepare
-from tideline.sources.snapshot import Snapshots, register_views
+from tideline.sources.sinks import Sink, attempt, attempt_log, delivered_log, prepare
+from tideline.sources.snapshot import MemoryStore, Snapshots, register_views
 
 ORDERED, NAIVE, FIFO = "ordered", "naive", "fifo"
+TOGGLES = frozenset({"suspend_gate", "draining_gate", "in_flight_reset", "mark_stamp"})
 
 
 @dataclass(frozen=True)
@@ -41,12 +42,16 @@ class Config:
     node: str = ""
     distributed: bool = False
     hol: bool = True  # off only to show that the gate matters
+    #: Gates that are off, for tests that show what each is for: see TOGGLES.
+    off: frozenset[str] = frozenset()
 
     def __post_init__(self):
         if self.policy not in (ORDERED, NAIVE, FIFO):
             raise ValueError(f"unknown policy {self.policy!r}")
         if self.distributed != bool(self.node):
             raise ValueError("a node name is needed for distributed ownership, and only there")
+        if self.off - TOGGLES:
+            raise ValueError(f"unknown gates {sorted(self.off - TOGGLES)}")
         if "/" in self.node:
             raise ValueError("a node name has no slash")
         for name, default in (("workers", 32 if self.policy == NAIVE else 1), ("partitions", scalars.PARTITIONS), ("max_attempts", 8), ("base_ms", scalars.BASE_MS), ("max_ms", scalars.MAX_MS), ("retention_count", retention.MAX_COUNT), ("retention_age_s", retention.MAX_AGE_S), ("batch", claim.BATCH)):
@@ -57,7 +62,7 @@ class Config:
 @dataclass
 class Engine:
     spark: SparkSession
-    store: Snapshots
+    store: Snapshots | MemoryStore
     sink: Sink
     config: Config = field(default_factory=Config)
     on_suspend: Callable[[str], None] | None = None
@@ -124,13 +129,14 @@ class Engine:
 
     def _claim(self, state: enqueue.State) -> DataFrame:
         c, now, worker = self.config, self.now(), "worker-0"
+        suspended = None if "suspend_gate" in c.off else state.subscribers
         if c.policy == NAIVE:
             return claim.claim_naive(state.deliveries, worker, self.generation, now, c.batch)
         if c.policy == FIFO:
             return claim.claim_fifo(state.deliveries, worker, self.generation, now)
         if c.distributed or ownership.is_distributed(state.partition_owners):
-            return claim.claim_distributed(state.deliveries, state.partition_owners, c.node, f"{c.node}/{self.run}/{worker}", now, c.batch, state.subscribers)
-        return claim.claim_workers(state.deliveries, c.workers, self.generation, now, c.batch, state.subscribers, c.hol)
+            return claim.claim_distributed(state.deliveries, state.partition_owners, c.node, f"{c.node}/{self.run}/{worker}", now, c.batch, suspended, drained_too="draining_gate" in c.off)
+        return claim.claim_workers(state.deliveries, c.workers, self.generation, now, c.batch, suspended, c.hol)
 
     def step(self) -> int:
         """One round; the number of attempts.
@@ -161,7 +167,7 @@ class Engine:
         if self.on_rejected:
             for row in transitions.rejected(here, routed).toLocalIterator():
                 self.on_rejected(row)
-        after = replace(state, deliveries=transitions.mark(here, routed))
+        after = replace(state, deliveries=transitions.mark(here, routed, "mark_stamp" not in c.off))
         exhausted = routed.where(F.col("command") == "exhaust_and_suspend")
         if not exhausted.isEmpty():
             hit = transitions.hit_subscribers(here, exhausted).persist()
@@ -244,8 +250,13 @@ class Engine:
 
     def take_over(self, partition: int, target: str, expected: int) -> None:
         state = self.store.read(live=True)
-        owners, deliveries = ownership.force_takeover(state.partition_owners, state.deliveries, partition, target, expected)
+        owners, deliveries = ownership.force_takeover(state.partition_owners, state.deliveries, partition, target, expected, "in_flight_reset" not in self.config.off)
         self.store.write(replace(state, partition_owners=owners, deliveries=deliveries), [partition])
 
     def log(self, results: DataFrame) -> DataFrame:
         return delivered_log(results)
+
+    def last_calls(self) -> DataFrame | None:
+        """The calls to the sink of the last step that made any, failed ones too, in the order of its claim."""
+        results = self.store.results()
+        return None if results is None else attempt_log(results)

@@ -63,11 +63,11 @@ def mark_failed(deliveries: DataFrame, commands: DataFrame) -> DataFrame:
     return _mark(deliveries, commands, {"status": F.lit(PENDING), "attempt": F.col("c_attempt"), "next_attempt_at": F.col("c_next_attempt_at"), "last_error": F.col("c_error")})
 
 
-def mark(deliveries: DataFrame, commands: DataFrame) -> DataFrame:
+def mark(deliveries: DataFrame, commands: DataFrame, check_stamp: bool = True) -> DataFrame:
     """Commands of all kinds in one join: id, owner, generation, ``command`` (as ``route`` names it), attempt, next_attempt_at, error."""
     kind, failed = F.col("c_command"), F.col("c_command") == "mark_failed"
     status = F.when(kind == "mark_delivered", DELIVERED).when(failed, PENDING).otherwise(DEAD)
-    return _mark(deliveries, commands, {"status": status, "attempt": F.when(failed, F.col("c_attempt")).otherwise(F.col("attempt")), "next_attempt_at": F.when(failed, F.col("c_next_attempt_at")).otherwise(F.col("next_attempt_at")), "last_error": F.when(kind == "mark_delivered", "").otherwise(F.col("c_error"))})
+    return _mark(deliveries, commands, {"status": status, "attempt": F.when(failed, F.col("c_attempt")).otherwise(F.col("attempt")), "next_attempt_at": F.when(failed, F.col("c_next_attempt_at")).otherwise(F.col("next_attempt_at")), "last_error": F.when(kind == "mark_delivered", "").otherwise(F.col("c_error"))}, check_stamp)
 
 
 def hit_subscribers(deliveries: DataFrame, commands: DataFrame) -> DataFrame:

@@ -463,10 +463,10 @@ def owner_distribution(spark, sf_dir):
     return ownership.distribution(T.owners(spark))
 
 
-@query("""SELECT partition, owner_node, generation, CASE WHEN partition % 5 = 0 AND partition % 37 <> 0 AND partition % 2 = 0 THEN 'draining' ELSE state END AS state,
-CASE WHEN partition % 5 = 0 AND partition % 37 <> 0 AND partition % 2 = 0 THEN 'go9' ELSE next_owner END AS next_owner, partition % 5 = 0 AND partition % 37 <> 0 AND partition % 2 = 0 AS changed FROM o""")
+@query("""SELECT partition, owner_node, generation, 'draining' AS state, CASE WHEN state = 'active' AND owner_node = 'go0' THEN 'go9' ELSE next_owner END AS next_owner, state = 'active' AND owner_node = 'go0' AS changed FROM o WHERE state = 'draining' OR owner_node = 'go0'
+UNION ALL SELECT partition, owner_node, generation, state, next_owner, false FROM o WHERE state = 'active' AND owner_node <> 'go0'""")
 def begin_handoff(spark, sf_dir):
-    moves = spark.range(256).where("id % 5 = 0").select(F.col("id").cast("int").alias("partition"), F.lit("go0").alias("source"), F.lit("go9").alias("target"))
+    moves = spark.range(256).select(F.col("id").cast("int").alias("partition"), F.lit("go0").alias("source"), F.lit("go9").alias("target"))
     return ownership.begin_rows(T.owners(spark), moves)
 
 
@@ -488,19 +488,19 @@ def force_takeover(spark, sf_dir):
     return ownership.takeover_decision(T.owners(spark), wishes).select("partition", "target", "expected", "decision")
 
 
-_STOLEN = "owner_node = 'go1' AND d.partition % 3 = 0"
+_STOLEN = "owner_node = 'go1'"
 
 
 @query(f"SELECT id, CASE WHEN {_STOLEN} AND status = 'in_flight' THEN 'pending' ELSE status END AS status, CASE WHEN NOT (coalesce({_STOLEN}, false) AND status = 'in_flight') THEN d.owner END AS owner, CASE WHEN {_STOLEN} AND status = 'in_flight' THEN 0 ELSE d.generation END::BIGINT AS generation FROM d LEFT JOIN o ON d.partition = o.partition")
 def force_takeover_reset(spark, sf_dir):
-    """In-flight rows after go0 has taken every third partition of go1 by force."""
-    wishes = spark.range(256).where("id % 3 = 0").select(F.col("id").cast("int").alias("partition"), F.lit("go0").alias("target"), F.lit(1).cast("bigint").alias("expected"))
+    """In-flight rows after go0 has taken all partitions by force."""
+    wishes = spark.range(256).select(F.col("id").cast("int").alias("partition"), F.lit("go0").alias("target"), F.lit(1).cast("bigint").alias("expected"))
     return ownership.take_over_rows(T.owners(spark), T.deliveries(spark, sf_dir), wishes)[1].select("id", "status", "owner", "generation")
 
 
-@query(f"SELECT partition, CASE WHEN {_STOLEN.replace('d.', '')} THEN 'go0' ELSE owner_node END AS owner_node, CASE WHEN {_STOLEN.replace('d.', '')} THEN 2 ELSE generation END::BIGINT AS generation, CASE WHEN partition % 3 = 0 THEN 'active' ELSE state END AS state, CASE WHEN partition % 3 <> 0 THEN next_owner END AS next_owner FROM o")
+@query(f"SELECT partition, 'go0' AS owner_node, CASE WHEN {_STOLEN} THEN 2 ELSE 1 END::BIGINT AS generation, 'active' AS state, NULL::VARCHAR AS next_owner FROM o")
 def force_takeover_owners(spark, sf_dir):
-    wishes = spark.range(256).where("id % 3 = 0").select(F.col("id").cast("int").alias("partition"), F.lit("go0").alias("target"), F.lit(1).cast("bigint").alias("expected"))
+    wishes = spark.range(256).select(F.col("id").cast("int").alias("partition"), F.lit("go0").alias("target"), F.lit(1).cast("bigint").alias("expected"))
     return ownership.take_over_rows(T.owners(spark), T.deliveries(spark, sf_dir), wishes)[0].drop("decision")
 
 

@@ -175,6 +175,11 @@ def attempt(prepared: DataFrame, sink: Sink) -> DataFrame:
     return joined.withColumn("outcome", classify_attempt(F.col("code"), F.col("err"), F.col("url")))
 
 
+def attempt_log(results: DataFrame) -> DataFrame:
+    """(claimed_at, partition, subscriber_id, sequence, event_id, url, attempt, code, err, outcome) of every call, ordered as claims are."""
+    return results.select("claimed_at", "partition", "subscriber_id", "sequence", "event_id", "url", "attempt", "code", "err", "outcome").orderBy("claimed_at", "partition", "subscriber_id", "sequence")
+
+
 def delivered_log(results: DataFrame) -> DataFrame:
     """(subscriber_id, event_id, sequence, url) of what went through."""
     return results.where(F.col("outcome") == "success").select("subscriber_id", "event_id", "sequence", "url")

@@ -136,7 +136,56 @@ class Snapshots:
         for s in self._fs.globStatus(self._path(f"{self.path}/results-*")) or []:
             self._fs.delete(s.getPath(), True)
         results.write.parquet(path)
-        return self.spark.read.schema(results.schema).parquet(path)
+        return self.results()
+
+    def results(self) -> DataFrame | None:
+        """Those of the last claim that had any."""
+        found = self._fs.globStatus(self._path(f"{self.path}/results-*"))
+        return self.spark.read.parquet(found[0].getPath().toString()) if found else None
+
+
+class MemoryStore:
+    """The same store without files, for tests and trials: frames that are cut from their plans and kept in memory.
+
+    It ends with the application, and a lost executor loses it.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self._version, self._batch = spark, 0, -1
+        self._state = State(*(spark.createDataFrame([], s) for s in TABLES.values()))
+        self._results: DataFrame | None = None
+
+    def version(self) -> int:
+        return self._version
+
+    def batch(self) -> int:
+        return self._batch
+
+    def _kept(self, df: DataFrame, schema: str) -> DataFrame:
+        return self.spark.createDataFrame(df.select(*self.spark.createDataFrame([], schema).columns).toArrow(), schema).cache()
+
+    def read(self, live: bool = False) -> State:
+        s = self._state
+        return State(s.deliveries.where(~F.col("status").isin(*FINISHED)) if live else s.deliveries, s.subscribers, s.subscriber_seq, s.partition_owners)
+
+    def write(self, state: State, partitions: list[int] | None = None, batch: int | None = None) -> State:
+        old = self._state
+        rows = state.deliveries if partitions is None else state.deliveries.where(F.col("partition").isin(partitions))
+        done = old.deliveries.where(F.col("status").isin(*FINISHED))
+        rows = rows.join(done.select("id"), "id", "left_anti").select(*done.columns)  # finished rows stay as they are
+        others = old.deliveries.where(~F.col("status").isin(*FINISHED) & ~F.col("partition").isin(partitions)) if partitions else old.deliveries.where(~F.col("status").isin(*FINISHED) & F.lit(partitions is not None))
+        kept = {t: getattr(old, t) if getattr(state, t) is getattr(old, t) else self._kept(self.spark.createDataFrame([], s) if getattr(state, t) is None else getattr(state, t), s) for t, s in OTHERS.items()}
+        self._state = State(self._kept(done.unionByName(others).unionByName(rows), DELIVERY), **kept)
+        self._version += 1
+        self._batch = self._batch if batch is None else batch
+        return self.read(live=True)
+
+    def keep_results(self, results: DataFrame) -> DataFrame:
+        self._results = self.spark.createDataFrame(results.toArrow()).cache()
+        return self._results
+
+    def results(self) -> DataFrame | None:
+        return self._results
 
 
 def register_views(state: State) -> None:
