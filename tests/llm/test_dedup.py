@@ -350,3 +350,25 @@ def test_suffix_edge_rows(spark):
     assert suffix_dedup.suffix_dedup(frame(spark, [])).collect() == []
     r = suffix_dedup.suffix_dedup(frame(spark, [(1, "x" * 401)])).first()
     assert [tuple(s) for s in r.spans] == [(0, 401)] and bytes(r.kept) == b""
+
+
+# long texts, repeated rows, clashing columns
+
+def test_very_long_texts(spark):
+    """Texts of megabytes beside empty ones, in every dedup operator."""
+    rng = random.Random(12)
+    words = [f"w{n}" for n in range(3000)]
+    long = " ".join(rng.choice(words) for _ in range(500_000))
+    rows = [(1, long), (2, long), (3, f"{long[:-1]}Z"), (4, None), (5, "short"), (5, "short")]
+    df = frame(spark, rows).withColumns({"page": F.lit(1), "base": F.lit(2), "slot": F.lit(3), "g": F.lit(4), "key": F.lit("x")})
+    want = exact_reference(rows)
+    for r in exact_dedup.exact_dedup(df, 1 << 20).collect():
+        text = {i: t for i, t in rows}[r.doc_id]
+        assert (r.keep_id, r.group_size) == want[text or ""]
+    prints = {r.doc_id: (int(r.fingerprint, 16), r.component_id) for r in simhash.simhash_components(df).collect()}
+    assert prints[1] == (fingerprint_reference(long), 1) and prints[2] == prints[1] and prints[3][1] == 1
+    lines = "\n".join(f"{w} is a line of its own" for w in words * 30)
+    same_lines(df.drop("text").withColumn("text", F.lit(lines)), [(i, lines) for i, _ in rows])
+    got = {r.doc_id: ([tuple(s) for s in r.spans], len(r.kept)) for r in suffix_dedup.suffix_dedup(df).collect()}
+    n = len(long)
+    assert got[1] == got[2] == ([(0, n)], 0) and got[3] == ([(0, n - 1)], 1) and got[4] == ([], 0)

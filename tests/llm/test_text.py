@@ -413,6 +413,20 @@ def test_leak_edge_rows(spark):
     assert sorted((r.doc_id, r.text or "") for r in decontaminate.drop_leaks(rows, bench).collect()) == [(1, ""), (2, ""), (3, "the old grey hen came first of all")]
 
 
+def test_long_documents_and_pages(spark, sf):
+    """An item deep in a text of megabytes; pages of megabytes beside null ones."""
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first()
+    rng = random.Random(3)
+    filler = " ".join(f"v{rng.randrange(9999)}" for _ in range(300_000))
+    rows = spark.createDataFrame([(1, f"{filler} {item.text} {filler}"), (2, filler), (3, None), (1, "")], "doc_id long, text string").withColumns({"item": F.lit(1), "n": F.lit(2)})
+    found = decontaminate.leaks(rows, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()
+    assert [(r.doc_id, r.item_id) for r in found] == [(1, item.item_id)]
+    model = language_id.fit(docs(spark, sf), 20)
+    text = docs(spark, sf).where("lang = 'de'").orderBy(F.desc("n_chars")).first().text
+    pages = spark.createDataFrame([(1, "//a.de", f"<p>{text}</p>" * (3_000_000 // len(text))), (1, "//a.de", None), (1, "//a.de", None)], "page_id long, url string, html string").withColumns({"own": F.lit(1), "host": F.lit(2), "pages": F.lit(3)})
+    assert [r.lang for r in language_id.identify(pages, model).collect()] == ["de"] * 3
+
+
 # pipeline
 
 def test_pipeline_against_brute_force(spark, sf):
