@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tideline.llm import exact_dedup, line_dedup, simhash, suffix_dedup
+from tideline.llm import exact_dedup, line_dedup, simhash, simhash_wide, suffix_dedup
 from tideline.llm.common import cut, join_one
 from tideline.llm.components import components
 
@@ -209,6 +209,89 @@ def test_simhash_edge_rows(spark):
     assert simhash.fingerprint(b"a b c d e " * 200_000) == simhash.fingerprint(b"a b c d e " * 200_000) != 0
 
 
+def shingles_reference(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def near_reference(texts):
+    """Index -> first index of its group: texts alike to 0.8 in their five-word shingles, directly or by others."""
+    sets = [shingles_reference(t) for t in texts]
+    return classes_reference(list(range(len(texts))), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+
+
+def edited(rng, words, edits):
+    words = list(words)
+    for at in rng.sample(range(len(words)), edits):
+        words[at] = f"edit{rng.randrange(10**9)}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("list_rows", [simhash_wide.LIST_ROWS, 20])
+def test_near_copies_against_brute_force(spark, list_rows):
+    """Groups of two to a hundred copies, some alike through others alone; copies alike to less than 0.8 stay."""
+    rng = random.Random(5)
+    rows = []
+    for group, (size, edits) in enumerate([(2, 2), (2, 4), (5, 3), (100, 2), (3, 40), (4, 60), (1, 0), (1, 0)]):
+        base = [f"g{group}w{rng.randrange(500)}" for _ in range(300)]
+        rows += [(1000 * group + n, edited(rng, base, edits)) for n in range(size)]
+    rng.shuffle(rows)
+    rows.sort(key=lambda r: r[0] % 7)
+    ordered = sorted(rows)
+    root = near_reference([t for _, t in ordered])
+    want = {ordered[n][0] for n in root if root[n] == n}
+    assert {r.doc_id for r in simhash_wide.drop_near_copies(frame(spark, rows), list_rows=list_rows).collect()} == want
+    # 4 edits in each of two copies leave 0.76
+    assert len(want) == 1 + 2 + 1 + 1 + 3 + 4 + 1 + 1
+
+
+def test_near_copies_of_documents(spark, sf):
+    rows = sorted(rows_of(docs(spark, sf)))
+    root = near_reference([t for _, t in rows])
+    want = {rows[n][0] for n in root if root[n] == n}
+    got = {r.doc_id for r in simhash_wide.drop_near_copies(docs(spark, sf)).collect()}
+    assert want <= got and len(got - want) <= 0.05 * (len(rows) - len(want))
+
+
+@pytest.mark.parametrize("apart", [0, 40, 70, 300])
+def test_forest_joins_what_near_fingerprints_join(apart):
+    rng = np.random.default_rng(apart)
+    wide = rng.integers(0, 256, (6, 64), dtype=np.uint8)[rng.integers(0, 6, 200)]
+    wide ^= np.packbits(rng.random((200, 512)) < 0.05, axis=1)
+    x, y = simhash_wide.forest(wide, apart)
+    apart_of = np.bitwise_count(wide[:, None] ^ wide[None]).sum(-1, dtype=int)
+    shared = (wide[:, None] == wide[None]).sum(-1)
+    near = (apart_of <= apart) & (shared >= simhash_wide.SHARED)
+    assert near[x, y].all() and len(x) < 200
+    found = {frozenset(p) for p in zip(x.tolist(), y.tolist(), strict=True)}
+    ids = list(range(200))
+    assert classes_reference(ids, lambda a, b: frozenset((a, b)) in found) == classes_reference(ids, lambda a, b: near[a, b])
+
+
+def test_compare_streams_partners_in_parts(spark, monkeypatch):
+    rng = random.Random(2)
+    sets = {n: np.unique(np.array([rng.randrange(60) for _ in range(rng.randint(0, 90))], np.uint64)) for n in range(60)}
+    pairs = [(0, n) for n in range(1, 60)] + [(n, n + 1) for n in range(1, 59)]
+    table = cut(spark.createDataFrame([(n, bytearray(s.tobytes())) for n, s in sets.items()], "node long, shingles binary"), "test")
+    want = {(x, y) for x, y in pairs if len(set(sets[x]) & set(sets[y])) >= 0.5 * len(set(sets[x]) | set(sets[y]))}
+    for partners in (256, 7):
+        monkeypatch.setattr(simhash_wide, "PARTNERS", partners)
+        got = simhash_wide.compare(cut(spark.createDataFrame(pairs, "x long, y long"), "test"), table, 0.5).collect()
+        assert sorted((r.x, r.y) for r in got) == sorted(want) and want
+
+
+def test_near_copies_edge_rows(spark):
+    words = " ".join(f"w{n}" for n in range(80))
+    rows = [(4, None), (3, ""), (9, " \t"), (5, "one two"), (6, "ONE  two"), (None, "null id"), (None, "another null id"), (7, words), (7, words), (7, "again quite other words here"), (8, f"{words} more")]
+    clashing = frame(spark, rows).withColumns({c: F.lit(c) for c in ("id", "sha", "node", "key", "own", "wide", "__id")})
+    left = simhash_wide.drop_near_copies(clashing)
+    assert sorted(str(r.doc_id) for r in left.collect()) == ["3", "5", "7", "7", "None", "None"] and left.columns == clashing.columns
+    assert simhash_wide.drop_near_copies(frame(spark, [])).collect() == []
+    long = " ".join(f"w{n % 70_001}" for n in range(400_000))
+    rows = [(1, long), (2, f"{long} end"), (3, f"{long[: len(long) // 9]} cut"), (4, "")]
+    assert sorted(r.doc_id for r in simhash_wide.drop_near_copies(frame(spark, rows)).collect()) == [1, 3, 4]
+
+
 @pytest.mark.parametrize("few", [0, 10_000])
 def test_components_of_paths_and_stars(spark, few):
     links = [(n, n + 1) for n in range(0, 40)] + [(100, n) for n in range(101, 140)] + [(200, 200)]

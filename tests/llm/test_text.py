@@ -431,7 +431,7 @@ def test_long_documents_and_pages(spark, sf):
 
 def test_pipeline_against_brute_force(spark, sf):
     import corpus_pipeline
-    from test_dedup import classes_reference, fingerprint_reference
+    from test_dedup import near_reference
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "simhash_near_dedup", "decontamination", "byte_bpe"]
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, sf).collect()}
@@ -440,9 +440,9 @@ def test_pipeline_against_brute_force(spark, sf):
     left = {i: t for i, t in rows.items() if i not in toxic}
     last = {t: i for i, t in sorted(left.items())}
     left = {i: t for i, t in left.items() if last[t] == i}
-    prints = {i: fingerprint_reference(t) for i, t in left.items()}
-    root = classes_reference(sorted(left), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 4)
-    left = {i: t for i, t in left.items() if root[i] == i}
+    ids = sorted(left)
+    root = near_reference([left[i] for i in ids])
+    left = {i: left[i] for n, i in enumerate(ids) if root[n] == n}
     items = [" ".join(decontaminate.words(r.text)) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     left = {i: t for i, t in left.items() if not any(f" {x} " in f" {' '.join(decontaminate.words(t))} " for x in items)}
     assert set(got) == set(left)

@@ -50,27 +50,32 @@ LINKS = pa.schema([("x", pa.int64()), ("y", pa.int64())])
 OVER = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("key", pa.int64())])
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE, chunk: int = CHUNK) -> int:
-    """Signed 64-bit SimHash of UTF-8 bytes, in chunks of words: neither all words nor all shingles of a long text exist at a time."""
+def shingle_hashes(text: bytes, shingle: int, chunk: int = CHUNK) -> Iterator[np.ndarray]:
+    """XXH64 of the shingles of UTF-8 bytes, in chunks of words: neither all words nor all shingles of a long text exist at a time."""
     # bytes.lower() lower-cases A-Z alone
     words = iter(WORDS.findall(text.lower())) if len(text) <= SHORT else (w.group().lower() for w in WORDS.finditer(text))
-    total, whole = 0, False
-    tally, held = np.zeros(64, dtype=np.int64), []
+    some, whole, held = False, False, []
     while not whole:
         new = list(islice(words, chunk))
         whole = len(new) < chunk
         held += new
-        k = shingle if total or len(held) >= shingle else len(held)
+        k = shingle if some or len(held) >= shingle else len(held)
         n = len(held) - k + 1
         if not held or (n < 1 and not whole) or (k < shingle and not whole):
             continue
         if n > 0:
             ends = np.cumsum([len(w) + 1 for w in held])
             joined, starts, stops = b" ".join(held), [0, *ends[: n - 1].tolist()], (ends[k - 1 :] - 1).tolist()
-            h = np.array([xxhash.xxh64_intdigest(joined[s:e], 42) for s, e in zip(starts, stops, strict=True)], dtype=np.uint64)
-            tally += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            total += n
-            held = held[n:]
+            yield np.array([xxhash.xxh64_intdigest(joined[s:e], 42) for s, e in zip(starts, stops, strict=True)], dtype=np.uint64)
+            some, held = True, held[n:]
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE, chunk: int = CHUNK) -> int:
+    """Signed 64-bit SimHash of UTF-8 bytes."""
+    total, tally = 0, np.zeros(64, dtype=np.int64)
+    for h in shingle_hashes(text, shingle, chunk):
+        tally += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        total += len(h)
     if not total:
         return 0
     out = int.from_bytes(np.packbits(2 * tally > total, bitorder="little").tobytes(), "little")
@@ -292,6 +297,11 @@ def drop_near_duplicates(docs: DataFrame, apart: int = BITS_APART) -> DataFrame:
     found = links(classes, apart)
     grouped = components(found.select(F.col("x").alias("a"), F.col("y").alias("b")))
     labels = classes.join(grouped, F.col("fp") == F.col("node"), "left").select("first", F.coalesce("component", "fp").alias("component"))
-    keep = cut(labels.groupBy("component").agg(F.min("first").alias("first")).select("first.id", "first.sha"), "simhash-kept", classes.count())
+    return keep_first(docs, prints, labels, classes.count())
+
+
+def keep_first(docs: DataFrame, prints: DataFrame, labels: DataFrame, n_classes: int) -> DataFrame:
+    """Rows of ``docs`` that are the first of their component; labels (first: struct of id and sha, component), prints (id, sha ...)."""
+    keep = cut(labels.groupBy("component").agg(F.min("first").alias("first")).select("first.id", "first.sha"), "simhash-kept", n_classes)
     repeats = prints.groupBy("id", "sha").count().where("count > 1").select("id", "sha")
     return keep_rows(docs, keep, None if repeats.isEmpty() else repeats)
