@@ -258,14 +258,15 @@ def test_forest_joins_what_near_fingerprints_join(apart):
     rng = np.random.default_rng(apart)
     wide = rng.integers(0, 256, (6, 64), dtype=np.uint8)[rng.integers(0, 6, 200)]
     wide ^= np.packbits(rng.random((200, 512)) < 0.05, axis=1)
-    x, y = simhash_wide.forest(wide, apart)
+    x, y, tree = simhash_wide.forest(wide, apart)
     apart_of = np.bitwise_count(wide[:, None] ^ wide[None]).sum(-1, dtype=int)
     shared = (wide[:, None] == wide[None]).sum(-1)
     near = (apart_of <= apart) & (shared >= simhash_wide.SHARED)
     assert near[x, y].all() and len(x) < 200
     found = {frozenset(p) for p in zip(x.tolist(), y.tolist(), strict=True)}
     ids = list(range(200))
-    assert classes_reference(ids, lambda a, b: frozenset((a, b)) in found) == classes_reference(ids, lambda a, b: near[a, b])
+    want = classes_reference(ids, lambda a, b: near[a, b])
+    assert classes_reference(ids, lambda a, b: frozenset((a, b)) in found) == want == dict(enumerate(tree.tolist()))
 
 
 def test_compare_streams_partners_in_parts(spark, monkeypatch):
