@@ -253,6 +253,40 @@ def test_near_copies_of_documents(spark, sf):
     assert want <= got and len(got - want) <= 0.05 * (len(rows) - len(want))
 
 
+def test_near_copies_of_one_template(spark):
+    """Pairs alike to 0.82 among hundreds of texts alike to 0.71: no unlike text of a list may stand for a pair's link."""
+    rng = random.Random(11)
+    rows = []
+    for pair in range(150):
+        at = rng.sample(range(2, 300, 5), 8)
+        for n in range(2):
+            own = {*at[:2], *at[2 + n :: 2]}
+            rows.append((2 * pair + n, " ".join(f"edit{pair}" if w in own else f"w{w}" for w in range(300))))
+    root = near_reference([t for _, t in rows])
+    want = {rows[n][0] for n in root if root[n] == n}
+    assert 130 < len(want) < 170
+    for block_bytes in (simhash_wide.BLOCK_BYTES, 40_000):
+        got = {r.doc_id for r in simhash_wide.drop_near_copies(frame(spark, rows), block_bytes=block_bytes).collect()}
+        assert got == want, block_bytes
+
+
+@pytest.mark.parametrize("block_bytes", [simhash_wide.BLOCK_BYTES, 2_000])
+def test_groups_are_joined_exactly(spark, block_bytes):
+    rng = random.Random(4)
+    members = []
+    for g, size in enumerate([2, 16, 17, 90, 200]):
+        base = rng.sample(range(10_000), 40)
+        members += [(g, 1000 * g + n, frozenset(rng.sample(base, 31) + [10_000 + rng.randrange(3)])) for n in range(size)]
+    members += [(9, 9000 + n, frozenset()) for n in range(20)]
+    table = cut(spark.createDataFrame([(g, n, bytearray(np.array(sorted(s), np.uint64).tobytes())) for g, n, s in members], "g long, node long, shingles binary"), "test")
+    ids, sets = [n for _, n, _ in members], {n: s for _, n, s in members}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.75 * len(sets[a] | sets[b])
+    found = {(r.x, r.y) for r in simhash_wide.join_groups(table, 0.75, block_bytes).collect()}
+    want = classes_reference(ids, lambda a, b: a // 1000 == b // 1000 and alike(a, b))
+    assert all(alike(a, b) for a, b in found) and classes_reference(ids, lambda a, b: (min(a, b), max(a, b)) in found) == want
+    assert 60 < len(set(want.values())) < len(ids) - 60
+
+
 @pytest.mark.parametrize("apart", [0, 40, 70, 300])
 def test_forest_joins_what_near_fingerprints_join(apart):
     rng = np.random.default_rng(apart)

@@ -10,14 +10,21 @@ the README gives the recall against all pairs.
 
 Pairs of a list are tallied by shared positional bytes, those under ``SHARED`` go, and
 differing bits are counted.  A similarity makes a number of bits expected, with a standard
-error of 8 bits at 0.8.  Pairs ``CERTAIN`` errors below it are near, those ``DOUBTFUL``
-errors above it are not; between them the two sets of shingles are compared.
+error of 8 bits at 0.8; pairs up to ``DOUBTFUL`` errors above it are possible links.  They
+decide nothing but which texts are compared: the texts that possible links join, directly
+or by others, are a group, and within a group every pair that other links don't join
+already is counted out by its two sets of shingles.  So no possible link stands for another.
 
 A post holds the first 8 bytes besides its node.  A list lets go those that are like no
-other in these bytes; the others, few, get their whole fingerprints and are compared,
-of a list of up to ``FEW`` all pairs, of a longer one the spanning forests of the certain
-and of all possible links, searched breadth first, so that a list of copies of one text is
-not compared pair by pair.  Lists over ``LIST_ROWS`` are dealt out in pairs of blocks.
+other in these bytes; the others, few, get their whole fingerprints, and a spanning forest
+of the possible links is searched breadth first, which gives the same groups as all of
+them (lists of up to ``FEW``: all pairs).  Lists over ``LIST_ROWS`` are dealt out in pairs
+of blocks.
+
+Groups of up to ``FEW`` texts are compared pair by pair.  Of larger ones a task holds a
+block of ``BLOCK_BYTES`` of sets and compares each set with those that it isn't joined to,
+so a block of copies of one text is done in few passes.  Where a group has several blocks,
+the texts outside its largest part are then held against every block.
 
 ``SET_BYTES`` bytes make 2^24 keys a set: a random post meets N / 2^24 others, under one up
 to 16 million texts, and the lists grow beyond; four bytes (more sets) then suit better.
@@ -34,6 +41,7 @@ from math import acos, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,23 +57,23 @@ SHARED = 6
 #: Differing bits of the first 8 bytes up to which a post stays: ten are expected at 0.8 (standard deviation 3), 32 of unlike texts.
 WORD_APART = 22
 
-#: Standard errors of the bits between which shingles are compared; rows of a list up to which all its pairs are taken; partners of a text compared in one task.
-CERTAIN, DOUBTFUL, FEW, PARTNERS = 2.7, 3.0, 16, 256
+#: Standard errors of the bits up to which a link is possible; rows of a list or group up to which all its pairs are taken; partners of a text compared in one task.
+DOUBTFUL, FEW, PARTNERS = 3.0, 16, 256
+#: Bytes of sets of shingles in a block of a group.
+BLOCK_BYTES = 4 << 20
 
 SETS = np.array([[p, (p + g) % WIDE, (p + h) % WIDE] for g, h in STEPS for p in range(WIDE)])
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-ROWS = pa.schema([("id", pa.int64()), ("sha", pa.string()), ("wide", pa.binary())])
+ROWS = pa.schema([("id", pa.int64()), ("sha", pa.string()), ("wide", pa.binary()), ("digest", pa.binary())])
 POSTS = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("word", pa.int64())])
-PAIRS = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("certain", pa.bool_())])
-SHINGLES = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
+SHINGLES = pa.schema([("g", pa.int64()), ("node", pa.int64()), ("shingles", pa.binary())])
 MET = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("over", pa.bool_())])
 
 
-def bits_apart(similarity: float) -> tuple[int, int]:
-    """Differing bits up to which sets of equal size are surely, and may be, at this Jaccard similarity or above."""
+def bits_apart(similarity: float) -> int:
+    """Differing bits up to which sets of equal size may be at this Jaccard similarity or above."""
     share = acos(2 * similarity / (1 + similarity)) / pi
-    mean, error = 8 * WIDE * share, sqrt(8 * WIDE * share * (1 - share))
-    return int(mean - CERTAIN * error), int(mean + DOUBTFUL * error)
+    return int(8 * WIDE * share + DOUBTFUL * sqrt(8 * WIDE * share * (1 - share)))
 
 
 def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -73,9 +81,8 @@ def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(text, shingle)]))
 
 
-def wide_fingerprint(text: bytes, shingle: int = SHINGLE) -> bytes:
-    """SimHash of the distinct shingles of UTF-8 bytes; a shingle's 8 words of bits come from its XXH64 by SplitMix64."""
-    h = shingle_set(text, shingle)
+def wide_fingerprint(h: np.ndarray) -> bytes:
+    """SimHash of a text's distinct shingles; a shingle's 8 words of bits come from its XXH64 by SplitMix64."""
     tally, steps = np.zeros(8 * WIDE, dtype=np.int64), GOLDEN * np.arange(1, WIDE // 8 + 1, dtype=np.uint64)
     for at in range(0, len(h), 4096):
         z = h[at : at + 4096, None] + steps
@@ -89,7 +96,12 @@ def wide_fingerprint(text: bytes, shingle: int = SHINGLE) -> bytes:
 def _prints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1024):
-            yield out_batch(ROWS, id=b.column("id"), sha=b.column("sha"), wide=[wide_fingerprint(t, shingle) for t in b.column("text").cast(pa.binary()).to_pylist()])
+            wide, digest = [], []
+            for t in b.column("text").cast(pa.binary()).to_pylist():
+                h = shingle_set(t, shingle)
+                wide.append(wide_fingerprint(h))
+                digest.append(xxhash.xxh3_128_digest(h.tobytes()))
+            yield out_batch(ROWS, id=b.column("id"), sha=b.column("sha"), wide=wide, digest=digest)
 
     return run
 
@@ -191,26 +203,22 @@ def forest(wide: np.ndarray, apart: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return (np.concatenate(xs), np.concatenate(ys), tree) if xs else (left[:0], left[:0], tree)
 
 
-def _links(sure: int, most: int):
+def _links(apart: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, _ in runs(batches, None):
             node, wide = t.column("node").to_numpy(), _matrix(t.column("wide"))
             if len(node) <= FEW:
-                x, y = np.nonzero(np.triu(_near(wide, wide, most)[0], 1))
+                x, y = np.nonzero(np.triu(_near(wide, wide, apart)[0], 1))
             else:
-                x, y, tree = forest(wide, sure)
-                a, b, _ = forest(wide, most)
-                more = tree[a] != tree[b]  # what certain links join needs no others
-                x, y = np.concatenate([x, a[more]]), np.concatenate([y, b[more]])
+                x, y, _ = forest(wide, apart)
             if len(x):
-                bits = np.bitwise_count(wide[x] ^ wide[y]).sum(axis=1, dtype=np.int64)
-                yield out_batch(PAIRS, x=np.minimum(node[x], node[y]), y=np.maximum(node[x], node[y]), certain=bits <= sure)
+                yield out_batch(LINKS, x=np.minimum(node[x], node[y]), y=np.maximum(node[x], node[y]))
 
     return run
 
 
-def links(classes: DataFrame, sure: int, most: int, list_rows: int = LIST_ROWS) -> DataFrame:
-    """classes (node long, wide binary; a written table) -> distinct (x, y, certain), x < y: links that join fingerprints up to ``most`` bits apart, certain up to ``sure``; a written table."""
+def links(classes: DataFrame, apart: int, list_rows: int = LIST_ROWS) -> DataFrame:
+    """classes (node long, wide binary; a written table) -> distinct (x, y), x < y: links that join fingerprints up to ``apart`` bits apart; a written table."""
     posts = classes.select("node", "wide").mapInArrow(_posts, "key long, node long, word long")
     met = cut(posts.repartition("key").sortWithinPartitions("key").mapInArrow(_met(list_rows), "key long, node long, over boolean"), "wide-met")
     whole = met.join(classes.select("node", "wide"), "node")
@@ -221,7 +229,7 @@ def links(classes: DataFrame, sure: int, most: int, list_rows: int = LIST_ROWS)
         blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).where("mine <> other")
         # Groups that share a hash are compared together; each link is counted out, so none is wrong.
         dealt = dealt.unionByName(blocks.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("g"), "node", "wide"))
-    found = dealt.repartition("g").sortWithinPartitions("g", "node").mapInArrow(_links(sure, most), "x long, y long, certain boolean")
+    found = dealt.repartition("g").sortWithinPartitions("g", "node").mapInArrow(_links(apart), "x long, y long")
     out = cut(found.distinct(), "wide-links")
     free(met)
     return out
@@ -230,7 +238,7 @@ def links(classes: DataFrame, sure: int, most: int, list_rows: int = LIST_ROWS)
 def _shingles(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1024):
-            yield out_batch(SHINGLES, node=b.column("node"), shingles=[shingle_set(t, shingle).tobytes() for t in b.column("text").cast(pa.binary()).to_pylist()])
+            yield out_batch(SHINGLES, g=b.column("g"), node=b.column("node"), shingles=[shingle_set(t, shingle).tobytes() for t in b.column("text").cast(pa.binary()).to_pylist()])
 
     return run
 
@@ -268,20 +276,91 @@ def compare(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFra
     return own.unionByName(others).repartition("x", "part").sortWithinPartitions("x", "part", F.col("y").asc_nulls_first()).mapInArrow(_compared(similarity), "x long, y long")
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, list_rows: int = LIST_ROWS) -> DataFrame:
+def joined(sets: list[np.ndarray], similarity: float, label: np.ndarray, asks: np.ndarray) -> tuple[list[int], list[int]]:
+    """Index pairs that join all sets as similar as that, directly or by others, of which one asks.
+
+    Sets of one label are joined already.  Each set that asks is compared with all of other labels.
+    """
+    sizes, label, xs, ys = np.array([len(s) for s in sets]), np.unique(label, return_inverse=True)[1], [], []
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mark = np.zeros(len(ids) + 1, dtype=bool)
+    parts = np.split(ids, np.cumsum(sizes)[:-1])
+    for n in np.flatnonzero(asks).tolist():
+        others = np.flatnonzero((label != label[n]) & (sizes >= similarity * sizes[n]) & (sizes[n] >= similarity * sizes))
+        if len(others) and sizes[n]:
+            mark[parts[n]] = True
+            starts = np.cumsum(sizes[others]) - sizes[others]
+            both = np.add.reduceat(mark[np.concatenate([parts[o] for o in others.tolist()])], starts, dtype=np.int64)
+            mark[parts[n]] = False
+            others = others[both >= similarity * (sizes[n] + sizes[others] - both)]
+        if len(others):
+            found, at = np.unique(label[others], return_index=True)
+            xs += [n] * len(at)
+            ys += others[at].tolist()
+            label[np.isin(label, found)] = label[n]
+    return xs, ys
+
+
+def _joined(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (key, node, label, asks, shingles) ordered by key: the links of each key's sets."""
+        for t, _ in runs(batches, None):
+            node, asks = t.column("node").to_numpy(), t.column("asks").to_numpy()
+            x, y = joined([np.frombuffer(s.as_py(), np.uint64) for s in t.column("shingles")], similarity, t.column("label").to_numpy(), asks)
+            if x:
+                yield out_batch(LINKS, x=np.minimum(node[x], node[y]), y=np.maximum(node[x], node[y]))
+
+    return run
+
+
+def _in_tasks(rows: DataFrame, similarity: float) -> DataFrame:
+    # Tasks that share a key are compared together; each link is counted out, so none is wrong.
+    return rows.select("key", "node", "label", "asks", "shingles").repartition("key").sortWithinPartitions("key").mapInArrow(_joined(similarity), "x long, y long")
+
+
+def join_groups(members: DataFrame, similarity: float, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """members (g, node, shingles; a written table) -> (x, y), a written table: links that join all texts of a group that are as similar as that, directly or by others."""
+    sizes = members.groupBy("g").agg(F.count("*").alias("n"), F.ceil(F.sum(F.length("shingles") + 8) / block_bytes).alias("blocks"))
+    sizes = cut(sizes, "wide-sizes")
+    few = members.select("g", F.col("node").alias("x")).join(sizes.where(f"n <= {FEW}"), "g")
+    pairs = cut(few.join(members.select("g", F.col("node").alias("y")), "g").where("x < y").select("x", "y"), "wide-pairs")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    blocks = members.join(sizes.where(f"n > {FEW}"), "g").withColumn("block", block)
+    alone = blocks.select(F.xxhash64("g", "block").alias("key"), "node", F.col("node").alias("label"), F.lit(True).alias("asks"), "shingles")
+    near = cut(compare(pairs, members.select("node", "shingles"), similarity).unionByName(_in_tasks(alone, similarity)), "wide-near")
+    if not sizes.where(f"n > {FEW} AND blocks > 1").isEmpty():
+        # A pair of two blocks that nothing joins yet has a text outside the largest part of its group.
+        labels = components(near.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "own")
+        parts = blocks.where("blocks > 1").join(labels, F.col("own") == F.col("node"), "left").withColumn("label", F.coalesce("component", "node"))
+        parts = cut(parts.select("g", "node", "label", "block", "blocks", "shingles"), "wide-parts")
+        weights = parts.groupBy("g", "label").agg(F.sum(F.length("shingles") + 8).alias("bytes"))
+        largest = weights.groupBy("g").agg(F.max_by("label", "bytes").alias("largest"), F.ceil((F.sum("bytes") - F.max("bytes")) / block_bytes).alias("chunks")).where("chunks > 0")
+        parts_of = parts.join(largest, "g")
+        asked = parts_of.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+        asking = parts_of.where("label <> largest").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks"))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        across = asked.withColumn("asks", F.lit(False)).unionByName(asking.withColumn("asks", F.lit(True)).select(*asked.columns, "asks"))
+        inner, near = near, cut(near.unionByName(_in_tasks(across.withColumn("key", F.xxhash64("g", "block", "chunk")), similarity)), "wide-near")
+        free(inner, parts)
+    free(sizes, pairs)
+    return near
+
+
+def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, list_rows: int = LIST_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with one document (the smallest doc_id) of each group of near copies, columns as they were."""
     rows = own_rows(docs).select(F.col("doc_id.id").alias("id"), F.col("doc_id.sha").alias("sha"), "text")
-    prints = cut(rows.mapInArrow(_prints(shingle), "id long, sha string, wide binary"), "wide-prints")
-    first = prints.groupBy("wide").agg(F.min(F.struct("id", "sha")).alias("first"))
+    prints = cut(rows.mapInArrow(_prints(shingle), "id long, sha string, wide binary, digest binary"), "wide-prints")
+    # Texts of one set of shingles are a class.
+    first = prints.groupBy("wide", "digest").agg(F.min(F.struct("id", "sha")).alias("first"))
     classes = cut(first.withColumn("node", F.monotonically_increasing_id()), "wide-classes")
-    found = links(classes, *bits_apart(similarity), list_rows)
-    near, doubtful = found.where("certain").select("x", "y"), found.where("NOT certain").select("x", "y")
-    nodes = doubtful.select(F.col("x").alias("node")).unionByName(doubtful.select(F.col("y").alias("node"))).distinct()
-    named = cut(classes.join(nodes, "node", "left_semi").select("node", F.col("first.id").alias("__id"), F.col("first.sha").alias("__sha")), "wide-doubtful")
-    texts = rows.join(named, (F.col("id") == F.col("__id")) & (F.col("sha") == F.col("__sha"))).select("node", "text")
+    found = links(classes, bits_apart(similarity), list_rows)
+    groups = components(found.select(F.col("x").alias("a"), F.col("y").alias("b"))).select("node", F.col("component").alias("g"))
+    groups = groups.unionByName(groups.select("g", F.col("g").alias("node")).distinct())  # components leaves out the smallest node
+    named = cut(classes.join(groups, "node").select("g", "node", F.col("first.id").alias("__id"), F.col("first.sha").alias("__sha")), "wide-groups")
+    texts = rows.join(named, (F.col("id") == F.col("__id")) & (F.col("sha") == F.col("__sha"))).select("g", "node", "text")
     # Rows that repeat an id and its text give one set.
-    sets = cut(texts.mapInArrow(_shingles(shingle), "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")), "wide-shingles")
-    near = cut(near.unionByName(compare(doubtful, sets, similarity)), "wide-near")
+    sets = texts.mapInArrow(_shingles(shingle), "g long, node long, shingles binary").groupBy("g", "node").agg(F.first("shingles").alias("shingles"))
+    sets = cut(sets, "wide-shingles")
+    near = join_groups(sets, similarity, block_bytes)
     free(found, named, sets)
     grouped = components(near.select(F.col("x").alias("a"), F.col("y").alias("b")))
     labels = classes.withColumnRenamed("node", "own").join(grouped, F.col("own") == F.col("node"), "left").select("first", F.coalesce("component", "own").alias("component"))
